@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, shared, simhash, token_counts, token_files
+from . import bpe, lang_id, mixing, quality, shared, simhash, token_counts, token_files
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,17 @@ def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = quality.train(docs, quality.graded(_table(spark, sf_dir, "labels")))
+    return quality.score(docs, model)
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = mixing.mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     return token_counts.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
@@ -52,6 +63,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_token_files": op4_token_files,
     "op7_bpe": op7_bpe,
+    "op8_quality": op8_quality,
+    "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
 }
 #: None of these can be said in DuckDB's SQL within reason; tests hold them against brute force.
