@@ -83,19 +83,24 @@ class OrdinalModel:
         return _logistic(score[:, None] - self.thresholds)
 
 
-def fit(docs: list[np.ndarray], grades: np.ndarray, rounds: int = 160, rate: float = 0.05, ridge: float = 3e-4, least: int = 4) -> OrdinalModel:
+def fit(docs: list[np.ndarray], grades: np.ndarray, rounds: int = 250, rate: float = 0.05, ridge: float = 3e-4, least: float = 30.0, evenly: float = 0.5) -> OrdinalModel:
     """Weights of greatest penalised likelihood, by full gradients with adaptive steps.
 
-    Each grade has the same say. Features in fewer than ``least`` of the texts have weight 0.
+    A grade's texts weigh as its share to the power of 1 - ``evenly`` (1: each grade has the same say). Features that
+    are spread over the grades as chance would spread them, by a chi-square under ``least``, have weight 0: words of
+    single texts would else be learned by heart.
     """
     grades = grades.astype(np.int64)
     dim = np.concatenate([*docs, np.zeros(0, np.int64)]).astype(np.int64)
     doc = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
-    common = np.bincount(dim, minlength=1 << BITS) >= least
+    share = np.bincount(grades, minlength=GRADES)
+    present = np.stack([np.bincount(dim[grades[doc] == k], minlength=1 << BITS) for k in range(GRADES)])
+    expected = np.outer(share / max(len(docs), 1), present.sum(0))
+    common = ((present - expected) ** 2 / np.maximum(expected, 1e-9)).sum(0) >= least
     doc, dim = doc[common[dim]], dim[common[dim]]
     used, column = np.unique(dim, return_inverse=True)
-    share = np.bincount(grades, minlength=GRADES)
-    weight = (1 / np.maximum(share, 1))[grades] / max((share > 0).sum(), 1)
+    weight = ((1 / np.maximum(share, 1)) ** evenly)[grades]
+    weight = weight / weight.sum()
     # the parameters: weights, the first threshold, the logarithms of the steps to the others
     values = np.concatenate([np.zeros(len(used)), [-1.0], np.zeros(GRADES - 2)])
     m, v = np.zeros_like(values), np.zeros_like(values)
@@ -131,7 +136,7 @@ def graded(labels: DataFrame, key: str = "doc_id") -> DataFrame:
     return labels.select(F.col(key), grade.alias("grade")).filter(F.col(key).isNotNull() & F.col("grade").isNotNull()).groupBy(key).agg(F.min("grade").alias("grade"))
 
 
-def train(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", most: int = 5000) -> OrdinalModel | None:
+def train(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "text", most: int = 6000) -> OrdinalModel | None:
     """Fit on a bounded sample: about ``most`` of the rated texts (all, if fewer), those of the least hash of their id.
 
     ``ratings`` has columns (key, grade) with unique keys. Features are made where the texts are; only the feature lists
