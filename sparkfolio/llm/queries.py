@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, mixing, quality, shared, simhash, token_counts, token_files
+from . import bpe, lang_id, mixing, neighbours, quality, shared, simhash, token_counts, token_files, vectors
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,15 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_digests(spark, folder)
 
 
+def op5_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(rows, rows.filter(F.col("vec_id") % 100 == 0))
+
+
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.encode(_table(spark, sf_dir, "documents"), path)
@@ -62,6 +71,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
     "op4_token_files": op4_token_files,
+    "op5_near_vectors": op5_near_vectors,
+    "op6_neighbours": op6_neighbours,
     "op7_bpe": op7_bpe,
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,

@@ -80,6 +80,40 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
+    """Key and rows of each run of equal values in column ``key``; the batches come with equal keys together."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        column = batch.column(key)
+        ends = [] if batch.num_rows == 1 else (np.flatnonzero(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()
+        for start, end in zip([0, *ends], [*ends, batch.num_rows]):
+            here = column[start].as_py()
+            if held and here != name:
+                yield name, pa.Table.from_batches(held)
+                held = []
+            name = here
+            held.append(batch.slice(start, end - start))
+    if held:
+        yield name, pa.Table.from_batches(held)
+
+
+def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """For nodes 0 to n - 1 and links a[i] - b[i], the least node that each is connected to."""
+    label = np.arange(n)
+    while len(a):
+        before = label.copy()
+        np.minimum.at(label, a, label[b])
+        np.minimum.at(label, b, label[a])
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            break
+    return label
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """Components of an undirected graph: (node, component), component the smallest node of it.
 

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, slices, stored
+from .shared import connected_components, local_roots, slices, stored
 
 DISTANCE = 2
 #: Widths of the blocks; all but DISTANCE of them make a mask.
@@ -111,18 +111,10 @@ def group_roots(codes: np.ndarray, distance: int = DISTANCE) -> tuple[np.ndarray
     index = GrayIndex(codes)
     place = np.searchsorted(codes, index.codes)
     label = np.arange(len(codes))
-    block = 1 << 12
-    for _ in range(len(codes)):
-        before = label.copy()
-        for first in range(0, len(codes), block):
-            query, node = index.within(codes[first : first + block], distance)
-            a, b = query + first, place[node]
-            np.minimum.at(label, a, label[b])
-            np.minimum.at(label, b, label[a])
-        while (label[label] != label).any():
-            label = label[label]
-        if (label == before).all():
-            break
+    for first in range(0, len(codes), 1 << 12):
+        query, node = index.within(codes[first : first + (1 << 12)], distance)
+        step = local_roots(len(codes), np.concatenate([query + first, np.arange(len(codes))]), np.concatenate([place[node], label]))
+        label = step
     return codes, codes[label]
 
 
