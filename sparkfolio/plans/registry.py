@@ -6,14 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
 
 
-def query(sql: str | None = None):
+def query(sql: str | None = None) -> Callable[[Query], Query]:
     """Register a function under its own name, with the SQL that gives the same rows."""
 
-    def register(f):
+    def register(f: Query) -> Query:
         _QUERIES[f.__name__] = f
         if sql:
             _SQL[f.__name__] = sql
@@ -22,11 +23,7 @@ def query(sql: str | None = None):
     return register
 
 
-def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(_QUERIES.values()))(spark, sf_dir)
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 
 
