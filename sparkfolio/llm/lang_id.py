@@ -48,7 +48,7 @@ class ContextModel:
     def __init__(self, languages: list[str], counts: dict[str, np.ndarray], least: int, table_bytes: int) -> None:
         self.languages = languages
         lang, size, code, n = (counts[k] for k in ("lang", "size", "code", "n"))
-        used = np.unique(code[size == 1] & 255)
+        used = np.union1d(code[size == 1] & 255, [BEFORE])
         self.symbol = np.full(256, len(used), np.uint8 if len(used) < 256 else np.int32)
         self.symbol[used] = np.arange(len(used))
         width, langs = len(used) + 1, len(languages)
