@@ -173,26 +173,26 @@ def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _TRIGRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i::int, 3)))))"
 _SIMILAR = f"""
-    with t as (select p_partkey, p_name, {_TRIGRAMS.format('p_name')} as a, {_TRIGRAMS.format("'green metallic'")} as b from part),
+    with t as (select p_partkey, p_name, {_TRIGRAMS.format('p_name')} as a, {_TRIGRAMS.format("'steel bolt small'")} as b from part),
     s as (select p_partkey, p_name, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) as s from t)"""
 
 
 @query(f"{_SIMILAR} select p_partkey, round(s, 6) as score from s")
 def trigram_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read_table(spark, sf_dir, "part")
-    return parts.select("p_partkey", F.round(terms.similarity(F.col("p_name"), F.lit("green metallic")), 6).alias("score"))
+    return parts.select("p_partkey", F.round(terms.similarity(F.col("p_name"), F.lit("steel bolt small")), 6).alias("score"))
 
 
 @query(f"{_SIMILAR} select p_partkey, p_name from s where s >= 0.3")
 def fuzzy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read_table(spark, sf_dir, "part")
-    return parts.filter(terms.similarity(F.col("p_name"), F.lit("green metallic")) >= 0.3).select("p_partkey", "p_name")
+    return parts.filter(terms.similarity(F.col("p_name"), F.lit("steel bolt small")) >= 0.3).select("p_partkey", "p_name")
 
 
 @query()
 def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read_table(spark, sf_dir, "part")
-    return parts.select("p_partkey", terms.word_similarity(F.lit("metallic"), F.col("p_name")).alias("score"))
+    return parts.select("p_partkey", terms.word_similarity(F.lit("steel"), F.col("p_name")).alias("score"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
