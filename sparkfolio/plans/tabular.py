@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -91,7 +92,7 @@ def event_latest_action(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream in one batch, its result left as a table: files to convert and to delete."""
     folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkfolio-")).rstrip("/")
-    log, out = f"{folder}/log-{id(object())}", f"{folder}/out-{id(object())}"
+    log, out = f"{folder}/log-{uuid.uuid4().hex}", f"{folder}/out-{uuid.uuid4().hex}"
     _file_events(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).coalesce(4).write.mode("overwrite").text(log)
     from ..sources import event_stream
 

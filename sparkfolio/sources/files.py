@@ -23,7 +23,10 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, mode: str
 
 
 def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Rows (file_uid, name, content, version, is_dir) of the files under ``path``; the version is the time of change."""
+    """Rows (file_uid, name, content, version, is_dir) of the files under ``path``; the version is the time of change.
+
+    Spark's reader leaves out files without a byte.
+    """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
     return raw.select(
         F.col("path").alias("file_uid"), F.element_at(F.split("path", "/"), -1).alias("name"), "content",

@@ -7,50 +7,41 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import StructType
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-KEPT = "file_uid string, allowed boolean, at double"
+ANSWERS = "tenant string, user string, file_uid string, allowed boolean"
+#: What is kept of one (tenant, user): files, what was decided, and when.
+KEPT = "files array<string>, allowed array<boolean>, at array<double>"
 
 
-class DecisionCache(StatefulProcessor):
-    """State of one (tenant, user): decisions by file with their time.
+def cached_decisions(rows: DataFrame, seconds: float = 300) -> DataFrame:
+    """Answers (tenant, user, file_uid, allowed) to the questions in a stream of rows (tenant, user, kind, file_uid, allowed, at).
 
-    Rows of kind "decision" are noted, rows of kind "ask" are answered from what is noted and not too old (null: ask the
-    source), rows of kind "forget" clear a file, or all with a null file. Rows are taken in order of ``at``.
+    The state of one (tenant, user) is its decisions by file with their time. Rows of kind "decision" are noted, rows of
+    kind "ask" answered from what is noted and less than ``seconds`` old (null: ask the source), rows of kind "forget"
+    clear a file, or all with a null file. Rows count in order of ``at``. Old decisions are dropped at each batch.
     """
-
-    def __init__(self, seconds: float = 300) -> None:
-        self.seconds = seconds
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.known = handle.getMapState("known", "file_uid string", "allowed boolean, at double", int(self.seconds * 1000) or None)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+    def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        files, allowed, at = state.get if state.exists else ([], [], [])
+        known = {f: (a, t) for f, a, t in zip(files, allowed, at)}
         out = []
-        for batch in rows:
-            for r in batch.sort_values("at", kind="stable").itertuples():
-                file = (r.file_uid,)
-                if r.kind == "decision" and self.seconds > 0:
-                    self.known.updateValue(file, (bool(r.allowed), float(r.at)))
-                elif r.kind == "forget":
-                    if r.file_uid is None:
-                        self.known.clear()
-                    elif self.known.containsKey(file):
-                        self.known.removeKey(file)
-                elif r.kind == "ask":
-                    found = self.known.getValue(file) if self.known.containsKey(file) else None
-                    good = found is not None and r.at - found[1] < self.seconds
-                    out.append((*key, r.file_uid, found[0] if good else None))
-        yield pd.DataFrame(out, columns=["tenant", "user", "file_uid", "allowed"])
-
-    def close(self) -> None:
-        pass
-
-
-def cached_decisions(rows: DataFrame, schema: StructType | str = "tenant string, user string, file_uid string, allowed boolean", seconds: float = 300) -> DataFrame:
-    """Answers (tenant, user, file_uid, allowed) to the questions in a stream of rows (tenant, user, kind, file_uid, allowed, at)."""
-    return rows.groupBy("tenant", "user").transformWithStateInPandas(DecisionCache(seconds), schema, "Append", "ProcessingTime")
+        for r in pd.concat(list(batches)).sort_values("at", kind="stable").itertuples():
+            known = {f: v for f, v in known.items() if r.at - v[1] < seconds}
+            if r.kind == "decision" and seconds > 0:
+                known[r.file_uid] = (bool(r.allowed), float(r.at))
+            elif r.kind == "forget" and r.file_uid is None:
+                known.clear()
+            elif r.kind == "forget":
+                known.pop(r.file_uid, None)
+            elif r.kind == "ask":
+                out.append((*key, r.file_uid, known[r.file_uid][0] if r.file_uid in known else None))
+        if known:
+            state.update((list(known), [bool(a) for a, _ in known.values()], [t for _, t in known.values()]))
+        elif state.exists:
+            state.remove()
+        yield pd.DataFrame(out, columns=["tenant", "user", "file_uid", "allowed"]).astype({"allowed": "object"})
+
+    return rows.groupBy("tenant", "user").applyInPandasWithState(answer, ANSWERS, KEPT, "append", GroupStateTimeout.NoTimeout)
 
 
 def invalidations(events: DataFrame) -> DataFrame:
