@@ -59,7 +59,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token ids of each row, and digests of them and of what they decode to."""
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.decode(bpe.encode(docs, path, ["doc_id", "source"]), path)
+    coded = bpe.encode_decode(docs, path, ["doc_id", "source"])
     return coded.select(
         "doc_id", "source", F.size("ids").cast("long").alias("n_tokens"), "ids",
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),

@@ -19,10 +19,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import distinct_pieces, pretoken_starts, vocabulary
-from .shared import slices, spread, texts_of
+from .shared import give_back, slices, spread, texts_of
 
 #: Encodings of pre-tokens, and answers of the pair test, that a Python worker remembers; beyond that it starts anew.
-REMEMBERED, REMEMBERED_PAIRS = 300_000, 500_000
+REMEMBERED, REMEMBERED_PAIRS = 200_000, 200_000
 
 
 class PrefixEncoder:
@@ -105,6 +105,12 @@ class PrefixEncoder:
             at -= length[last[at]]
         return ids[::-1]
 
+    def forget(self) -> None:
+        """Drop what was remembered."""
+        self.seen.clear()
+        self.answers.clear()
+        self.spines.clear()
+
     def packed(self, piece: bytes) -> bytes:
         """The ids as 32-bit integers."""
         out = self.seen.get(piece)
@@ -126,18 +132,14 @@ def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
-def encode(df: DataFrame, path: str, key: str | list[str] = "doc_id", text: str = "text", ids: str = "ids") -> DataFrame:
-    """The key columns of each row and its token ids, an array of integers in column ``ids``.
+def _schema(df: DataFrame, columns: list[str], *more: str) -> str:
+    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), *more])
 
-    Ids are those of the tokenizers library without added special tokens, truncation or padding; its special string
-    inside a text is its one id. A null or empty text has an empty array. Rows keep their number, repeated ones too;
-    other columns are dropped, so that names cannot clash. Nothing is shuffled.
-    """
-    keys = [key] if isinstance(key, str) else list(key)
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keys), f"`{ids}` array<int>"])
 
-    def encode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = encoder(path)
+def _encoded(batches: Iterator[pa.RecordBatch], path: str, keys: list[str], ids: str) -> Iterator[pa.RecordBatch]:
+    """Batches of keys and ids for batches of keys and __text."""
+    model = encoder(path)
+    try:
         for batch in slices(batches, "__text", 4 << 20):
             raw, bounds = texts_of(batch.column("__text"))
             starts = pretoken_starts(raw, bounds, model.words.special)
@@ -148,8 +150,42 @@ def encode(df: DataFrame, path: str, key: str | list[str] = "doc_id", text: str
             out = flat[spread((np.cumsum(lengths) - lengths)[at], lengths[at])]
             ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.searchsorted(starts, bounds)]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keys), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(out))], [*keys, ids])
+    finally:
+        model.forget()
+        give_back()
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str, keep: list[str], ids: str, text: str) -> Iterator[pa.RecordBatch]:
+    """The batches with the column ``text`` besides ``keep``."""
+    words = vocabulary(path)
+    tokens = [words.token.get(i, b"") for i in range(words.size)] + [b""]
+    lengths = np.array([len(t) for t in tokens])
+    starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), np.uint8)
+    for whole in batches:
+        for first in range(0, whole.num_rows, 1000):
+            batch = whole.slice(first, 1000)
+            column = batch.column(ids)
+            values = column.flatten()
+            if values.null_count:
+                values = values.fill_null(-1)
+            at = values.to_numpy(zero_copy_only=False)
+            at = np.where((at >= 0) & (at < words.size), at, words.size)
+            counts = np.fromiter((0 if n is None else n for n in column.value_lengths().to_pylist()), np.int64, len(column))
+            ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], np.cumsum(counts)])]
+            raw = flat[spread(starts[at], lengths[at])].tobytes()
+            out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, text])
+
+
+def encode(df: DataFrame, path: str, key: str | list[str] = "doc_id", text: str = "text", ids: str = "ids") -> DataFrame:
+    """The key columns of each row and its token ids, an array of integers in column ``ids``.
 
-    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(encode_batches, schema)
+    Ids are those of the tokenizers library without added special tokens, truncation or padding; its special string
+    inside a text is its one id. A null or empty text has an empty array. Rows keep their number, repeated ones too;
+    other columns are dropped, so that names cannot clash. Nothing is shuffled.
+    """
+    keys = [key] if isinstance(key, str) else list(key)
+    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(lambda batches: _encoded(batches, path, keys, ids), _schema(df, keys, f"`{ids}` array<int>"))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -159,26 +195,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     column of ``df`` named like ``text`` is replaced.
     """
     keep = [c for c in df.columns if c != text]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep), f"`{text}` string"])
-
-    def decode_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = vocabulary(path)
-        tokens = [words.token.get(i, b"") for i in range(words.size)] + [b""]
-        lengths = np.array([len(t) for t in tokens])
-        starts, flat = np.cumsum(lengths) - lengths, np.frombuffer(b"".join(tokens), np.uint8)
-        for whole in batches:
-            for first in range(0, whole.num_rows, 1000):
-                batch = whole.slice(first, 1000)
-                column = batch.column(ids)
-                values = column.flatten()
-                if values.null_count:
-                    values = values.fill_null(-1)
-                at = values.to_numpy(zero_copy_only=False)
-                at = np.where((at >= 0) & (at < words.size), at, words.size)
-                counts = np.fromiter((0 if n is None else n for n in column.value_lengths().to_pylist()), np.int64, len(column))
-                ends = np.concatenate([[0], np.cumsum(lengths[at])])[np.concatenate([[0], np.cumsum(counts)])]
-                raw = flat[spread(starts[at], lengths[at])].tobytes()
-                out = [raw[a:b].decode("utf-8", "replace") for a, b in zip(ends.tolist(), ends[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(out, pa.string())], [*keep, text])
-
-    return df.select(*keep).mapInArrow(decode_batches, schema)
+    return df.select(*keep).mapInArrow(lambda batches: _decoded(batches, path, keep, ids, text), _schema(df, keep, f"`{text}` string"))
+
+
+def encode_decode(df: DataFrame, path: str, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
+    """The key columns, the ``ids`` of encode() and the text ``decoded`` from them, in one pass through Python."""
+    keys = [key] if isinstance(key, str) else list(key)
+
+    def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _decoded(_encoded(batches, path, keys, "ids"), path, [*keys, "ids"], "ids", "decoded")
+
+    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(both, _schema(df, keys, "ids array<int>", "decoded string"))

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import LETTER, byte_classes
-from .shared import slices, spread, texts_of
+from .shared import give_back, slices, spread, texts_of
 
 ORDER = 3
 #: What stands before a text's first byte.
@@ -61,38 +61,44 @@ class ContextModel:
                 out = out * width + self.symbol[codes >> 8 * k & 255]
             return out
 
-        probability = np.full((1, width, langs), 1 / 256)
-        tables, self.deepest = [], np.zeros(1, np.int32)
-        total = 0
+        # which contexts are kept, the most frequent first where there is no room for all
+        self.deepest = np.zeros(1, np.int32)  # number of the longest kept context, by the symbols before a byte
+        orders, total = [], 0
         for order in range(ORDER + 1):
             mine = size == order + 1
-            grams = compact(code[mine], order + 1)
-            contexts, amount = np.unique(grams // width, return_inverse=True)
-            weight = np.bincount(amount, n[mine], len(contexts))
-            keep = np.ones(len(contexts), bool) if not order else weight >= least
-            spare = room - total
-            if order and keep.sum() > spare:
-                keep[np.argsort(-weight, kind="stable")[spare:]] = False
-            number = np.cumsum(keep) - 1
-            contexts = contexts[keep]
-            chosen = keep[amount]
-            seen = np.zeros((len(contexts) or 1, width, langs), np.float32)
-            np.add.at(seen, (number[amount[chosen]], grams[chosen] % width, lang[mine][chosen]), n[mine][chosen])
-            parents = np.zeros(1, np.int64) if not order else self.deepest[contexts % width ** (order - 1)]
-            below = probability[parents] if order else probability
-            mass, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            free = np.maximum(1 - np.where(seen > 0, below, 0).sum(1, keepdims=True), 1e-12)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                here = np.where(seen > 0, seen / (mass + kinds), kinds / (mass + kinds) * np.minimum(below / free, 1))
-            here = np.where(mass > 0, here, below).astype(np.float32)
-            tables.append(here)
+            grams = compact(code[mine].astype(np.int64), order + 1)
+            contexts, of = np.unique(grams // width, return_inverse=True)
+            weight = np.bincount(of, n[mine], len(contexts))
+            keep = weight >= (least if order else 0)
+            if order and keep.sum() > room - total:
+                keep[np.argsort(-weight, kind="stable")[max(room - total, 0) :]] = False
+            number = np.where(keep, np.cumsum(keep) - 1, -1)[of]
+            chosen = number >= 0
+            by = np.argsort(number[chosen], kind="stable")
+            parents = np.zeros(len(contexts), np.int32)
             if order:
-                shorter = np.tile(self.deepest, width) if order > 1 else np.zeros(width, np.int32)
-                shorter[contexts] = total + np.arange(len(contexts))
-                self.deepest = shorter.astype(np.int32)
-            total += len(contexts) if order else 1
-            probability = np.concatenate(tables) if order < ORDER else None
-        self.bits = -np.log2(np.concatenate(tables).reshape(-1, langs).clip(1e-30), dtype=np.float32)
+                parents = self.deepest[contexts % width ** (order - 1)]
+                longer = np.tile(self.deepest, width) if order > 1 else np.zeros(width, np.int32)
+                longer[contexts[keep]] = total + np.arange(keep.sum())
+                self.deepest = longer
+            orders.append((total, parents[keep], *(x[chosen][by] for x in (number, grams % width, lang[mine], n[mine]))))
+            total += int(keep.sum())
+        # probabilities a block of contexts at a time, in the table itself
+        table = np.empty((total, width, langs), np.float32)
+        for order, (start, parents, number, sign, label, times) in enumerate(orders):
+            for first in range(0, len(parents), 512):
+                last = min(first + 512, len(parents))
+                a, b = np.searchsorted(number, (first, last))
+                seen = np.zeros((last - first, width, langs))
+                seen[number[a:b] - first, sign[a:b], label[a:b].astype(np.int64)] = times[a:b]
+                below = table[parents[first:last]] if order else np.full((1, width, langs), 1 / 256)
+                mass, kinds = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
+                free = np.maximum(1 - np.where(seen > 0, below, 0).sum(1, keepdims=True), 1e-12)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    here = np.where(seen > 0, seen / (mass + kinds), kinds / (mass + kinds) * np.minimum(below / free, 1))
+                table[start + first : start + last] = np.where(mass > 0, here, below)
+        np.log2(np.maximum(table, 1e-30, out=table), out=table)
+        self.bits = np.negative(table, out=table).reshape(-1, langs)
 
     def code_lengths(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bits of each text in each language."""
@@ -144,7 +150,7 @@ def _count(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), label)), pa.array(np.full(len(short), size)), pa.array(short.astype(np.int64)), pa.array(n_short)], ["lang", "size", "code", "n"])
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_a_language: int = 2500, max_languages: int = 64, least: int = 6, table_bytes: int = 48 << 20, max_counts: int = 1_000_000) -> ContextModel | None:
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_a_language: int = 2500, max_languages: int = 64, least: int = 6, table_bytes: int = 32 << 20, max_counts: int = 1_000_000) -> ContextModel | None:
     """Learn from the text and label of the rows that are not held out; None if there are none with both.
 
     It learns from a bounded sample: of each language, about ``docs_a_language`` documents (all, if there are fewer),
@@ -181,7 +187,8 @@ class _Frozen:
         import hashlib
 
         order = np.lexsort((counts["code"], counts["size"], counts["lang"]))
-        self.parts = (languages, {c: v[order] for c, v in counts.items()}, least, table_bytes)
+        kinds = {"lang": np.uint16, "size": np.uint8, "code": np.uint32, "n": np.int64}
+        self.parts = (languages, {c: counts[c][order].astype(kind) for c, kind in kinds.items()}, least, table_bytes)
         self.name = hashlib.sha256(repr((languages, least, table_bytes)).encode() + b"".join(v.tobytes() for v in self.parts[1].values())).hexdigest()
 
     def model(self) -> ContextModel:
@@ -215,5 +222,6 @@ def predict(df: DataFrame, frozen: _Frozen | None, key: str = "doc_id", text: st
             letters = np.concatenate([[0], np.cumsum(byte_classes(raw) == LETTER)])[bounds]
             none = letters[1:] == letters[:-1]
             yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(np.where(none, 0.0, share))], [key, "lang_pred", "score"])
+        give_back()
 
     return rows.mapInArrow(score, f"`{key}` {kind}, lang_pred string, score double")

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import LETTER, OTHER, SPACE, byte_classes, distinct_pieces
-from .shared import slices, sums, texts_of
+from .shared import give_back, slices, sums, texts_of
 
 BITS = 18
 GRADES = 3
@@ -184,5 +184,6 @@ def score(df: DataFrame, model: OrdinalModel | None, key: str = "doc_id", text:
             tails = sent.value.tails(*texts_of(batch.column("__text")))
             tail = tails[:, grade - 1]
             yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= least)], [key, "expected_grade", "tail_probability", "selected"])
+        give_back()
 
     return rows.mapInArrow(grade_batches, f"`{key}` {kind}, expected_grade double, tail_probability double, selected boolean")

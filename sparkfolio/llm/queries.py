@@ -48,8 +48,7 @@ def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
-    coded = bpe.encode(_table(spark, sf_dir, "documents"), path)
-    return bpe.decode(coded, path).select(
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), path).select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),

@@ -65,6 +65,19 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = 8 << 20) -
             yield batch.slice(start, end - start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at the end of a task; Python workers live on between tasks and stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Positions start, start + 1, ... of each run, one run after the other."""
     lengths = lengths.astype(np.int64)

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import connected_components, local_roots, slices, stored
+from .shared import connected_components, give_back, local_roots, slices, stored
 
 DISTANCE = 2
 #: Widths of the blocks; all but DISTANCE of them make a mask.
@@ -53,6 +53,7 @@ def fingerprints(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for batch in slices(batches, "__text"):
             codes = b"".join([fingerprint((t or "").encode()) for t in batch.column("__text").to_pylist()])
             yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(np.frombuffer(codes, ">i8").astype(np.int64))], [key, "__fp"])
+        give_back()
 
     return df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).mapInArrow(compute, f"`{key}` {kind}, __fp long")
 
