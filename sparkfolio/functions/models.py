@@ -6,6 +6,8 @@ many statements, are DataFrames of statements and strings that are grouped by en
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,22 +22,29 @@ def _latin(content: Column, start: int, length: int) -> Column:
     return F.decode(F.substring(content, start, length), "ISO-8859-1")
 
 
+def let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is in the expression, and evaluated, once."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _section(title: str, items: Column) -> Column:
     """A blank line, a heading and the items as a list; nothing without items."""
-    listed = F.transform(items, lambda x: F.concat(F.lit("- "), x))
-    return F.when(F.size(items) > 0, F.concat(F.array(F.lit(""), F.lit(f"## {title}")), listed)).otherwise(F.array().cast("array<string>"))
+    head = F.array(F.lit(""), F.lit(f"## {title}"))
+    return let(items, lambda xs: F.when(F.size(xs) > 0, F.concat(head, F.transform(xs, lambda x: F.concat(F.lit("- "), x)))).otherwise(F.array().cast("array<string>")))
 
 
 def _page(title: Column | str, *sections: Column) -> Column:
     """The title line and the sections' lines; null if there are none."""
-    rest = F.concat(*sections)
     head = F.lit(title) if isinstance(title, str) else title
-    return F.when(F.size(rest) > 0, F.array_join(F.concat(F.array(head), rest), "\n"))
+    return let(F.concat(*sections), lambda rest: F.when(F.size(rest) > 0, F.array_join(F.concat(F.array(head), rest), "\n")))
 
 
 def obj_text(content: Column) -> Column:
     """Comments, and names of objects, groups and materials, of a Wavefront OBJ file."""
-    lines = F.transform(_lines(decode_utf8(content)), strip)
+    return let(F.transform(_lines(decode_utf8(content)), strip), _obj_page)
+
+
+def _obj_page(lines: Column) -> Column:
     comments = dedupe(F.transform(F.filter(lines, lambda x: x.startswith("#")), lambda x: F.substring(x, F.lit(2), F.length(x))))
     named = F.filter(lines, lambda x: x.rlike(r"^(?:[og] |(?:usemtl|mtllib)\S*\s+\S)"))
     names = dedupe(F.transform(named, lambda x: F.regexp_replace(x, r"^(?:[og] |(?:usemtl|mtllib)\S*\s+)", "")))
@@ -51,16 +60,22 @@ def vrml_text(content: Column) -> Column:
 
 def iges_text(content: Column) -> Column:
     """Start section, and counted strings of the global section that are no numbers, of an IGES file."""
-    lines = F.filter(_lines(F.decode(content, "ISO-8859-1")), lambda x: F.length(x) >= 73)
+    return let(F.filter(_lines(F.decode(content, "ISO-8859-1")), lambda x: F.length(x) >= 73), _iges_page)
+
+
+def _iges_page(lines: Column) -> Column:
     of = lambda letter: F.transform(F.filter(lines, lambda x: F.substring(x, 73, 1) == letter), lambda x: F.substring(x, 1, 72))
-    flat = F.array_join(of("G"), "")
-    counts = F.regexp_extract_all(flat, F.lit(r"(\d+)H"), F.lit(1))
+    words = let(F.array_join(of("G"), ""), lambda flat: let(F.regexp_extract_all(flat, F.lit(r"(\d+)H"), F.lit(1)), lambda counts: _counted(flat, counts)))
+    return _page("# IGES CAD model", _section("Start section", dedupe(of("S"))), _section("Global", dedupe(words)))
+
+
+def _counted(flat: Column, counts: Column) -> Column:
+    """The counted strings that are no numbers."""
     # where each count ends: the signs up to and with the k-th of them
     ends = F.transform(F.sequence(F.lit(1), F.size(counts)), lambda k: F.length(F.regexp_substr(flat, F.concat(F.lit(r"(?s)^(?:.*?\d+H){"), k, F.lit("}")))))
     found = F.transform(F.arrays_zip(counts.alias("n"), ends.alias("at")), lambda z: F.substring(flat, z["at"] + 1, F.coalesce(z["n"].try_cast("int"), F.lit(0))))
     strings = F.when(F.size(counts) > 0, found).otherwise(F.array().cast("array<string>"))
-    words = F.filter(strings, lambda s: ~F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit("-"), F.lit("")).rlike(r"^\d+$"))
-    return _page("# IGES CAD model", _section("Start section", dedupe(of("S"))), _section("Global", dedupe(words)))
+    return F.filter(strings, lambda s: ~F.replace(F.replace(s, F.lit("."), F.lit("")), F.lit("-"), F.lit("")).rlike(r"^\d+$"))
 
 
 def las_text(content: Column) -> Column:
@@ -111,7 +126,11 @@ def gltf_text(content: Column) -> Column:
     """Generator, copyright, and names and textual extras of a glTF file's parts."""
     item = "array<struct<name:variant,extras:map<string,variant>>>"
     doc = F.from_json(gltf_json(content), f"asset struct<generator:variant,copyright:variant>, {', '.join(f'{c} {item}' for c in GLTF_COLLECTIONS)}")
-    said = lambda name, value: F.when(value.isNotNull(), F.array(F.concat(F.lit(f"{name}: "), value))).otherwise(F.array().cast("array<string>"))
+    return let(doc, _gltf_page)
+
+
+def _gltf_page(doc: Column) -> Column:
+    said = lambda name, value: let(value, lambda v: F.when(v.isNotNull(), F.array(F.concat(F.lit(f"{name}: "), v))).otherwise(F.array().cast("array<string>")))
     none = F.array().cast("array<string>")
     strings = lambda i: F.concat(F.array(_text_of(i["name"])), F.transform(F.map_values(F.coalesce(i["extras"], F.create_map().cast("map<string,variant>"))), _text_of))
     names = F.concat(*(F.coalesce(F.flatten(F.transform(F.filter(doc[c], lambda i: i.isNotNull()), strings)), none) for c in GLTF_COLLECTIONS))
@@ -127,7 +146,7 @@ def city_objects(content: Column) -> Column:
 def cityjson_text(content: Column) -> Column:
     """Title, reference system, and each object with its type and textual attributes, of a CityJSON file."""
     meta = F.from_json(decode_utf8(content), "metadata struct<title:variant,referenceSystem:variant>")["metadata"]
-    said = lambda name: F.when(_text_of(meta[name]).isNotNull(), F.array(F.concat(F.lit(f"{name}: "), _text_of(meta[name])))).otherwise(F.array().cast("array<string>"))
+    said = lambda name: let(_text_of(meta[name]), lambda v: F.when(v.isNotNull(), F.array(F.concat(F.lit(f"{name}: "), v))).otherwise(F.array().cast("array<string>")))
     pairs = lambda a: F.filter(F.transform(F.map_entries(a), lambda e: F.concat(e["key"], F.lit(": "), _text_of(e["value"]))), lambda s: s.isNotNull())
     row = lambda e: F.array_join(F.concat(F.array(e["key"]), F.filter(F.array(e["value"]["type"]), lambda t: t.isNotNull()), F.coalesce(pairs(e["value"]["attributes"]), F.array().cast("array<string>"))), " — ")
     rows = F.coalesce(F.transform(F.map_entries(city_objects(content)), row), F.array().cast("array<string>"))

@@ -50,9 +50,10 @@ def convert(files: DataFrame, documents: DataFrame, chunks: DataFrame, now: Colu
     """New documents, new chunks, and outcomes (file_uid, status, has_text, children) of the files that needed work.
 
     Files of a known type end as indexed if they have chunks, else as converted; others as unsupported. A new version
-    without text clears the old text and chunks, or leaves them with ``keep_stale``.
+    without text clears the old text and chunks, or leaves them with ``keep_stale``. The extracted texts are persisted, as
+    all three results need them. Spark plans all formats at once, which takes a minute on the driver whatever the input.
     """
-    done = extract(tables.outdated(files, documents, force))
+    done = extract(tables.outdated(files, documents, force)).drop("content").persist()  # read by all three results
     cut = chunking.index_files(done.select("file_uid", F.col("text").alias("content_md")), dimension)
     has = cut.select("file_uid").distinct().withColumn("__has", F.lit(True))
     rows = done.join(has, "file_uid", "left")
