@@ -42,11 +42,16 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each component: the one that gives the component its name."""
-    found = simhash.near_duplicates(docs)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__id")).distinct()
-    one = F.row_number().over(Window.partitionBy("__id").orderBy(F.xxhash64("text")))
-    return _decided(docs, kept, "inner").withColumn("__row", one).filter("__row = 1").select(*docs.columns)
+    """Keep one row of each component: that of the least id, null last, then of the least digest of the text.
+
+    Ids may be null or repeated, so rows go by id and digest; of equal ones each task passes on only one.
+    """
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).alias("digest"))
+    found = simhash.near_duplicates(docs.select(row.alias("__row"), "text"), key="__row")
+    kept = found.filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
+    first = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
+    one = docs.withColumn("__row", row).withColumn("__copy", first).filter("__copy = 1")
+    return one.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

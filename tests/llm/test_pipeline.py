@@ -62,3 +62,18 @@ def test_toxic_and_doubled_texts_go(spark):
     kept = [r["selected"] for r in found if r["grade"] == 2]
     gone = [not r["selected"] for r in found if r["grade"] == 0]
     assert sum(kept) / len(kept) > 0.9 and sum(gone) / len(gone) > 0.5
+
+
+def test_each_component_keeps_one_row_whatever_its_ids(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = {k: " ".join(f"{k}{(n * n + 7 * n) % 101}x{n}" for n in range(60)) for k in "ABCDE"}
+    rows = [
+        (None, texts["A"]), (None, texts["A"]), (None, texts["B"]), (None, texts["C"]), (3, texts["C"]),
+        (3, texts["C"]), (7, texts["C"]), (7, texts["D"]), (8, texts["D"]), (5, texts["E"]), (5, ""), (None, None),
+    ]
+    odd = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], docs.schema)
+    found = corpus_pipeline.near_duplicates(spark, odd.repartition(3), SF)
+    assert found.columns == docs.columns
+    kept = [(r["doc_id"], r["text"]) for r in found.collect()]
+    expected = [(None, texts["A"]), (None, texts["B"]), (3, texts["C"]), (7, texts["D"]), (5, texts["E"]), (5, "")]
+    assert sorted(kept, key=repr) == sorted(expected, key=repr)
