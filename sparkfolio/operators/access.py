@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .tables import settled
+
 
 def readable(rows: DataFrame, grants: DataFrame, live: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
     """Rows with a grant, and of files that exist; whatever is missing or null is denied. Columns and number stay.
@@ -50,33 +54,35 @@ def forget(decisions: DataFrame, events: DataFrame) -> DataFrame:
     return decisions
 
 
-def folder_scope(edges: DataFrame, roots: DataFrame, grants: DataFrame | None = None, max_depth: int = 64, most_folders: int | None = None) -> DataFrame:
+def folder_scope(edges: DataFrame, roots: DataFrame, grants: DataFrame | None = None, most_folders: int | None = None) -> DataFrame:
     """Distinct ids of the files under the folders ``roots`` (column uid), over ``edges`` (parent, child, is_container).
 
-    Level by level; a folder seen before is not walked again, so a cycle ends. With ``grants`` (column file_uid), folders
-    and files that cannot be read are left out. ``most_folders`` bounds the folders walked, by id within a level.
+    Level by level, however deep; a folder seen before is not walked again, so a cycle ends. With ``grants`` (column
+    file_uid), folders and files that cannot be read are left out. ``most_folders`` bounds the folders walked, by id
+    within a level.
     """
     rights = grants.select(F.col("file_uid").alias("uid")).distinct() if grants is not None else None
     may = (lambda df: df.join(rights, "uid", "left_semi")) if rights is not None else (lambda df: df)
     level = may(roots.select("uid").distinct())
-    seen, files = None, None
+    seen = None
     walked = 0
-    for _ in range(max_depth):
+    for depth in count(1):
         level = level if seen is None else level.join(seen, "uid", "left_anti")
         if most_folders is not None:
             level = level.orderBy("uid").limit(max(0, most_folders - walked))
-        level = level.checkpoint() if level.sparkSession.sparkContext.getCheckpointDir() else level.cache()
+        level = settled(level)
         n = level.count()
         if not n:
             break
         walked += n
         seen = level if seen is None else seen.union(level)
-        below = edges.join(level.withColumnRenamed("uid", "parent"), "parent")
-        found = may(below.filter(~F.col("is_container")).select(F.col("child").alias("uid")))
-        files = found if files is None else files.union(found)
-        level = may(below.filter("is_container").select(F.col("child").alias("uid")).distinct())
-    empty = edges.select(F.col("child").alias("uid")).limit(0)
-    return (files if files is not None else empty).distinct().withColumnRenamed("uid", "file_uid")
+        if depth % 8 == 0:  # one table of the levels so far
+            seen = settled(seen.repartition("uid"))
+        below = edges.filter("is_container").join(level.withColumnRenamed("uid", "parent"), "parent")
+        level = may(below.select(F.col("child").alias("uid")).distinct())
+    folders = (level if seen is None else seen).withColumnRenamed("uid", "parent")
+    files = edges.filter(~F.col("is_container")).join(folders, "parent").select(F.col("child").alias("uid"))
+    return may(files).distinct().withColumnRenamed("uid", "file_uid")
 
 
 def check_query(query: str, most: int = 1000) -> str:

@@ -164,15 +164,20 @@ def folder_listing(entries: DataFrame, most_folders: int = 200, most_files: int
     return entries.groupBy("parent").agg(shown(True, most_folders).alias("folders"), shown(False, most_files).alias("files"))
 
 
-def resolve_paths(paths: DataFrame, entries: DataFrame, root: str = "", max_depth: int = 32) -> DataFrame:
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed now and without its plan, so that loops do not pile up plans: in the checkpoint folder if one is set."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def resolve_paths(paths: DataFrame, entries: DataFrame, root: str = "") -> DataFrame:
     """Rows (path, uid, missing): the folder that a path leads to, or the first path that is not there.
 
-    One equi-join a level over ``entries`` (parent, uid, name, is_container).
+    One equi-join a level over ``entries`` (parent, uid, name, is_container), down to the deepest path.
     """
     folders = entries.filter("is_container").groupBy(F.col("parent").alias("__at"), F.col("name").alias("__name")).agg(F.min("uid").alias("__uid"))
     parts = F.filter(F.split(F.replace(F.coalesce("path", F.lit("")), F.lit("\\"), F.lit("/")), "/"), lambda p: strip(p) != "")
     rows = paths.select("path", parts.alias("parts"), F.lit(root).alias("uid"), F.lit(None).cast("string").alias("missing"))
-    depth = min(max_depth, rows.agg(F.max(F.size("parts"))).first()[0] or 0)
+    depth = rows.agg(F.max(F.size("parts"))).first()[0] or 0
     for k in range(depth):
         step = rows.withColumn("__name", F.when(F.size("parts") > k, F.get("parts", F.lit(k))))
         found = step.join(folders, (step["uid"] == folders["__at"]) & (step["__name"] == folders["__name"]), "left")
@@ -181,6 +186,8 @@ def resolve_paths(paths: DataFrame, entries: DataFrame, root: str = "", max_dept
             "path", "parts", F.when(step["__name"].isNull(), F.col("uid")).otherwise(F.col("__uid")).alias("uid"),
             F.when(gone, F.concat(F.lit("/"), F.array_join(F.slice("parts", 1, k + 1), "/"))).otherwise(F.col("missing")).alias("missing"),
         )
+        if k % 8 == 7 and k + 1 < depth:
+            rows = settled(rows)
     return rows.select("path", "uid", "missing")
 
 

@@ -102,6 +102,18 @@ def test_folder_scope(spark):
     assert ids(access.folder_scope(edges, roots("F1"), most_folders=1)) == ["a"]
 
 
+def test_folders_of_any_depth(spark):
+    chain = [(f"F{k}", f"F{k + 1}", True) for k in range(70)] + [(f"F{k}", f"f{k}", False) for k in (0, 35, 70)]
+    edges = spark.createDataFrame(chain, schemas.EDGES).coalesce(1)
+    roots = spark.createDataFrame([("F0",)], "uid string").coalesce(1)
+    assert sorted(r["file_uid"] for r in access.folder_scope(edges, roots).collect()) == ["f0", "f35", "f70"]
+    entries = spark.createDataFrame([(f"u{k}" if k else "", f"u{k + 1}", f"n{k}", True) for k in range(40)], "parent string, uid string, name string, is_container boolean")
+    whole = "/" + "/".join(f"n{k}" for k in range(40))
+    paths = spark.createDataFrame([(whole,), (whole + "/x",), (whole[: whole.index("/n33")],)], "path string").coalesce(1)
+    found = {r["path"]: (r["uid"], r["missing"]) for r in tables.resolve_paths(paths, entries.coalesce(1)).collect()}
+    assert found == {whole: ("u40", None), whole + "/x": (None, whole + "/x"), whole[: whole.index("/n33")]: ("u33", None)}
+
+
 def test_guards():
     assert access.check_query("  x ") == "x" and access.check_query("x" * 2000, 0)
     for bad in ("", "  ", None, "x" * 1001):
