@@ -17,11 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bytelevel import LETTER, byte_classes
-from .shared import give_back, slices, spread, texts_of
+from .shared import give_back, slices, spread, stored, texts_of
 
 ORDER = 3
 #: What stands before a text's first byte.
 BEFORE = 10
+#: Text that is scored with one table before the next is made, where there are several.
+HELD_BYTES = 64 << 20
 
 
 def held_out(key: str = "doc_id") -> Column:
@@ -61,7 +63,7 @@ class ContextModel:
                 out = out * width + self.symbol[codes >> 8 * k & 255]
             return out
 
-        # which contexts are kept, the most frequent first where there is no room for all
+        # which contexts are kept; where there is no room for all, those first that are the largest parts of their languages
         self.deepest = np.zeros(1, np.int32)  # number of the longest kept context, by the symbols before a byte
         orders, total = [], 0
         for order in range(ORDER + 1):
@@ -71,7 +73,8 @@ class ContextModel:
             weight = np.bincount(of, n[mine], len(contexts))
             keep = weight >= (least if order else 0)
             if order and keep.sum() > room - total:
-                keep[np.argsort(-weight, kind="stable")[max(room - total, 0) :]] = False
+                part = np.where(keep, np.bincount(of, (n / np.bincount(lang, n)[lang])[mine], len(contexts)), -1)
+                keep[np.argsort(-part, kind="stable")[max(room - total, 0) :]] = False
             number = np.where(keep, np.cumsum(keep) - 1, -1)[of]
             chosen = number >= 0
             by = np.argsort(number[chosen], kind="stable")
@@ -150,36 +153,63 @@ def _count(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), label)), pa.array(np.full(len(short), size)), pa.array(short.astype(np.int64)), pa.array(n_short)], ["lang", "size", "code", "n"])
 
 
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_a_language: int = 2500, max_languages: int = 64, least: int = 6, table_bytes: int = 32 << 20, max_counts: int = 1_000_000) -> ContextModel | None:
-    """Learn from the text and label of the rows that are not held out; None if there are none with both.
+def _shared_out(sizes: list[int], most: int) -> int:
+    """The greatest bound such that parts of these sizes, each cut at it, are ``most`` together at most (1 at least)."""
+    left = sorted(sizes)
+    while left and left[0] * len(left) <= most:
+        most -= left.pop(0)
+    return max(1, most // len(left)) if left else max(sizes, default=1)
+
+
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_a_language: int = 2500, languages_a_table: int = 8, least: int = 6, table_bytes: int = 32 << 20, max_counts: int = 1_000_000) -> _Frozen | None:
+    """Learn all labels from the text and label of the rows that are not held out; None if there are none with both.
 
     It learns from a bounded sample: of each language, about ``docs_a_language`` documents (all, if there are fewer),
-    those of the least hash of their id. Counting runs where the documents are; the summed counts, at most
-    ``max_counts``, the most frequent, make the model. Contexts seen fewer than ``least`` times, or that do not fit in
-    ``table_bytes``, are left to shorter ones. The ``max_languages`` most frequent labels are learned.
+    those of the least hash of their id. Counting runs where the documents are. Each ``languages_a_table`` languages, in
+    order, make a model of their own, so that more languages take no room from each other. A model is made of
+    ``max_counts`` summed counts at most: each language has the same share of them, the most frequent ones, and what it
+    does not need is the others'. Contexts seen fewer than ``least`` times, or that do not fit in ``table_bytes``, are
+    left to shorter ones.
     """
+    spark = df.sparkSession
     usable = df.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    found = usable.groupBy(F.col(lang).alias("lang")).count().orderBy(F.desc("count"), "lang").limit(max_languages).collect()
+    found = usable.groupBy(F.col(lang).alias("lang")).count().collect()
     if not found:
         return None
     languages = sorted(r["lang"] for r in found)
-    place = F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30))
-    part = F.lit(False)
-    for r in found:
-        part = part | (F.col(lang) == r["lang"]) & (place < int((1 << 30) * min(1.0, docs_a_language / r["count"])))
-    sample = usable.filter(part).select(F.col(text).alias("__text"), F.col(lang).alias("__lang"))
-    counts = (
+    below = spark.createDataFrame([(r["lang"], int((1 << 30) * min(1.0, docs_a_language / r["count"]))) for r in found], "__lang string, __below long")
+    rows = usable.select(F.col(text).alias("__text"), F.col(lang).alias("__lang"), F.pmod(F.xxhash64(F.col(key)), F.lit(1 << 30)).alias("__place"))
+    sample = rows.join(F.broadcast(below), "__lang").filter("__place < __below").select("__text", "__lang")
+    counts = stored(
         sample.mapInArrow(lambda batches: _count(batches, languages), "lang long, size long, code long, n long")
-        .groupBy("lang", "size", "code").agg(F.sum("n").alias("n"))
-        .orderBy(F.col("size") > 2, F.desc("n"), "size", "code", "lang").limit(max_counts).toArrow()
+        .groupBy("lang", "size", "code").agg(F.sum("n").alias("n")), "language_counts",
     )
-    if not counts.num_rows:
+    sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
+    tables = []
+    for first in range(0, len(languages), languages_a_table):
+        block = range(first, min(first + languages_a_table, len(languages)))
+        if not any(k in sizes for k in block):
+            continue
+        most = _shared_out([sizes.get(k, 0) for k in block], max_counts)
+        chosen = counts.filter(F.col("lang").between(block[0], block[-1]) & ~F.col("lang").isin([k for k in block if sizes.get(k, 0) > most]))
+        for k in block:
+            if sizes.get(k, 0) > most:
+                chosen = chosen.union(counts.filter(F.col("lang") == k).orderBy(F.col("size") > 2, F.desc("n"), "size", "code").limit(most))
+        got = chosen.toArrow()
+        arrays = {c: got.column(c).to_numpy() for c in got.column_names}
+        arrays["lang"] = arrays["lang"] - first
+        tables.append(_Frozen(languages[first : block[-1] + 1], arrays, least, table_bytes))
+    if not tables:
         return None
-    return _Frozen(languages, {c: counts.column(c).to_numpy() for c in counts.column_names}, least, table_bytes)
+    tables[0].others = tables[1:]
+    return tables[0]
 
 
 class _Frozen:
-    """What a model is made from; each Python worker makes its own once, so that only the counts are sent."""
+    """What a model is made from; each Python worker makes its own, so that only the counts are sent.
+
+    ``others`` are those of the languages that are in tables of their own.
+    """
 
     made: dict[str, ContextModel] = {}
 
@@ -188,6 +218,7 @@ class _Frozen:
 
         order = np.lexsort((counts["code"], counts["size"], counts["lang"]))
         kinds = {"lang": np.uint16, "size": np.uint8, "code": np.uint32, "n": np.int64}
+        self.others: list[_Frozen] = []
         self.parts = (languages, {c: counts[c][order].astype(kind) for c, kind in kinds.items()}, least, table_bytes)
         self.name = hashlib.sha256(repr((languages, least, table_bytes)).encode() + b"".join(v.tobytes() for v in self.parts[1].values())).hexdigest()
 
@@ -198,6 +229,19 @@ class _Frozen:
         return self.made[self.name]
 
 
+def _held(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.RecordBatch]]:
+    """The batches in order, in lists of about ``limit`` bytes of text; one by one if that is 0."""
+    held, total = [], 0
+    for batch in batches:
+        held.append(batch)
+        total += len(texts_of(batch.column("__text"))[0])
+        if total >= limit:
+            yield held
+            held, total = [], 0
+    if held:
+        yield held
+
+
 def predict(df: DataFrame, frozen: _Frozen | None, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (key, lang_pred, score) for every row of ``df``, in its order and number.
 
@@ -209,19 +253,30 @@ def predict(df: DataFrame, frozen: _Frozen | None, key: str = "doc_id", text: st
     kind = df.schema[key].dataType.simpleString()
     if frozen is None:
         return rows.select(F.col("__key").alias(key), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = df.sparkSession.sparkContext.broadcast(frozen)  # bounded by max_counts
+    sent = df.sparkSession.sparkContext.broadcast(frozen)  # max_counts a table at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = sent.value.model()
-        names = np.array([*model.languages, "und"], object)
-        for batch in slices(batches, "__text", 4 << 20):
-            raw, bounds = texts_of(batch.column("__text"))
-            bits = model.code_lengths(raw, bounds)
-            best = bits.argmin(1)
-            share = 1 / np.exp2(np.maximum(bits.min(1, keepdims=True) - bits, -1000)).sum(1)
-            letters = np.concatenate([[0], np.cumsum(byte_classes(raw) == LETTER)])[bounds]
-            none = letters[1:] == letters[:-1]
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(np.where(none, 0.0, share))], [key, "lang_pred", "score"])
+        tables = [sent.value, *sent.value.others]
+        names = np.array([name for t in tables for name in t.parts[0]] + ["und"], object)
+        for held in _held(slices(batches, "__text", 4 << 20), HELD_BYTES if len(tables) > 1 else 0):
+            state = [(np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)) for batch in held]
+            first = 0
+            for t in tables:  # one table in memory at a time
+                model = t.model()
+                for k, batch in enumerate(held):
+                    low, best, mass = state[k]
+                    bits = model.code_lengths(*texts_of(batch.column("__text")))
+                    least = bits.min(1)
+                    best = np.where(least < low, first + bits.argmin(1), best)
+                    now = np.minimum(low, least)
+                    mass = mass * np.exp2(np.maximum(now - low, -1000)) + np.exp2(np.maximum(now[:, None] - bits, -1000)).sum(1)
+                    state[k] = now, best, mass
+                first += len(t.parts[0])
+            for batch, (_, best, mass) in zip(held, state):
+                raw, bounds = texts_of(batch.column("__text"))
+                letters = np.concatenate([[0], np.cumsum(byte_classes(raw) == LETTER)])[bounds]
+                none = letters[1:] == letters[:-1]
+                yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(np.where(none, 0.0, 1 / mass))], [key, "lang_pred", "score"])
         give_back()
 
     return rows.mapInArrow(score, f"`{key}` {kind}, lang_pred string, score double")

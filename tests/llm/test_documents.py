@@ -224,6 +224,32 @@ def test_language_id_code_lengths_and_rules(spark):
     assert out[500]["score"] == 0 and all(0 <= r["score"] <= 1 for r in found) and out[505]["lang_pred"] in words
 
 
+def test_language_id_learns_all_languages(spark):
+    rng = random.Random(5)
+    free = iter(k for k in range(100_000) if zlib.crc32(str(k).encode()) % 3 != 1)
+    words = {f"l{k:02}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüñø") for _ in range(6)) for _ in range(8)] for k in range(70)}
+    rows = [(next(free), " ".join(rng.choice(words[lang]) for _ in range(60)), lang, "s") for k, lang in enumerate(words) for _ in range(3 if k % 10 else 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(4)
+    model = lang_id.train(docs)
+    tables = [model, *model.others]
+    assert [x for t in tables for x in t.parts[0]] == sorted(words)
+    found = {r["doc_id"]: r for r in lang_id.predict(docs, model).collect()}
+    assert [found[k]["lang_pred"] for k, _, _, _ in rows] == [lang for _, _, lang, _ in rows]
+    assert all(0.99 < r["score"] <= 1 for r in found.values())
+    bits = np.concatenate([t.model().code_lengths(*shared.texts_of(pa.array([rows[0][1]])))[0] for t in tables])
+    assert found[rows[0][0]]["score"] == pytest.approx(1 / np.exp2(bits.min() - bits).sum())
+
+
+def test_language_id_bounds_counts_by_language(spark):
+    rng = random.Random(6)
+    free = iter(k for k in range(100_000) if zlib.crc32(str(k).encode()) % 3 != 1)
+    texts = [("many", "".join(rng.choice("abcdefghij ") for _ in range(2000))) for _ in range(60)] + [("rare", "tuvw xyz tuv wxyz")]
+    docs = spark.createDataFrame([(next(free), t, lang) for lang, t in texts], "doc_id long, text string, lang string")
+    whole, cut = lang_id.train(docs), lang_id.train(docs, max_counts=1000)
+    rare = lambda m: int((m.parts[1]["lang"] == 1).sum())
+    assert rare(cut) == rare(whole) > 20 and len(cut.parts[1]["lang"]) == 1000 < len(whole.parts[1]["lang"])
+
+
 def test_language_id_learns_from_nothing_held_out(spark):
     held = [k for k in range(3000) if zlib.crc32(str(k).encode()) % 3 == 1][:50]
     docs = spark.createDataFrame([(k, "the thing", "en") for k in held], "doc_id long, text string, lang string")
