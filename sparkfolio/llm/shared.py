@@ -113,6 +113,26 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple
         yield name, pa.Table.from_batches(held)
 
 
+def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
+    """Runs of rows of equal ``keys`` as they come, without gathering them: the keys, whether they are new, the rows.
+
+    The batches come with equal keys together; a run that goes on in the next batch is handed over in pieces.
+    """
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        change = np.zeros(batch.num_rows - 1, bool)
+        for key in keys:
+            column = batch.column(key)
+            change |= pc.fill_null(pc.not_equal(column[1:], column[:-1]), False).to_numpy(zero_copy_only=False)
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), batch.num_rows]
+        for start, end in zip(cuts, cuts[1:]):
+            now = tuple(batch.column(key)[start].as_py() for key in keys)
+            yield now, now != last, batch.slice(start, end - start)
+            last = now
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0 to n - 1 and links a[i] - b[i], the least node that each is connected to."""
     label = np.arange(n)

@@ -132,14 +132,42 @@ def test_nearest_of_few_rows_is_exact(spark):
     assert neighbours.nearest(df.limit(0), df).count() == 0
 
 
+def recall(found, rows, queries):
+    hits = 0
+    for q in queries:
+        far = np.sqrt(((rows.astype(float) - rows[q]) ** 2).sum(1))
+        far[q] = np.inf
+        hits += len({r["vec_id"] for r in found if r["query_id"] == q} & set(np.argsort(far)[:10].tolist()))
+    return hits / len(queries) / 10
+
+
 def test_forest_recall(spark):
     rng = np.random.default_rng(9)
     rows = rng.normal(size=(12_000, 48)).astype(np.float32)
     df = spark.createDataFrame([(k, [float(x) for x in v]) for k, v in enumerate(rows)], "vec_id long, embedding array<float>")
     found = neighbours.nearest(df, df.filter("vec_id % 300 = 0")).collect()
-    hits = 0
-    for q in range(0, 12_000, 300):
-        far = np.sqrt(((rows.astype(float) - rows[q]) ** 2).sum(1))
-        far[q] = np.inf
-        hits += len({r["vec_id"] for r in found if r["query_id"] == q} & set(np.argsort(far)[:10].tolist()))
-    assert hits / 400 >= 0.9
+    assert recall(found, rows, range(0, 12_000, 300)) >= 0.9
+    assert np.mean([r["scored"] for r in found]) < 0.7 * len(rows)
+
+
+def test_forest_leaves_do_not_grow(spark, monkeypatch):
+    """Clustered vectors: most of a large table is left alone; nodes over BLOCK vectors are dealt out and lose nothing."""
+    rng = np.random.default_rng(10)
+    centres = rng.normal(size=(400, 24))
+    rows = (centres[rng.integers(400, size=30_000)] + 0.5 * rng.normal(size=(30_000, 24))).astype(np.float32)
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(rows.tolist())], "vec_id long, embedding array<float>")
+    asked = list(range(0, 30_000, 600))
+    for block in (neighbours.BLOCK, 300):
+        monkeypatch.setattr(neighbours, "BLOCK", block)
+        found = neighbours.nearest(df, df.filter("vec_id % 600 = 0")).collect()
+        assert recall(found, rows, asked) >= 0.9
+        assert np.mean([r["scored"] for r in found]) < 0.4 * len(rows)
+    forest = neighbours.Forest(rows[:2000].astype(float), 5_000_000)
+    assert forest.upper > 5 and forest.leaf == neighbours.LEAF and forest.leaves * forest.leaf * forest.blocks < 0.06 * 5_000_000
+
+
+def test_neighbours_of_vectors_of_several_lengths(spark):
+    rows = [(k, [float(k), 1.0]) for k in range(30)] + [(100 + k, [float(k), 1.0, 2.0]) for k in range(5)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("score", F.lit("x")).withColumn("node", F.lit(1)).withColumn("v", F.lit(2))
+    found = neighbours.nearest(df, df.filter("vec_id in (0, 100)")).orderBy("query_id", "rank").collect()
+    assert [r["vec_id"] for r in found] == [*range(1, 11), 101, 102, 103, 104]
