@@ -166,6 +166,36 @@ def test_gray_index_finds_all_links(n, spread):
     assert (roots == codes[[parent[i] for i in range(n)]]).all()
 
 
+def test_index_searches_all_shards(spark):
+    """Random fingerprints with planted neighbours, in many shards: the links' components are those of brute force."""
+    rng = np.random.default_rng(11)
+    base = rng.integers(1 << 63, size=60_000, dtype=np.uint64) * np.uint64(2) + rng.integers(2, size=60_000, dtype=np.uint64)
+    flips = rng.integers(64, size=(8_000, 2)).astype(np.uint64)
+    planted = base[:8_000] ^ (np.uint64(1) << flips[:, 0]) ^ (np.uint64(1) << flips[:, 1])
+    codes = np.unique(np.concatenate([base, planted, planted[:3_000] ^ np.uint64(1 << 40), np.array([0, 1, 1 << 63, 3 << 62], np.uint64)]))
+    singles = [1 << k for k in range(64)]
+    where = {int(c): k for k, c in enumerate(codes)}
+    links = []
+    for c, k in where.items():
+        for i, x in enumerate(singles):
+            links += [(k, where[c ^ m]) for m in (x, *(x | y for y in singles[i + 1 :])) if (c ^ m) in where]
+    wanted = components(range(len(codes)), links)
+    df = spark.createDataFrame([(c,) for c in codes.view(np.int64).tolist()], "__fp long").repartition(6)
+    edges = simhash.links(df)
+    found = {r["node"]: r["component"] for r in shared.connected_components(edges).collect()}
+    signed = codes.view(np.int64).tolist()
+    least = {}
+    for k, c in enumerate(signed):
+        least[wanted[k]] = min(least.get(wanted[k], c), c)
+    assert all(found.get(c, c) == least[wanted[k]] for k, c in enumerate(signed))
+    assert len(found) > 15_000
+    # the index reads a small part of what comparing all with all would
+    ordered = codes[np.argsort(simhash.gray_rank(codes))]
+    index = simhash.GrayIndex.of_codes(ordered)
+    hits = sum(len(node) for _, node in index.within(ordered[::50]))
+    assert hits >= len(ordered[::50]) and 0 < index.visits < 0.1 * len(ordered) * len(ordered[::50])
+
+
 def test_near_duplicates_of_odd_tables(spark):
     schema = "doc_id long, text string"
     assert simhash.near_duplicates(spark.createDataFrame([], schema)).count() == 0
