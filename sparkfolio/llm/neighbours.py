@@ -33,6 +33,8 @@ EFFORT, POWER = 20.3, 0.6
 NODE, VISITED = 1024, 768
 #: Vectors of a node that one task holds; a larger node is dealt out in blocks, each with lower levels of its own.
 BLOCK = 50_000
+#: Results that a task holds while it merges those of its nodes.
+HELD = 1 << 18
 
 _X = np.linspace(-37, 37, 7401)
 _COST = np.array([-math.log(0.5 * math.erfc(-x / math.sqrt(2))) for x in _X])
@@ -159,6 +161,22 @@ class Node:
         return query, self.ids[row], np.sqrt(squares.cumsum(1)[:, -1]) if len(query) else away[best], seen  # added up from the first place on
 
 
+def best_of(query: np.ndarray, rid: np.ndarray, away: np.ndarray, seen: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+    """The best ``k`` vectors of each query, each once; a query's ``seen`` is added up in its first row."""
+    order = np.lexsort((rid, away, query))
+    query, rid, away, seen = (x[order] for x in (query, rid, away, seen))
+    starts = np.flatnonzero(np.diff(query, prepend=query[:1] - 1))
+    total = np.add.reduceat(seen, starts) if len(starts) else seen
+    new = np.ones(len(query), bool)
+    new[1:] = (query[1:] != query[:-1]) | (rid[1:] != rid[:-1])
+    query, rid, away = query[new], rid[new], away[new]
+    starts = np.flatnonzero(np.diff(query, prepend=query[:1] - 1))
+    seen = np.zeros(len(query), np.int64)
+    seen[starts] = total
+    kept = np.arange(len(query)) - np.repeat(starts, np.diff(np.append(starts, len(query)))) < k
+    return query[kept], rid[kept], away[kept], seen[kept]
+
+
 def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str = "embedding", k: int = 10, effort: float = EFFORT) -> DataFrame:
     """Rows (query_id, rank, vec_id, score, scored): the ``k`` nearest found for each row of ``queries``, nearest first.
 
@@ -196,7 +214,7 @@ def nearest(df: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
 
 
 def _found(first: DataFrame, asked: DataFrame, n: int, k: int, effort: float, kind: str) -> DataFrame:
-    """Rows (query_id, rid, score, seen) over vectors of one length: what each visited node has found."""
+    """Rows (query_id, rid, score, seen) over vectors of one length: the best that each task has found in its nodes."""
     spark = first.sparkSession
     sample = first.orderBy(F.xxhash64("v"), "rid").limit(SAMPLE).select("v").toArrow()
     forest = Forest(matrix(sample.column("v")), n, k, effort)
@@ -247,7 +265,12 @@ def _found(first: DataFrame, asked: DataFrame, n: int, k: int, effort: float, ki
     met = both.repartition("node", "block").sortWithinPartitions("node", "block", ~F.isnan("room"))
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, node = [], None
+        held, node, made, size = [], None, [], 0
+
+        def merged() -> pa.RecordBatch:
+            """What this task's nodes have found so far: the best of each query."""
+            return pa.RecordBatch.from_arrays([pa.array(x) for x in best_of(*(np.concatenate(x) for x in zip(*made)), k + 1)], ["query_id", "rid", "score", "seen"])
+
         for (number, _), fresh, run in sorted_runs(batches, ["node", "block"]):
             if fresh:
                 held, node = [], None
@@ -265,6 +288,15 @@ def _found(first: DataFrame, asked: DataFrame, n: int, k: int, effort: float, ki
                 counts = np.zeros(len(query), np.int64)
                 starts = np.flatnonzero(np.diff(query, prepend=-1))
                 counts[starts] = seen[query[starts]]
-                yield pa.RecordBatch.from_arrays([pa.array(ids[query]), pa.array(rid), pa.array(away), pa.array(counts)], ["query_id", "rid", "score", "seen"])
+                made.append((ids[query], rid, away, counts))
+                size += len(query)
+                if size >= HELD:
+                    batch = merged()
+                    made, size = [tuple(c.to_numpy() for c in batch.columns)], batch.num_rows
+                    if size >= HELD // 2:
+                        yield batch
+                        made, size = [], 0
+        if made:
+            yield merged()
 
     return met.mapInArrow(rank, "query_id long, rid long, score double, seen long")
