@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
 from .bytelevel import distinct_pieces, pretoken_starts, vocabulary
 from .shared import give_back, slices, spread, texts_of
@@ -118,7 +119,7 @@ class PrefixEncoder:
             if piece == self.words.special:
                 ids = [self.words.special_id]
             else:
-                ids = [self.whole[piece]] if piece in self.whole else self.encode(piece)
+                ids = self.encode(piece)
             out = np.array(ids, np.int32).tobytes()
             if len(self.seen) >= REMEMBERED:
                 self.seen.clear()
@@ -132,16 +133,26 @@ def encoder(path: str) -> PrefixEncoder:
     return PrefixEncoder(path)
 
 
-def _schema(df: DataFrame, columns: list[str], *more: str) -> str:
-    return ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns), *more])
+def _kept(df: DataFrame, columns: list[str], **more) -> tuple[DataFrame, list[str], StructType]:
+    """``df`` with the columns under names of our own, which cannot clash with others, those names, and the result's schema."""
+    kept = [f"c{k}" for k in range(len(columns))]
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(columns, kept)), *(F.col(c).alias(name) for name, (c, _) in more.items() if c))
+    kinds = [StructField(k, rows.schema[k].dataType) for k in kept]
+    return rows, kept, StructType([*kinds, *(StructField(name, kind) for name, (_, kind) in more.items() if kind)])
+
+
+def _free(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, keys: list[str], ids: str) -> Iterator[pa.RecordBatch]:
-    """Batches of keys and ids for batches of keys and __text."""
+    """Batches of keys and ids for batches of keys and t, the text."""
     model = encoder(path)
     try:
-        for batch in slices(batches, "__text", 4 << 20):
-            raw, bounds = texts_of(batch.column("__text"))
+        for batch in slices(batches, "t", 4 << 20):
+            raw, bounds = texts_of(batch.column("t"))
             starts = pretoken_starts(raw, bounds, model.words.special)
             at, pieces = distinct_pieces(raw, starts)
             packed = [model.packed(p) for p in pieces]
@@ -182,10 +193,12 @@ def encode(df: DataFrame, path: str, key: str | list[str] = "doc_id", text: str
 
     Ids are those of the tokenizers library without added special tokens, truncation or padding; its special string
     inside a text is its one id. A null or empty text has an empty array. Rows keep their number, repeated ones too;
-    other columns are dropped, so that names cannot clash. Nothing is shuffled.
+    other columns are dropped. A key column named like ``ids`` keeps its name, and the ids get an underscore more.
+    Nothing is shuffled.
     """
     keys = [key] if isinstance(key, str) else list(key)
-    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(lambda batches: _encoded(batches, path, keys, ids), _schema(df, keys, f"`{ids}` array<int>"))
+    rows, kept, schema = _kept(df, keys, t=(text, None), ids=(None, ArrayType(IntegerType())))
+    return rows.mapInArrow(lambda batches: _encoded(batches, path, kept, "ids"), schema).toDF(*keys, _free(ids, keys))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -195,14 +208,20 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     column of ``df`` named like ``text`` is replaced.
     """
     keep = [c for c in df.columns if c != text]
-    return df.select(*keep).mapInArrow(lambda batches: _decoded(batches, path, keep, ids, text), _schema(df, keep, f"`{text}` string"))
+    rows, kept, schema = _kept(df, keep, t=(None, StringType()))
+    mine = kept[keep.index(ids)]
+    return rows.mapInArrow(lambda batches: _decoded(batches, path, kept, mine, "t"), schema).toDF(*keep, text)
 
 
 def encode_decode(df: DataFrame, path: str, key: str | list[str] = "doc_id", text: str = "text") -> DataFrame:
-    """The key columns, the ``ids`` of encode() and the text ``decoded`` from them, in one pass through Python."""
+    """The key columns, the ``ids`` of encode() and the text ``decoded`` from them, in one pass through Python.
+
+    Where a key column has one of the two names, the result's column gets an underscore more.
+    """
     keys = [key] if isinstance(key, str) else list(key)
+    rows, kept, schema = _kept(df, keys, t=(text, None), ids=(None, ArrayType(IntegerType())), d=(None, StringType()))
 
     def both(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _decoded(_encoded(batches, path, keys, "ids"), path, [*keys, "ids"], "ids", "decoded")
+        return _decoded(_encoded(batches, path, kept, "ids"), path, [*kept, "ids"], "ids", "d")
 
-    return df.select(*keys, F.col(text).alias("__text")).mapInArrow(both, _schema(df, keys, "ids array<int>", "decoded string"))
+    return rows.mapInArrow(both, schema).toDF(*keys, _free("ids", keys), _free("decoded", keys))

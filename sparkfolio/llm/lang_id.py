@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .bytelevel import LETTER, byte_classes
 from .shared import give_back, slices, spread, stored, texts_of
@@ -242,17 +243,18 @@ def _held(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.Rec
         yield held
 
 
-def predict(df: DataFrame, frozen: _Frozen | None, key: str = "doc_id", text: str = "text") -> DataFrame:
+def predict(df: DataFrame, frozen: _Frozen | None, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
     """Rows (key, lang_pred, score) for every row of ``df``, in its order and number.
 
     ``lang_pred`` is the language of the shortest code (of equals the first by code point), ``score`` its share if each
     language were as likely as its code length says, from 0 to 1. A text that is null or has no letter is ``und`` with
-    score 0, and so is every text without a model. Only the text is looked at.
+    score 0, and so is every text without a model. Only the text is looked at. With ``carry`` the first column is
+    instead ``row``, a struct of all columns of ``df``, so that a filter needs no join.
     """
-    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
-    kind = df.schema[key].dataType.simpleString()
+    name = "row" if carry else key
+    rows = df.select((F.struct(*df.columns) if carry else F.col(key)).alias("__key"), F.col(text).alias("__text"))
     if frozen is None:
-        return rows.select(F.col("__key").alias(key), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(F.col("__key").alias(name), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
     sent = df.sparkSession.sparkContext.broadcast(frozen)  # max_counts a table at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -276,7 +278,8 @@ def predict(df: DataFrame, frozen: _Frozen | None, key: str = "doc_id", text: st
                 raw, bounds = texts_of(batch.column("__text"))
                 letters = np.concatenate([[0], np.cumsum(byte_classes(raw) == LETTER)])[bounds]
                 none = letters[1:] == letters[:-1]
-                yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(np.where(none, 0.0, 1 / mass))], [key, "lang_pred", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(np.where(none, 0.0, 1 / mass))], ["__key", "__lang", "__score"])
         give_back()
 
-    return rows.mapInArrow(score, f"`{key}` {kind}, lang_pred string, score double")
+    schema = StructType([StructField("__key", rows.schema["__key"].dataType), StructField("__lang", StringType()), StructField("__score", DoubleType())])
+    return rows.mapInArrow(score, schema).toDF(name, "lang_pred", "score")

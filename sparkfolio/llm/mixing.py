@@ -10,7 +10,6 @@ comes back. Rates are then rounded into whole copies so that each source's words
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,12 +20,13 @@ from pyspark.sql.window import Window
 from .shared import stored
 
 #: Documents of one source and size that are ranked together; larger groups are split by hash.
-RANKED = 4096
+RANKED = 256
 
 
 def word_count(text: str = "text"):
     """Number of runs other than ASCII white space; 0 for null."""
-    return F.coalesce(F.size(F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")).cast("long"), F.lit(0).cast("long"))
+    words = F.size(F.array_remove(F.split(F.col(text), r"[\x20\x09-\x0D]+"), "")).cast("long")
+    return F.when(F.col(text).isNull(), F.lit(0).cast("long")).otherwise(words)
 
 
 def targets(sizes: dict, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, most: float = 2.0) -> dict:
@@ -99,12 +99,13 @@ def solve_tilts(cells: DataFrame, wanted: dict, sizes: dict, docs: dict, most: f
 
 
 def _copies(cells: pd.DataFrame, most: int = 2) -> pd.DataFrame:
-    """Whole copies of each cell (size, part, n, rate) of one source, so that the words taken follow the words wanted.
+    """Whole copies of each size (size, n, rate) of one source, so that the words taken follow the words wanted.
 
-    From the largest size down, each cell gets the number of copies that brings the words taken nearest to the words
-    wanted so far, the later and smaller ones making up for what is left over.
+    From the largest size down, each gets the number of copies that brings the words taken nearest to the words wanted
+    so far, the later and smaller ones making up for what is left over. A source has a row for each different size, so
+    their number is at most that of the words of its longest text, however many documents there are.
     """
-    cells = cells.sort_values(["size", "part"], ascending=[False, True], kind="stable").reset_index(drop=True)
+    cells = cells.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
     size, n = cells["size"].to_numpy(float), cells["n"].to_numpy(float)
     wanted = size * n * cells["rate"].to_numpy()
     owed, out = 0.0, np.zeros(len(cells), np.int64)
@@ -115,7 +116,7 @@ def _copies(cells: pd.DataFrame, most: int = 2) -> pd.DataFrame:
             owed -= out[k] * size[k]
         else:
             out[k] = n[k]
-    return cells.assign(copies=out)[["place", "size", "part", "n", "copies"]]
+    return cells.assign(copies=out)[["place", "size", "n", "copies"]]
 
 
 def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", most: float = 2.0) -> DataFrame:
@@ -142,17 +143,20 @@ def _mixed(docs: DataFrame, most: float) -> DataFrame:
     cells = stored(rows.groupBy("place", "size").agg(F.count("*").alias("n")), "cells")
     tilts = solve_tilts(cells, wanted, sizes, number, most)
     tilt = spark.createDataFrame([(k, float(tilts[k]), sizes[s] / max(number[s], 1)) for k, s in enumerate(wanted)], "place int, tilt double, mean double")
-    parts = F.ceil(F.col("n") / RANKED).cast("int")
-    crowded = cells.filter(F.col("n") > RANKED).select("place", "size", parts.alias("parts"))
-    ranked = rows.join(crowded, ["place", "size"], "left").withColumn("part", F.coalesce(F.pmod(F.col("__hash"), F.col("parts")).cast("int"), F.lit(0)))
-    split = ranked.filter("parts is not null").groupBy("place", "size", "part").agg(F.count("*").alias("n"))
-    whole = cells.filter(F.col("n") <= RANKED).select("place", "size", F.lit(0).alias("part"), "n")
     exponent = F.greatest(F.least(F.col("tilt") * F.col("size") / F.greatest(F.col("mean"), F.lit(1e-9)), F.lit(500.0)), F.lit(-500.0))
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("tilt") == math.inf, float(most)).when(F.col("tilt") == -math.inf, 0.0).otherwise(most / (1 + F.exp(-exponent)))
-    rated = split.union(whole).join(tilt, "place").select("place", "size", "part", "n", rate.alias("rate"))
-    copies = stored(rated.groupBy("place").applyInPandas(lambda cells: _copies(cells, int(most)), "place int, size long, part int, n long, copies long"), "copies")
-    turn = Window.partitionBy("place", "size", "part").orderBy("__hash", "__key")
-    placed = ranked.drop("parts").withColumn("turn", F.row_number().over(turn)).join(copies, ["place", "size", "part"])
+    rated = cells.join(tilt, "place").select("place", "size", "n", rate.alias("rate"))
+    copies = stored(rated.groupBy("place").applyInPandas(lambda cells: _copies(cells, int(most)), "place int, size long, n long, copies long"), "copies")
+    # a size's copies are dealt to its parts by prefix sums of their documents, and within a part by rank
     base = F.floor(F.col("copies") / F.col("n"))
-    own = base + (F.col("turn") <= F.col("copies") - base * F.col("n")).cast("long")
+    copies = copies.select("place", "size", "n", base.alias("base"), (F.col("copies") - base * F.col("n")).alias("more"))
+    part = F.pmod(F.col("__hash"), F.ceil(F.col("n") / RANKED))
+    ranked = rows.join(copies, ["place", "size"]).withColumn("part", part)
+    counts = ranked.groupBy("place", "size", "part").agg(F.count("*").alias("here"), F.first("n").alias("n"), F.first("more").alias("more"))
+    counts = counts.withColumn("until", F.sum("here").over(Window.partitionBy("place", "size").orderBy("part")))
+    up_to = lambda x: F.expr(f"cast(more as decimal(19,0)) * {x} div n")
+    counts = counts.withColumn("before", F.col("until") - F.col("here")).select("place", "size", "part", (up_to("until") - up_to("before")).cast("long").alias("extra"))
+    turn = F.row_number().over(Window.partitionBy("place", "size", "part").orderBy("__hash", "__key"))
+    placed = ranked.withColumn("turn", turn).join(counts, ["place", "size", "part"])
+    own = F.col("base") + (F.col("turn") <= F.col("extra")).cast("long")
     return placed.withColumn("copies", own.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))

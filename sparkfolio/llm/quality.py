@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, DoubleType, StructField, StructType
 
 from .bytelevel import LETTER, OTHER, SPACE, byte_classes, distinct_pieces
 from .shared import give_back, slices, sums, texts_of
@@ -140,22 +141,24 @@ def train(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
     """Fit on a bounded sample: about ``most`` of the rated texts (all, if fewer), those of the least hash of their id.
 
     ``ratings`` has columns (key, grade) with unique keys. Features are made where the texts are; only the feature lists
-    of the sample come to the driver. None without a rated text.
+    of the sample come to the driver, 1.1 * ``most`` at most, again those of the least hash, so that ids that repeat in
+    ``df`` do not make them more. Equal rows count each. None without a rated text.
     """
     total = ratings.count()
     place = F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1 << 30))
     limit = int((1 << 30) * min(1.0, most / max(total, 1)))
-    chosen = ratings.filter(place < limit).limit(most + most // 10)  # bounded, so it can go to every executor
-    rows = df.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(chosen), key).select("__text", "grade").limit(2 * most)
+    chosen = ratings.select(F.col(key).alias("__key"), F.col("grade").cast("int").alias("__grade"), place.alias("__place")).filter(F.col("__place") < limit)
+    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text")).join(F.broadcast(chosen), "__key")  # about ``most`` short rows
 
     def lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text"):
             raw, bounds = texts_of(batch.column("__text"))
             doc, dim = features(raw, bounds)
             ends = np.searchsorted(doc, np.arange(len(bounds)))
-            yield pa.RecordBatch.from_arrays([batch.column("grade"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(dim.astype(np.int32)))], ["grade", "dims"])
+            yield pa.RecordBatch.from_arrays([batch.column("__grade"), batch.column("__place"), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(dim.astype(np.int32)))], ["grade", "place", "dims"])
 
-    found = rows.mapInArrow(lists, "grade int, dims array<int>").toArrow()
+    made = rows.select("__grade", "__place", "__text").mapInArrow(lists, "grade int, place long, dims array<int>")
+    found = made.orderBy("place", F.xxhash64("dims")).limit(most + most // 10).toArrow()
     if not found.num_rows:
         return None
     dims = found.column("dims").combine_chunks()
@@ -166,24 +169,31 @@ def train(df: DataFrame, ratings: DataFrame, key: str = "doc_id", text: str = "t
     return fit([lists_of[k] for k in order], grades[order])
 
 
-def score(df: DataFrame, model: OrdinalModel | None, key: str = "doc_id", text: str = "text", grade: int = 2, least: float = 0.5) -> DataFrame:
+def score(df: DataFrame, model: OrdinalModel | None, key: str = "doc_id", text: str = "text", grade: int = 2, least: float = 0.5, carry: bool = False) -> DataFrame:
     """Rows (key, expected_grade, tail_probability, selected), one for each row of ``df``.
 
     ``tail_probability`` is that of ``grade`` or more; a text is selected if it is at least ``least``. A null text counts
-    as an empty one. Without a model the two numbers are null and every row is selected.
+    as an empty one. Without a model the two numbers are null and every row is selected. With ``carry`` the result is
+    (row, selected), row a struct of all columns of ``df``, so that a filter needs no join.
     """
-    kind = df.schema[key].dataType.simpleString()
-    rows = df.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
+    sent = None if model is None else df.sparkSession.sparkContext.broadcast(model)  # 2 to the power of BITS numbers
+    first = F.struct(*df.columns) if carry else F.col(key)
+    rows = df.select(first.alias("__key"), F.col(text).alias("__text"))
+    name = "row" if carry else key
     if model is None:
         nothing = F.lit(None).cast("double")
-        return rows.select(F.col("__key").alias(key), nothing.alias("expected_grade"), nothing.alias("tail_probability"), F.lit(True).alias("selected"))
-    sent = df.sparkSession.sparkContext.broadcast(model)  # 2 to the power of BITS numbers
+        found = rows.select(F.col("__key").alias(name), nothing.alias("expected_grade"), nothing.alias("tail_probability"), F.lit(True).alias("selected"))
+        return found.select("row", "selected") if carry else found
 
     def grade_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "__text", 4 << 20):
             tails = sent.value.tails(*texts_of(batch.column("__text")))
             tail = tails[:, grade - 1]
-            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= least)], [key, "expected_grade", "tail_probability", "selected"])
+            yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(tails.sum(1)), pa.array(tail), pa.array(tail >= least)], ["__key", "__expected", "__tail", "__selected"])
         give_back()
 
-    return rows.mapInArrow(grade_batches, f"`{key}` {kind}, expected_grade double, tail_probability double, selected boolean")
+    schema = StructType([StructField("__key", rows.schema["__key"].dataType), StructField("__expected", DoubleType()), StructField("__tail", DoubleType()), StructField("__selected", BooleanType())])
+    found = rows.mapInArrow(grade_batches, schema)
+    if carry:
+        return found.select(F.col("__key").alias("row"), F.col("__selected").alias("selected"))
+    return found.toDF(key, "expected_grade", "tail_probability", "selected")

@@ -9,18 +9,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs as pafs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the one named in spark.checkpoint.dir. Only where that is unset, as in tests on one machine, a temporary
-    folder is made and set as the session's checkpoint folder.
+    It is the one named in spark.checkpoint.dir, or the session's checkpoint folder. Where both are unset, a session on
+    one machine gets a temporary folder, as in tests; on a cluster that is an error.
     """
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not set_by_cluster:
+        if not spark.sparkContext.master.partition("[")[0] == "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         set_by_cluster = tempfile.mkdtemp(prefix="sparkfolio-")
         spark.sparkContext.setCheckpointDir(set_by_cluster)
     return set_by_cluster.rstrip("/")
@@ -31,6 +35,26 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+def file_store(folder: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a folder as Spark names it, and the path there.
+
+    Local folders may be plain paths or begin with file:/ or file:///; s3a:// and s3n:// are what Arrow calls s3://.
+    """
+    scheme, _, rest = folder.partition(":")
+    if folder.startswith("/") or not _ or scheme == "file":
+        path = rest if scheme == "file" else folder
+        return pafs.LocalFileSystem(), "/" + path.lstrip("/") if scheme == "file" else path
+    return pafs.FileSystem.from_uri(f"s3:{rest}" if scheme in ("s3a", "s3n") else folder)
+
+
+def integer_key(df: DataFrame, key: str) -> Column:
+    """The key column as a long; an error for a column of another type than an integer one, whose values might not fit."""
+    kind = df.schema[key].dataType
+    if not isinstance(kind, IntegralType):
+        raise TypeError(f"column {key} has to be of an integer type, not {kind.simpleString()}")
+    return F.col(key).cast("long")
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it again: lineage ends there."""
     spark = df.sparkSession
@@ -93,26 +117,6 @@ def sums(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return total[offsets[1:]] - total[offsets[:-1]]
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[tuple[object, pa.Table]]:
-    """Key and rows of each run of equal values in column ``key``; the batches come with equal keys together."""
-    held: list[pa.RecordBatch] = []
-    name = None
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        column = batch.column(key)
-        ends = [] if batch.num_rows == 1 else (np.flatnonzero(pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)) + 1).tolist()
-        for start, end in zip([0, *ends], [*ends, batch.num_rows]):
-            here = column[start].as_py()
-            if held and here != name:
-                yield name, pa.Table.from_batches(held)
-                held = []
-            name = here
-            held.append(batch.slice(start, end - start))
-    if held:
-        yield name, pa.Table.from_batches(held)
-
-
 def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, bool, pa.RecordBatch]]:
     """Runs of rows of equal ``keys`` as they come, without gathering them: the keys, whether they are new, the rows.
 
@@ -133,6 +137,20 @@ def sorted_runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[
             last = now
 
 
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Keys and all rows of each run of equal ``keys``; the batches come with equal keys together."""
+    held: list[pa.RecordBatch] = []
+    name = None
+    for now, fresh, run in sorted_runs(batches, keys):
+        if fresh and held:
+            yield name, pa.Table.from_batches(held)
+            held = []
+        name = now
+        held.append(run)
+    if held:
+        yield name, pa.Table.from_batches(held)
+
+
 def local_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For nodes 0 to n - 1 and links a[i] - b[i], the least node that each is connected to."""
     label = np.arange(n)

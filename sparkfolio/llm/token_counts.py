@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, LongType, StructField, StructType
 
 from .bytelevel import distinct_pieces, pretoken_starts, vocabulary
 from .shared import slices, sums, texts_of
@@ -47,27 +48,28 @@ def _counter(path: str, whole: tuple[int, ...]):
 
 
 def token_counts(df: DataFrame, path: str, text: str = "text", limit: int = 512) -> DataFrame:
-    """Append n_bytes, n_tokens and over_limit to the rows of ``df``, for the byte-level vocabulary file at ``path``.
+    """The columns of ``df`` but the text, with n_bytes, n_tokens and over_limit, for the byte-level vocabulary at ``path``.
 
     Counts are those of the tokenizers library without added special tokens; its special string inside a text is one
     token. A null or empty text has 0 bytes and 0 tokens. Rows keep their order and number; repeated rows are counted
-    each. Columns of ``df`` with one of the three names are replaced. Texts are cut into pre-tokens a batch at a time,
-    each distinct pre-token of a batch is counted once, and a text of any length is counted whole. Nothing is shuffled.
+    each. Columns of ``df`` with one of the three names are replaced, others may have any name. Texts are cut into
+    pre-tokens a batch at a time, each distinct pre-token of a batch is counted once, and a text of any length is counted
+    whole. Nothing is shuffled.
     """
-    keep = [c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit")]
+    rest = [c for c in df.columns if c not in ("n_bytes", "n_tokens", "over_limit", text)]
     whole = df.sparkSession.sparkContext.broadcast(whole_token_ids(path))  # at most one number a vocabulary entry
-    read = df.select(*keep, F.col(text).alias("__text")) if keep else df
-    rest = [c for c in keep if c != text]
-    schema = ", ".join([*(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in rest), "n_bytes long, n_tokens long, over_limit boolean"])
+    kept = [f"c{k}" for k in range(len(rest))]
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(rest, kept)), F.col(text).alias("t"))
+    schema = StructType([*(StructField(k, rows.schema[k].dataType) for k in kept), StructField("b", LongType()), StructField("n", LongType()), StructField("o", BooleanType())])
 
     def count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, count = _counter(path, whole.value)
-        for batch in slices(batches, "__text"):
-            raw, bounds = texts_of(batch.column("__text"))
+        for batch in slices(batches, "t"):
+            raw, bounds = texts_of(batch.column("t"))
             starts = pretoken_starts(raw, bounds, words.special)
             at, pieces = distinct_pieces(raw, starts)
             per_piece = np.fromiter(map(count, pieces), np.int64, len(pieces))
             tokens = sums(per_piece[at], np.searchsorted(starts, bounds))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in rest), pa.array(np.diff(bounds)), pa.array(tokens), pa.array(tokens > limit)], [*rest, "n_bytes", "n_tokens", "over_limit"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(np.diff(bounds)), pa.array(tokens), pa.array(tokens > limit)], [*kept, "b", "n", "o"])
 
-    return read.select(*rest, "__text").mapInArrow(count_batches, schema)
+    return rows.mapInArrow(count_batches, schema).toDF(*rest, "n_bytes", "n_tokens", "over_limit")

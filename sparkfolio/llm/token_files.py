@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bytelevel import LETTER, NUMBER, OTHER, SPACE, byte_classes, character_classes, distinct_pieces
-from .shared import slices, spread, texts_of
+from .shared import file_store, integer_key, slices, spread, texts_of
 
 #: Encodings that a Python worker remembers; when there are more, it starts anew.
 REMEMBERED = 400_000
@@ -35,10 +35,11 @@ REMEMBERED = 400_000
 class WordEncoder:
     """Encodes texts with a word-level tokenizers file that drops white space, a distinct piece at a time.
 
-    The library itself encodes every piece. A text is cut where the library's result is sure to be that of the parts:
-    at ASCII white space, and between a letter, number or other sign and one of another class, if both are plain, that
-    is, if the normaliser maps the sign to one sign of the same class. Pieces with an apostrophe, ``<|`` or a sign that
-    is not plain are cut at white space only.
+    The library itself encodes every piece. A text is cut where the library's result is that of the parts: at ASCII
+    white space, and between a letter, number or other sign and one of another class, if both are plain, that is, if the
+    normaliser maps the sign to one sign of the same class. Pieces with an apostrophe, the first two signs of an added
+    token or a sign that is not plain are cut at white space only. Whether the file's normaliser lower-cases is asked of
+    it. A file of another kind, for which parts do not add up on probes, is refused.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,6 +50,20 @@ class WordEncoder:
             to = self.library.normalizer.normalize_str(chr(point)) if self.library.normalizer else chr(point)
             self.plain[point] = len(to) == 1 and kinds[ord(to)] == kinds[point] or chr(point) in " \t\n\v\f\r"
         self.seen: dict[bytes, bytes] = {}
+        normal = self.library.normalizer.normalize_str if self.library.normalizer else str
+        self.lowers = all(normal(chr(c)) == chr(c + 32) for c in range(65, 91))
+        self.added = [a.content.encode() for a in self.library.get_added_tokens_decoder().values()]
+        self._probe()
+
+    def _probe(self) -> None:
+        """Refuse a file for which cutting as starts() does changes the ids."""
+        parts = ["ab", "Ab", "the", "12", "3", "!", "?!", "-", "é", "'s", "'", " ", "\n", "  ", "\t", "naïve", "ÀB", "_", "½", *(a.decode() for a in self.added)]
+        texts = [a + b + c for a in parts for b in parts for c in ("", "x", " x", "1", "!")]
+        raw, bounds = texts_of(pa.array(texts))
+        ids, ends = self.encode(raw, bounds)
+        whole = self.library.encode_batch(texts, add_special_tokens=False)
+        if any(any(x.isspace() for x in a.decode()) for a in self.added) or any(w.ids != ids[a:b].tolist() for w, a, b in zip(whole, ends, ends[1:])):
+            raise ValueError("this tokenizers file does not encode words one by one")
 
     def starts(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         n = len(raw)
@@ -63,8 +78,9 @@ class WordEncoder:
         good = self.plain[point]
         plain[lead[good]] = plain[lead[good] + 1] = True
         plain &= raw != 39
-        bar = np.flatnonzero((raw[:-1] == ord("<")) & (raw[1:] == ord("|")))
-        plain[bar] = False
+        for token in self.added:
+            two = np.flatnonzero((raw[:-1] == token[0]) & (raw[1:] == token[1])) if len(token) > 1 else np.flatnonzero(raw == token[0])
+            plain[two] = False
         edge = np.zeros(n + 1, bool)
         edge[bounds] = True
         word = edge.copy()
@@ -105,7 +121,7 @@ class WordEncoder:
     def encode(self, raw: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after the other, and the n + 1 offsets."""
         starts = self.starts(raw, bounds)
-        if b"<|" not in raw.tobytes():  # the normaliser lower-cases; added tokens are looked for before that
+        if self.lowers and not any(t[:2] in raw.tobytes() for t in self.added):  # added tokens are looked for before that
             raw = np.where((raw >= 65) & (raw <= 90), raw + np.uint8(32), raw)
         at, pieces = distinct_pieces(raw, starts)
         self.learn(pieces)
@@ -123,7 +139,7 @@ def encoder(path: str) -> WordEncoder:
 
 def _put(folder: str, name: str, parts) -> None:
     """Write one file whole: under another name first, so that a task that is lost leaves no half file."""
-    store, path = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+    store, path = file_store(folder)
     context = TaskContext.get()
     store.create_dir(path, recursive=True)
     draft = f"{path}/.{name}.{context.taskAttemptId() if context else 'driver'}"
@@ -135,7 +151,7 @@ def _put(folder: str, name: str, parts) -> None:
 
 def _map(folder: str, name: str) -> np.ndarray:
     """Bytes of a file: a memory map where the folder is a mounted one, else read whole."""
-    store, path = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+    store, path = file_store(folder)
     if isinstance(store, pafs.LocalFileSystem):
         size = store.get_file_info(f"{path}/{name}").size
         return np.memmap(f"{path}/{name}", np.uint8, "r") if size else np.zeros(0, np.uint8)
@@ -148,13 +164,13 @@ def write_token_files(df: DataFrame, path: str, folder: str, end_id: int = 2, ke
 
     Documents lie in ascending order of ``key``, null first, repeated ids in order of their text; each ends with
     ``end_id``. A null or empty text is just that. An empty table gives a manifest without partitions. Rows are dealt by
-    ranges of (key, text), so a key that is repeated does not gather in one task. Each task streams its texts to its
-    own file. Only one row of counts a partition comes to the driver.
+    ranges of (key, text), so a key that is repeated does not gather in one task. The key has to be of an integer type,
+    as the files hold 64-bit ones. Each task streams its texts to its own file. Only one row of counts a partition comes to the driver.
     """
     spark = df.sparkSession
     vocabulary_size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     kind = "<u2" if max(vocabulary_size - 1, end_id) < 1 << 16 else "<u4"
-    rows = df.select(F.col(key).cast("long").alias("__key"), F.col(text).alias("__text"))
+    rows = df.select(integer_key(df, key).alias("__key"), F.col(text).alias("__text"))
     ranged = rows.repartitionByRange("__key", F.xxhash64("__text")).sortWithinPartitions("__key", "__text")
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

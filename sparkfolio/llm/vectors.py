@@ -1,14 +1,16 @@
 """Near-duplicate vectors by Euclidean p-stable hashing.
 
 A table's hash of a normalised vector is a tuple of random projections on normal directions, shifted and cut into steps
-of one width. Vectors that share a table's hash and a label are compared exactly. With the defaults (8 projections of
-width 1.5, 16 tables) two vectors of cosine 0.93, 0.374 apart, share some table with probability 0.95, closer ones with
-more; vectors at right angles share a table with probability under 0.01.
+of one width. Vectors that share a table's hash and a label are compared exactly. The number of projections follows from
+the number of vectors of the largest label, so that vectors at right angles hardly meet, and the number of tables from
+that: two vectors at the threshold share some table with probability 1 - MISSED, closer ones with more.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 from .shared import connected_components, local_roots, sorted_groups, stored
 
 WIDTH, PROJECTIONS, TABLES, SEED = 1.5, 8, 16, 20_240
+#: Share of the pairs just at the threshold that no table finds, and vectors at right angles that may share a bucket.
+MISSED, STRANGERS = 0.04, 2.0
 #: Distinct vectors of a bucket that are compared in one piece; larger buckets are split into pairs of blocks.
 BLOCK = 2000
 
@@ -42,17 +46,46 @@ def unit(rows: np.ndarray) -> np.ndarray:
     return rows / np.sqrt((rows * rows).sum(1, keepdims=True))
 
 
-def hashes(rows: np.ndarray) -> np.ndarray:
+def same_step(distance: float) -> float:
+    """Probability that two vectors of that distance fall into one step of a projection."""
+    x = WIDTH / distance
+    return math.erf(x / math.sqrt(2)) - 2 / (math.sqrt(2 * math.pi) * x) * (1 - math.exp(-x * x / 2))
+
+
+def shape(n: int, least: float) -> tuple[int, int]:
+    """Projections a table, and tables, for ``n`` vectors of a label and pairs of cosine ``least``."""
+    projections = max(4, math.ceil(math.log(max(n, 1) / STRANGERS) / -math.log(same_step(math.sqrt(2)))))
+    together = same_step(math.sqrt(max(2 - 2 * least, 1e-6))) ** projections
+    return projections, max(1, math.ceil(math.log(MISSED) / math.log(1 - together)))
+
+
+@cache
+def _random(length: int, projections: int, tables: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    random = np.random.default_rng([SEED, length])
+    n = projections * tables
+    return random.normal(size=(length, n)), random.random(n) * WIDTH, random.integers(1 << 62, size=(tables, projections)) * 2 + 1
+
+
+def hashes(rows: np.ndarray, projections: int = PROJECTIONS, tables: int = TABLES) -> np.ndarray:
     """One 64-bit key a table for each row."""
-    random = np.random.default_rng([SEED, rows.shape[1]])
-    directions = random.normal(size=(rows.shape[1], TABLES * PROJECTIONS))
-    shift = random.random(TABLES * PROJECTIONS) * WIDTH
-    factors = random.integers(1 << 62, size=(TABLES, PROJECTIONS)) * 2 + 1
-    steps = np.floor((unit(rows) @ directions + shift) / WIDTH).astype(np.int64).reshape(-1, TABLES, PROJECTIONS)
+    directions, shift, factors = _random(rows.shape[1], projections, tables)
+    steps = np.floor((unit(rows) @ directions + shift) / WIDTH).astype(np.int64).reshape(-1, tables, projections)
     with np.errstate(over="ignore"):
         return (steps * factors).sum(2)
 
 
+def hash_lists(column: pa.Array, projections: int, tables: int) -> pa.ListArray:
+    """The keys of vectors of any lengths, a list for each."""
+    lengths = column.value_lengths().to_numpy()
+    keys = np.zeros((len(column), tables), np.int64)
+    for length in np.unique(lengths):
+        at = np.flatnonzero(lengths == length)
+        for first in range(0, len(at), 2000):
+            some = at[first : first + 2000]
+            keys[some] = hashes(matrix(column.take(pa.array(some))), projections, tables)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
+
+
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93) -> DataFrame:
     """Rows (key, n_links, component_id, kept), one for each row of ``df``.
 
@@ -62,9 +95,13 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
     the row's own. Vectors that are null, zero or hold null or non-finite components, and vectors without a label, link
     with nothing. A null key takes part but names no component. Keys may repeat; each row counts.
 
-    Equal vectors are one until the end, with their number as weight, so a large group of copies is one vector. Buckets
-    of more than BLOCK distinct vectors are dealt out as pairs of blocks, so no task holds a whole bucket. A pair that
-    shares several tables counts in the first. From each piece come sums and one link a vector, never its pairs.
+    The tables miss about MISSED of the pairs just at ``least``, and hardly any that are closer, so n_links may be short
+    of such a pair; no pair below ``least`` is linked.
+
+    Equal vectors are one until the end, with their number as weight, so a large group of copies is one vector. Only keys
+    are grouped into buckets; the vectors of those with company follow. Buckets of more than BLOCK distinct vectors are
+    dealt out as pairs of blocks, so no task holds a whole bucket. A pair that shares several tables counts in the first.
+    From each piece come sums and one link a vector, never its pairs.
     """
     rows = df.select(F.col(key).alias("__key"), F.col(vector).alias("__vector"), F.col(label).alias("__label"))
     rows = rows.withColumn("__ok", usable("__vector") & F.col("__label").isNotNull())
@@ -72,46 +109,44 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
         rows.filter("__ok").groupBy("__label", "__vector").agg(F.count("*").alias("n"), F.min("__key").alias("least"))
         .withColumn("rid", F.monotonically_increasing_id()), "vectors",
     )
+    spaces = distinct.select("rid", F.col("__label").alias("label"), F.size("__vector").alias("length"), F.col("__vector").alias("v"), "n")
+    projections, tables = shape(spaces.groupBy("label", "length").count().agg(F.max("count")).first()[0] or 1, least)
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            column = batch.column("v")
-            lengths = column.value_lengths().to_numpy()
-            keys = np.zeros((len(column), TABLES), np.int64)
-            for length in np.unique(lengths):
-                at = np.flatnonzero(lengths == length)
-                keys[at] = hashes(matrix(column.take(pa.array(at))))
-            flat = pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, TABLES, dtype=np.int32)), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("space"), column, batch.column("n"), flat], ["rid", "space", "v", "n", "keys"])
-
-    kind = df.schema[vector].dataType.simpleString()
-    space = F.xxhash64("__label", F.size("__vector"))
-    signed = stored(distinct.select("rid", space.alias("space"), F.col("__vector").alias("v"), "n").mapInArrow(sign, f"rid long, space long, v {kind}, n long, keys array<long>"), "signed")
-    shares = signed.select("rid", "space", F.posexplode("keys").alias("t", "h"))
-    crowd = shares.groupBy("space", "t", "h").agg(F.count("*").alias("crowd")).filter("crowd > 1")
-    crowd = stored(crowd, "buckets")
-    placed = signed.select("rid", "space", "v", "n", "keys", F.posexplode("keys").alias("t", "h")).join(crowd, ["space", "t", "h"])
+            yield pa.RecordBatch.from_arrays([batch.column("rid"), hash_lists(batch.column("v"), projections, tables)], ["rid", "keys"])
+
+    signed = spaces.select("rid", "v").mapInArrow(sign, "rid long, keys array<long>")
+    shares = stored(signed.select("rid", F.posexplode("keys").alias("t", "h")).join(spaces.select("rid", "label", "length"), "rid"), "signed")
+    bucket = ["label", "length", "t", "h"]
+    crowd = stored(shares.groupBy(*bucket).agg(F.count("*").alias("crowd")).filter("crowd > 1"), "buckets")
     blocks = F.ceil(F.col("crowd") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("rid"), blocks.cast("long")).cast("int")
-    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.withColumn("piece", F.concat_ws(" ", "space", "t", "h", F.least("own", "other"), F.greatest("own", "other")))
-    dealt = dealt.withColumn("cross", F.col("own") != F.col("other")).select("piece", "t", "own", "cross", "rid", "v", "n", "keys")
+    dealt = shares.join(crowd, bucket).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    piece = [*bucket, "low", "high"]
+    dealt = dealt.select(*bucket, F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), "own", "rid")
+    dealt = dealt.join(spaces.select("rid", "v", "n"), "rid").select(*piece, "own", "rid", "v", "n")
+
+    def with_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([*batch.columns, hash_lists(batch.column("v"), projections, tables)], [*batch.schema.names, "keys"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, group in sorted_groups(batches, "piece"):
+        for (_, _, t, _, low, high), group in sorted_groups(with_keys(batches), piece):
             if group.num_rows < 2:
                 continue
             rid, n, own_block = (group.column(c).to_numpy() for c in ("rid", "n", "own"))
-            t, cross = group.column("t")[0].as_py(), group.column("cross")[0].as_py()
             v = unit(matrix(group.column("v")))
-            keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, TABLES)
             near = v @ v.T >= least
             np.fill_diagonal(near, False)
-            if cross:
+            if low != high:
                 near &= own_block[:, None] != own_block[None]
-            for earlier in range(t):
-                near &= keys[:, None, earlier] != keys[None, :, earlier]
+            if not near.any():
+                continue
+            keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)
             a, b = np.nonzero(near)
+            first = (keys[a, :t] != keys[b, :t]).all(1)
+            a, b = a[first], b[first]
             if not len(a):
                 continue
             links = np.bincount(a, n[b], len(rid)).astype(np.int64)
@@ -120,7 +155,7 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
             some = np.flatnonzero(links)
             yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(links[some]), pa.array(rid[root[some]])], ["rid", "links", "root"])
 
-    found = stored(dealt.repartition("piece").sortWithinPartitions("piece").mapInArrow(compare, "rid long, links long, root long"), "found")
+    found = stored(dealt.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, "rid long, links long, root long"), "found")
     parts = connected_components(found.select(F.col("rid").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("rid").agg(F.sum("links").alias("links"))
     joined = (

@@ -2,31 +2,38 @@
 
 Every task writes its captures to an archive of its own, each record a gzip member, and notes (URL key, time, place) in
 runs that it sorts itself. The runs are then dealt out by ranges of the key, and in each range a loser tree merges its
-pieces of the sorted runs, so that the index as a whole is in order of URL key and time.
+pieces of the sorted runs, so that the index as a whole is in order of URL key and time. Whatever reads the index, reads
+its files as they lie: records come back in that order, and a prefix of URLs is found by the files' own statistics.
 """
 
 from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import zlib
 from collections.abc import Iterator
-from datetime import datetime, timezone
+from datetime import datetime, timedelta
 from urllib.parse import urlsplit
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import file_store, integer_key, sorted_runs, stored
 
 #: Payloads of fewer bytes are always written out.
 LEAST_REVISIT = 1000
 #: Captures of a sorted run.
 RUN = 20_000
+#: Entries of a range of the index that is merged in one task, and of a run's piece that are open at a time.
+RANGE, OPEN = 65_536, 1024
+#: Repeated payloads up to which their list (about 100 bytes each) is sent to every task; beyond that, rows are shuffled.
+SENT = 200_000
+#: Archives that a reading task keeps open.
+HANDLES = 32
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 INDEX = "url_key string, captured long, page_id long, file string, offset long, length long, record_type string"
@@ -48,7 +55,7 @@ def url_key(url: str | None) -> str:
     return f"{','.join(reversed(labels))}){parts.path or '/'}{'?' + parts.query if parts.query else ''}"
 
 
-def _record(page_id: int | None, url: str | None, captured: int, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+def _record(page_id: int | None, url: str | None, captured: int, payload: bytes, digest: bytes, refers_to: int | None) -> bytes:
     """One record, not yet compressed. A revisit has the HTTP header only."""
     name = "null" if page_id is None else page_id
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
@@ -57,9 +64,9 @@ def _record(page_id: int | None, url: str | None, captured: int, payload: bytes,
         "WARC/1.1",
         f"WARC-Type: {'response' if refers_to is None else 'revisit'}",
         f"WARC-Record-ID: <urn:capture:{name}>",
-        f"WARC-Date: {datetime.fromtimestamp(captured, timezone.utc):%Y-%m-%dT%H:%M:%SZ}",
+        f"WARC-Date: {(datetime(1970, 1, 1) + timedelta(seconds=captured)).isoformat()}Z",
         *([f"WARC-Target-URI: {url}".replace("\r", "%0D").replace("\n", "%0A")] if url else []),
-        f"WARC-Payload-Digest: sha1:{base64.b32encode(bytes.fromhex(digest)).decode()}",
+        f"WARC-Payload-Digest: sha1:{base64.b32encode(digest).decode()}",
         *([f"WARC-Profile: {PROFILE}", f"WARC-Refers-To: <urn:capture:{refers_to}>"] if refers_to is not None else []),
         "Content-Type: application/http; msgtype=response",
         f"Content-Length: {len(body)}",
@@ -82,18 +89,21 @@ def parse_record(raw: bytes) -> dict:
     return fields
 
 
-def _store(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
-
-
 def _captures(df: DataFrame, key: str, url: str, html: str, captured: str | None) -> DataFrame:
-    """Columns page_id, url, captured, html, digest and refers_to for each row."""
+    """Columns page_id, url, captured, html, digest and refers_to for each row.
+
+    Only digests are grouped. Payloads stay where they are, unless more than SENT of them are repeated.
+    """
     payload = F.coalesce(F.col(html).cast("string"), F.lit(""))
-    at = F.col(captured).cast("long") if captured else F.lit(1_577_836_800) + F.coalesce(F.col(key), F.lit(0)).cast("long")
-    rows = df.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), at.alias("captured"), payload.alias("html"), F.sha1(payload.cast("binary")).alias("digest"))
+    by_id = F.lit(1_577_836_800) + F.pmod(F.coalesce(F.col(key), F.lit(0)).cast("long"), F.lit(315_360_000))
+    at = F.coalesce(F.col(captured).cast("long"), by_id) if captured else by_id
+    at = F.greatest(F.least(at, F.lit(253_402_300_799)), F.lit(-62_135_596_800))
+    digest = F.unhex(F.sha1(payload.cast("binary")))
+    rows = df.select(integer_key(df, key).alias("page_id"), F.col(url).cast("string").alias("url"), at.alias("captured"), payload.alias("html"), digest.alias("digest"))
     long = F.octet_length("html") >= LEAST_REVISIT
     many = rows.filter(long).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("original")).filter("n > 1 and original is not null").select("digest", "original")
-    many = stored(many, "originals").hint("shuffle_hash")
+    many = stored(many, "originals")
+    many = F.broadcast(many) if many.count() <= SENT else many.hint("shuffle_hash")
     other = F.when(long & ~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))
     return rows.join(many, "digest", "left").select("page_id", "url", "captured", "html", "digest", other.alias("refers_to"))
 
@@ -104,8 +114,9 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
     The payload is the html in UTF-8 (null: empty). Of rows with equal payloads of at least LEAST_REVISIT bytes the one
     with the largest id is the response and the others are revisits that refer to it; smaller ones are all responses.
     Rows that repeat the largest id are each a response; a row with a null id is a revisit where a row with an id has its
-    payload. ``captured`` names a column with the time in seconds since 1970; without it, captures are a second apart by
-    id from 2020 on. A null URL leaves the header out and sorts first.
+    payload. ``captured`` names a column with the time in seconds since 1970, held within the years 1 to 9999; without it,
+    or where it is null, captures are a second apart by id within ten years from 2020 on. A null URL leaves the header
+    out and sorts first. The id column has to be of an integer type. Columns of other names are not looked at.
 
     The runs are a stored table with the columns of INDEX and run, pos: rows of one run are in order by pos.
     """
@@ -113,7 +124,7 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        store, path = _store(folder)
+        store, path = file_store(folder)
         store.create_dir(path, recursive=True)
         name = f"capture-{context.partitionId():06d}-{context.taskAttemptId()}.warc.gz"
         entries: list[tuple] = []
@@ -190,20 +201,40 @@ class LoserTree:
             self.winner = w
 
 
+def _entries(piece: list[pa.RecordBatch], first: int) -> Iterator[tuple]:
+    """(key, time, id, place) of a run's piece in order, ``first`` being its place; OPEN of them are made at a time."""
+    for batch in piece:
+        for start in range(0, batch.num_rows, OPEN):
+            part = batch.slice(start, OPEN)
+            for entry in zip(*(part.column(c).to_pylist() for c in ("url_key", "captured", "page_id"))):
+                yield entry[0], entry[1], (entry[2] is not None, entry[2] or 0), first
+                first += 1
+
+
 def merge_runs(runs: DataFrame) -> DataFrame:
-    """The index: the runs' rows in order of (url_key, captured, page_id), over partitions and within them."""
-    ranged = runs.repartitionByRange("url_key", "captured", "page_id").sortWithinPartitions("run", "pos")
+    """The index: the runs' rows in order of (url_key, captured, page_id), over partitions and within them.
+
+    A range has about RANGE entries at most, whatever their number, and is held as Arrow batches; entries that repeat a
+    key, time and id are in one range.
+    """
+    total = runs.count()
+    ranges = max(-(-total // RANGE), min(-(-total // 2048), 2 * runs.sparkSession.sparkContext.defaultParallelism), 1)
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("run", "pos")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
+        held, pieces = [], []
+        for _, fresh, batch in sorted_runs(batches, ["run"]):
+            if fresh:
+                pieces.append([])
+            pieces[-1].append(batch)
+            held.append(batch)
         if not held:
             return
-        table = pa.Table.from_batches(held).combine_chunks()
-        keys = list(zip(table.column("url_key").to_pylist(), table.column("captured").to_pylist(), ((x is not None, x or 0) for x in table.column("page_id").to_pylist()), range(table.num_rows)))
-        run = table.column("run").combine_chunks().dictionary_encode().indices.to_numpy()
-        cuts = [0, *(np.flatnonzero(run[1:] != run[:-1]) + 1).tolist(), len(run)]
-        order = [entry[3] for entry in LoserTree([iter(keys[a:b]) for a, b in zip(cuts, cuts[1:])])]
-        yield from table.select(_NAMES).take(pa.array(order)).combine_chunks().to_batches(max_chunksize=10_000)
+        table = pa.Table.from_batches(held).select(_NAMES).combine_chunks()
+        starts = np.cumsum([0, *(sum(b.num_rows for b in p) for p in pieces)]).tolist()
+        order = np.fromiter((entry[3] for entry in LoserTree([_entries(p, first) for p, first in zip(pieces, starts)])), np.int64, table.num_rows)
+        for first in range(0, len(order), 10_000):
+            yield from table.take(pa.array(order[first : first + 10_000])).combine_chunks().to_batches()
 
     return ranged.mapInArrow(merge, INDEX)
 
@@ -211,38 +242,41 @@ def merge_runs(runs: DataFrame) -> DataFrame:
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """Rows (page_id, payload_bytes, payload_digest, record_type, refers_to, url, html) of the records that the index names.
 
+    They come in the order of the index's files, which are read as they lie; of 500 entries at a time, those of one archive
+    are read from front to back.
     The digest is bare lower-case hex SHA-1. A response's digest and size are checked against its payload. A revisit has
     the size and digest of the full payload from its headers, and null html.
     """
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    def record(file: pa.NativeFile, offset: int, length: int) -> tuple:
+        file.seek(offset)
+        fields = parse_record(zlib.decompress(file.read(length), 31))
+        digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
+        payload = fields["payload"]
+        if payload is not None and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != fields["payload_bytes"]):
+            raise ValueError(f"record at {offset}: payload and headers differ")
+        ids = [None if (x := fields.get(h)) is None or x == "<urn:capture:null>" else int(x[13:-1]) for h in ("WARC-Record-ID", "WARC-Refers-To")]
+        return ids[0], fields["payload_bytes"], digest, fields["WARC-Type"], ids[1], fields.get("WARC-Target-URI"), None if payload is None else payload.decode()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import hashlib
-
-        store, path = _store(folder)
-        at, file = None, None
+        store, path = file_store(folder)
+        opened: dict[str, pa.NativeFile] = {}
         for whole in batches:
             for first in range(0, whole.num_rows, 500):
-                out = []
-                for r in whole.slice(first, 500).to_pylist():
-                    if r["file"] != at:
-                        if file:
-                            file.close()
-                        at, file = r["file"], store.open_input_file(f"{path}/{r['file']}")
-                    file.seek(r["offset"])
-                    fields = parse_record(zlib.decompress(file.read(r["length"]), 31))
-                    digest = base64.b32decode(fields["WARC-Payload-Digest"].removeprefix("sha1:")).hex()
-                    payload = fields["payload"]
-                    if payload is not None and (hashlib.sha1(payload).hexdigest() != digest or len(payload) != fields["payload_bytes"]):
-                        raise ValueError(f"{r['file']} at {r['offset']}: payload and headers differ")
-                    ids = [None if (x := fields.get(h)) is None or x == "<urn:capture:null>" else int(x[13:-1]) for h in ("WARC-Record-ID", "WARC-Refers-To")]
-                    out.append((ids[0], fields["payload_bytes"], digest, fields["WARC-Type"], ids[1], fields.get("WARC-Target-URI"), None if payload is None else payload.decode()))
+                part = whole.slice(first, 500).to_pylist()
+                out: list[tuple | None] = [None] * len(part)
+                for k in sorted(range(len(part)), key=lambda k: (part[k]["file"], part[k]["offset"])):
+                    name = part[k]["file"]
+                    if name not in opened:
+                        if len(opened) >= HANDLES:
+                            opened.pop(next(iter(opened))).close()
+                        opened[name] = store.open_input_file(f"{path}/{name}")
+                    out[k] = record(opened[name], part[k]["offset"], part[k]["length"])
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url", "html"])
-        if file:
+        for file in opened.values():
             file.close()
 
-    return placed.mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
+    return index.select("file", "offset", "length").mapInArrow(read, "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string, html string")
 
 
 def archive(df: DataFrame, folder: str, **columns) -> DataFrame:
@@ -251,5 +285,9 @@ def archive(df: DataFrame, folder: str, **columns) -> DataFrame:
 
 
 def captures(spark: SparkSession, index: DataFrame, prefix: str) -> DataFrame:
-    """Capture history of the URLs whose key begins with ``prefix``, in order."""
+    """Capture history of the URLs whose key begins with ``prefix``, in order.
+
+    As the index's files are in order, Parquet's statistics leave out all but those that can hold the prefix; what they
+    hold of it is put in order again, as Spark reads files side by side.
+    """
     return index.filter(F.col("url_key").startswith(prefix)).orderBy("url_key", "captured", "page_id")

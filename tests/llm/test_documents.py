@@ -321,6 +321,42 @@ def test_quality_on_texts_not_learned_from(spark):
     assert quality.score(docs, None).filter("selected").count() == len(rows) + 3
 
 
+def brute_tails(model, text):
+    """Probabilities of the grades from 1 on, piece by piece."""
+    import regex
+
+    lower = "".join(c.lower() if "A" <= c <= "Z" else c for c in text)
+    runs = regex.findall(r"\p{L}+|\p{N}+|\s+|[^\p{L}\p{N}\s]+", lower)
+    dim = lambda raw: zlib.crc32(raw) & (1 << quality.BITS) - 1
+    score = sum(model.weights[dim(piece.encode())] for piece in {r for r in runs if not r.isspace()})
+    words = [r for r in runs if regex.match(r"\p{L}", r)]
+    signs = sum(len(r.encode()) for r in runs if regex.match(r"[^\p{L}\p{N}\s]", r))
+    shape = {
+        "different": math.floor(10 * len(set(words)) / max(len(words), 1)),
+        "signs": min(math.floor(20 * signs / max(len(lower.encode()), 1)), 10),
+        "line": math.floor(math.log2(1 + len(words) / (1 + text.count("\n")))),
+        "words": min(math.floor(math.log2(1 + len(words))), 6),
+    }
+    score += sum(model.weights[dim(b"\0%s %d" % (name.encode(), k))] for name, k in shape.items())
+    return [1 / (1 + math.exp(t - score)) for t in model.thresholds]
+
+
+def test_quality_equals_brute_force(spark):
+    from sparkfolio.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    model = quality.train(docs, quality.graded(spark.read.parquet(f"{sf}/labels.parquet")))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert np.count_nonzero(model.weights) > 0
+    found = queries.op8_quality(spark, sf).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        tails = brute_tails(model, texts[r["doc_id"]] or "")
+        assert (r["expected_grade"], r["tail_probability"]) == pytest.approx((sum(tails), tails[1]), rel=1e-9)
+        assert r["selected"] == (r["tail_probability"] >= 0.5)
+
+
 def test_ordinal_gradient_is_right():
     """The fit reaches a point where no small step makes the data more likely."""
     rng = np.random.default_rng(0)
