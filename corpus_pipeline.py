@@ -6,7 +6,7 @@ Language ID, quality, near-duplicates, mixing, BPE. All but the last return the
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -16,48 +16,41 @@ from sparkfolio.llm import bpe, lang_id, mixing, quality, shared, simhash
 LEAST_SHARE = 0.5
 
 
-def _decided(docs: DataFrame, decisions: DataFrame, how: str) -> DataFrame:
-    """``docs`` joined with ``decisions`` (column __id and maybe more, unique ids) by id, null equal to null.
-
-    The decisions are small rows, so they are what a hash table is made of, and texts need no sort.
-    """
-    return docs.join(decisions.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(decisions["__id"]), how)
+def _row() -> Column:
+    """A row's id and the digest of its text, by which decisions are kept: ids may be null or repeated."""
+    digest = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), digest.alias("digest"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that one of the learned languages has claimed: not ``und``, and sure enough.
-
-    An id that is repeated goes if the operator rejects all its rows.
-    """
-    found = lang_id.predict(docs, lang_id.train(docs))
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE))
-    return _decided(docs, kept.select(F.col("doc_id").alias("__id")).distinct(), "left_semi").select(*docs.columns)
+    """Keep the documents that one of the learned languages has claimed: not ``und``, and sure enough. Row by row."""
+    found = lang_id.predict(docs, lang_id.train(docs), carry=True)
+    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents of which the best grade is more likely than not; the classifier learns from the labels."""
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    found = quality.score(docs, quality.train(docs, ratings))
-    return _decided(docs, found.filter("selected").select(F.col("doc_id").alias("__id")).distinct(), "left_semi").select(*docs.columns)
+    return quality.score(docs, quality.train(docs, ratings), carry=True).filter("selected").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one row of each component: that of the least id, null last, then of the least digest of the text.
 
-    Ids may be null or repeated, so rows go by id and digest; of equal ones each task passes on only one.
+    Of rows that are equal in both, each task passes on only one.
     """
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256)).alias("digest"))
-    found = simhash.near_duplicates(docs.select(row.alias("__row"), "text"), key="__row")
+    found = simhash.near_duplicates(docs.select(_row().alias("__row"), "text"), key="__row")
     kept = found.filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
     first = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
-    one = docs.withColumn("__row", row).withColumn("__copy", first).filter("__copy = 1")
+    one = docs.withColumn("__row", _row()).withColumn("__copy", first).filter("__copy = 1")
     return one.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """As many copies of each document as the mix takes of it, as rows."""
-    copies = mixing.mix(docs).filter("copies > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max("copies").alias("__copies"))
-    many = _decided(docs, copies, "inner")
+    """As many copies of each document as the mix takes of it, as rows. Of rows equal in id and text, all get as many as one."""
+    mixed = mixing.mix(docs.select(_row().alias("__row"), "text", "source"), key="__row")
+    copies = mixed.filter("copies > 0").groupBy("__row").agg(F.max("copies").alias("__copies"))
+    many = docs.withColumn("__row", _row()).join(copies.hint("shuffle_hash"), "__row")
     return many.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
 
 
@@ -78,7 +71,7 @@ STAGES = [
     ("mixing", mix),
     ("bpe", encode),
 ]
-#: The stages cannot be said in SQL; the tests hold them against brute force.
+#: The stages cannot be said in SQL; tests/llm/test_pipeline.py holds each against brute force.
 ORACLE_SQL = None
 
 
