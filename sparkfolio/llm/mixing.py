@@ -102,7 +102,7 @@ def _copies(cells: pd.DataFrame, most: int = 2) -> pd.DataFrame:
     """Whole copies of each size (size, n, rate) of one source, so that the words taken follow the words wanted.
 
     From the largest size down, each gets the number of copies that brings the words taken nearest to the words wanted
-    so far, the later and smaller ones making up for what is left over. A source has a row for each different size, so
+    so far, the later and smaller ones making up for what is left over, and at the end single copies of any. A source has a row for each different size, so
     their number is at most that of the words of its longest text, however many documents there are.
     """
     cells = cells.sort_values("size", ascending=False, kind="stable").reset_index(drop=True)
@@ -116,6 +116,14 @@ def _copies(cells: pd.DataFrame, most: int = 2) -> pd.DataFrame:
             owed -= out[k] * size[k]
         else:
             out[k] = n[k]
+    for _ in range(64):  # what the smallest sizes could not make up for: the size that comes nearest to it
+        can = (size > 0) & ((out < most * n) if owed > 0 else (out > 0))
+        off = np.where(can, np.abs(abs(owed) - size), np.inf)
+        if not len(off) or off.min() >= abs(owed):
+            break
+        k, step = int(off.argmin()), 1 if owed > 0 else -1
+        out[k] += step
+        owed -= step * size[k]
     return cells.assign(copies=out)[["place", "size", "n", "copies"]]
 
 
