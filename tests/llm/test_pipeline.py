@@ -52,7 +52,7 @@ def test_stages_equal_brute_force(spark, tmp_path):
                 taken[r["source"]] += words[r["doc_id"]] * copies[r["doc_id"]]
             for source, wanted in brute_targets(sizes).items():
                 least = min(words[r["doc_id"]] for r in before if r["source"] == source and words[r["doc_id"]])
-                assert abs(taken[source] - wanted) <= max(least, 0.005 * wanted)  # a source has few texts here
+                assert abs(taken[source] - wanted) <= max(least, 0.02 * wanted)  # a source has few texts here
             assert max(copies.values()) <= 2
         else:
             library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
