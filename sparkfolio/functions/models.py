@@ -6,12 +6,10 @@ many statements, are DataFrames of statements and strings that are grouped by en
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import decode_utf8, dedupe, strip
+from .text import decode_utf8, dedupe, let, strip
 
 
 def _lines(text: Column) -> Column:
@@ -22,11 +20,6 @@ def _latin(content: Column, start: int, length: int) -> Column:
     return F.decode(F.substring(content, start, length), "ISO-8859-1")
 
 
-def let(value: Column, use: Callable[[Column], Column]) -> Column:
-    """``use`` of a value that is in the expression, and evaluated, once."""
-    return F.element_at(F.transform(F.array(value), use), 1)
-
-
 def _section(title: str, items: Column) -> Column:
     """A blank line, a heading and the items as a list; nothing without items."""
     head = F.array(F.lit(""), F.lit(f"## {title}"))

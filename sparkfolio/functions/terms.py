@@ -149,24 +149,34 @@ def trigram_list(text: str | None) -> list[str]:
 def best_extent(wanted: set[str], there: list[str]) -> float:
     """Largest share of ``wanted`` among the trigrams of a run of ``there``.
 
-    Only runs that begin and end with a wanted trigram can be best, and none longer than wanted / best so far.
+    Only runs that begin and end with a wanted trigram can be best, and none longer than wanted / best so far. A run in
+    which its first trigram comes again holds a shorter one that is as good, so each run ends before that: the runs from
+    one trigram's places do not overlap, and the work is at most that of len(wanted) walks through the text.
     """
     if not wanted:
         return 0.0
     at = [k for k, g in enumerate(there) if g in wanted]
+    present = len({there[k] for k in at})
+    again, seen = {}, {}
+    for k in reversed(at):
+        again[k] = seen.get(there[k], len(there))
+        seen[there[k]] = k
     best = 0.0
     for i, first in enumerate(at):
         run: set[str] = set()
         common = 0
         last = first - 1
         for j in range(i, len(at)):
-            for g in there[last + 1 : at[j] + 1]:
+            if at[j] >= again[first]:
+                break
+            for k in range(last + 1, at[j] + 1):
+                g = there[k]
                 if g not in run:
                     run.add(g)
                     common += g in wanted
             last = at[j]
             best = max(best, common / (len(wanted) + len(run) - common))
-            if len(run) and len(wanted) / max(len(wanted), len(run)) < best:
+            if common == present or len(wanted) / max(len(wanted), len(run)) < best:
                 break
     return best
 
@@ -177,6 +187,17 @@ def word_similarity(query: pd.Series, text: pd.Series) -> pd.Series:
     return pd.Series([best_extent(set(trigram_list(q)), trigram_list(t)) for q, t in zip(query, text)], dtype=float)
 
 
+def shared_trigrams(query: str, text: Column) -> Column:
+    """How many of a query's different trigrams a text has, by built-in functions only.
+
+    word_similarity() is at most this number over that of the query's trigrams.
+    """
+    spaced = F.concat(F.lit("  "), F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"(?U)\W+", "  "), F.lit(" "))
+    grams = sorted(set(trigram_list(query)))
+    count = lambda t: sum((F.contains(t, F.lit(g)).cast("int") for g in grams), F.lit(0))
+    return F.element_at(F.transform(F.array(spaced), count), 1)  # the spaced text is made once
+
+
 def headline(terms: list[str], least: int = 5, most: int = 18, fragments: int = 2, mark: str = "**"):
     """A pandas UDF that gives the best fragments of a text with the terms marked; the text's start without any term."""
     wanted = frozenset(terms)

@@ -7,7 +7,8 @@ from itertools import count
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .tables import settled
+from ..functions.text import cap_bytes
+from ..session import settled
 
 
 def readable(rows: DataFrame, grants: DataFrame, live: DataFrame | None = None, on: list[str] | None = None) -> DataFrame:
@@ -85,6 +86,35 @@ def folder_scope(edges: DataFrame, roots: DataFrame, grants: DataFrame | None =
     return may(files).distinct().withColumnRenamed("uid", "file_uid")
 
 
+def get_text(documents: DataFrame, uids: DataFrame, grants: DataFrame, most: int = 5 << 20) -> DataFrame:
+    """Rows (file_uid, outcome, text, trimmed), one for each asked file_uid; the text up to ``most`` bytes of UTF-8.
+
+    The outcome is "denied" without a grant, whether the file is there or not, then "missing" without a text, else "ok".
+    """
+    may = grants.select("file_uid").distinct().withColumn("__may", F.lit(True))
+    asked = uids.select("file_uid").join(may, "file_uid", "left")
+    texts = readable(documents.select("file_uid", "content_md"), grants).withColumn("__cut", cap_bytes(F.col("content_md"), most))
+    rows = asked.join(texts.select("file_uid", "__cut"), "file_uid", "left")
+    outcome = F.when(F.col("__may").isNull(), "denied").when(F.col("__cut.text").isNull(), "missing").otherwise("ok")
+    return rows.select("file_uid", outcome.alias("outcome"), F.col("__cut.text").alias("text"), F.coalesce("__cut.trimmed", F.lit(False)).alias("trimmed"))
+
+
+def sweep(edges: DataFrame, files: DataFrame, documents: DataFrame, root: str, unlistable: DataFrame | None = None, most_files: int | None = None) -> DataFrame:
+    """Rows (file_uid, version, status) of the files under ``root``: current, or outdated and so to be converted.
+
+    ``edges`` is (parent, child, is_container), ``files`` (file_uid, version). Folders in ``unlistable`` (uid) are passed
+    by, with all that only they hold. ``most_files`` is the number of files after which a sweep ends, by id.
+    """
+    if unlistable is not None:
+        edges = edges.join(unlistable.select(F.col("uid").alias("parent")), "parent", "left_anti")
+    there = folder_scope(edges, edges.sparkSession.createDataFrame([(root,)], "uid string"))
+    if most_files is not None:
+        there = there.orderBy("file_uid").limit(most_files)
+    done = documents.filter(F.col("status").isin("converted", "indexed")).select("file_uid", F.col("source_version").alias("version"), F.lit(True).alias("__done"))
+    found = files.join(there, "file_uid", "left_semi").join(done.distinct(), ["file_uid", "version"], "left")
+    return found.select("file_uid", "version", F.when(F.col("__done"), "current").otherwise("outdated").alias("status"))
+
+
 def check_query(query: str, most: int = 1000) -> str:
     """The query without blanks at its ends; an error if it is empty or too long (0: any length)."""
     query = (query or "").strip()

@@ -2,34 +2,54 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+#: Words whose place and sign a Python worker remembers; when there are more, it starts anew.
+REMEMBERED = 400_000
 
-from ..functions.text import strip
+
+def fold(text: str | None, target: int = 1200, overlap: int = 150) -> list[str]:
+    """Chunks of one text: a paragraph joins the open chunk if that stays within the target, else it begins the next."""
+    done: list[str] = []
+    parts: list[str] = []  # of the open chunk, with its length so far
+    size = 0
+    for block in filter(None, map(str.strip, re.split(r"\n\s*\n", (text or "").strip()))):
+        if not parts:
+            parts, size = [block], len(block)
+        elif size + 2 + len(block) <= target:
+            parts += [block]
+            size += 2 + len(block)
+        else:
+            full = "\n\n".join(parts)
+            done.append(full)
+            begin = f"{full[-overlap:]}\n\n{block}".strip() if overlap > 0 else block
+            parts, size = [begin], len(begin)
+    last = "\n\n".join(parts).strip()
+    return [*done, last] if last else done
 
 
 def chunks_of(text: Column, target: int = 1200, overlap: int = 150) -> Column:
     """Array of a text's chunks.
 
     Paragraphs are gathered as long as a chunk has ``target`` signs at most. The next chunk begins with the last
-    ``overlap`` signs of the one before. A paragraph is never cut, however long. An empty text has no chunk.
+    ``overlap`` signs of the one before. A paragraph is never cut, however long. An empty text has no chunk. The work is
+    in proportion to the text, which a fold over arrays of columns, that copies them at each step, is not.
     """
-    gap = "\n\n"
-    blocks = F.filter(F.transform(F.split(strip(F.coalesce(text, F.lit(""))), r"(?U)\n\s*\n"), strip), lambda b: b != "")
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("open"))
-
-    def fold(state: Column, block: Column) -> Column:
-        open_ = state["open"]
-        longer = F.concat(open_, F.lit(gap), block)
-        tail = F.right(open_, F.lit(overlap)) if overlap > 0 else F.lit("")
-        fresh = strip(F.concat(tail, F.lit(gap), block)) if overlap > 0 else block
-        full = (open_ != "") & (F.length(longer) > target)
-        return F.struct(
-            F.when(full, F.concat(state["done"], F.array(open_))).otherwise(state["done"]).alias("done"),
-            F.when(open_ == "", block).when(full, fresh).otherwise(longer).alias("open"),
-        )
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def cut(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for batch in texts:
+            yield batch.map(lambda t: fold(t, target, overlap))
 
-    return F.aggregate(blocks, start, fold, lambda s: F.when(strip(s["open"]) != "", F.concat(s["done"], F.array(strip(s["open"])))).otherwise(s["done"]))
+    return cut(text)
 
 
 def chunk(df: DataFrame, uid: str = "file_uid", text: str = "content_md", target: int = 1200, overlap: int = 150) -> DataFrame:
@@ -37,25 +57,50 @@ def chunk(df: DataFrame, uid: str = "file_uid", text: str = "content_md", target
     return df.select(uid, F.posexplode(chunks_of(F.col(text), target, overlap)).alias("ordinal", "text"))
 
 
+def _spots(words: list[str], dimension: int, known: dict[str, int]) -> np.ndarray:
+    """Place + 1 of each word, negative where the word counts as -1."""
+    out = np.empty(len(words), np.int64)
+    for k, word in enumerate(words):
+        spot = known.get(word)
+        if spot is None:
+            digest = hashlib.md5(word.encode()).digest()
+            spot = int.from_bytes(digest[:4], "big") % dimension + 1
+            spot = known[word] = spot if digest[4] & 1 else -spot
+        out[k] = spot
+    return out
+
+
 def hash_embed(df: DataFrame, keys: list[str], text: str, dimension: int = 1024, column: str = "embedding") -> DataFrame:
-    """Rows (keys, vector): each word adds 1 or -1 at a place given by its MD5; vectors have length 1, or 0 without words.
+    """Rows (keys, vector) for the rows of ``df``: each word adds 1 or -1 at a place given by its MD5.
 
-    Equal words of a row are counted before the shuffle, so a long text is a few rows.
+    Vectors have length 1, or 0 without words. One pass over Arrow batches where the rows are; nothing is shuffled.
     """
-    word = F.explode(F.split(strip(F.regexp_replace(F.lower(F.coalesce(F.col(text), F.lit(""))), r"(?U)\s+", " ")), " "))
-    words = df.select(*keys, word.alias("w")).filter("w <> ''")
-    digest = F.md5(F.col("w").cast("binary"))
-    place = F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(dimension)).cast("int")
-    sign = F.when(F.conv(F.substring(digest, 10, 1), 16, 10).cast("int") % 2 == 1, 1.0).otherwise(-1.0)
-    sums = words.select(*keys, place.alias("place"), sign.alias("sign")).groupBy(*keys, "place").agg(F.sum("sign").alias("v"))
-    entries = sums.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("place", "v"))).alias("m"), F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("norm"))
-    dense = F.transform(F.sequence(F.lit(0), F.lit(dimension - 1)), lambda k: F.coalesce(F.try_element_at("m", k), F.lit(0.0)) / F.when(F.col("norm") > 0, F.col("norm")).otherwise(1.0))
-    zeros = F.array_repeat(F.lit(0.0), dimension)
-    found = entries.select(*keys, dense.cast("array<float>").alias("__found"))
-    return df.select(*keys).distinct().join(found, keys, "left").select(*keys, F.coalesce("__found", zeros.cast("array<float>")).alias(column))
+    kept = [f"c{k}" for k in range(len(keys))]
+    rows = df.select(*(F.col(c).alias(k) for c, k in zip(keys, kept)), F.col(text).alias("t"))
+    schema = T.StructType([*(T.StructField(k, rows.schema[k].dataType) for k in kept), T.StructField("v", T.ArrayType(T.FloatType()))])
+
+    def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, int] = {}
+        for whole in batches:
+            for first in range(0, whole.num_rows, 500):
+                batch = whole.slice(first, 500)
+                sums = np.zeros((batch.num_rows, dimension))
+                for k, value in enumerate(batch.column("t")):
+                    words = (value.as_py() or "").lower().split()
+                    for start in range(0, len(words), 100_000):
+                        if len(known) > REMEMBERED:
+                            known.clear()
+                        spots = _spots(words[start : start + 100_000], dimension, known)
+                        sums[k] += np.bincount(np.abs(spots) - 1, np.sign(spots), dimension)
+                length = np.sqrt((sums * sums).sum(1, keepdims=True))
+                flat = (sums / np.where(length > 0, length, 1)).astype(np.float32).ravel()
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(0, flat.size + 1, dimension, dtype=np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in kept), vectors], [*kept, "v"])
+
+    return rows.mapInArrow(embed, schema).toDF(*keys, column)
 
 
 def index_files(documents: DataFrame, dimension: int = 1024, uid: str = "file_uid", text: str = "content_md") -> DataFrame:
     """Chunks with vectors of all files that have text: (uid, ordinal, text, embedding)."""
     cut = chunk(documents, uid, text)
-    return cut.join(hash_embed(cut, [uid, "ordinal"], "text", dimension), [uid, "ordinal"])
+    return hash_embed(cut, [uid, "ordinal", "text"], "text", dimension)

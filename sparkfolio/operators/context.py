@@ -2,24 +2,27 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.text import redact_pii
+from ..functions.text import escape_html, html_document, redact_pii, to_html
+from ..session import settled
 from . import access, vector_search
 
 NOTHING_FOUND = "(no document matches the question)"
 
 
-def trim(chunks: DataFrame, budget: int = 12_000, by: list[str] | None = None, rank: str = "rank", text: str = "text") -> DataFrame:
+def trim(chunks: DataFrame, budget: int = 12_000, by: list[str] | None = None, rank: str = "rank", text: str = "text", length: str | None = None) -> DataFrame:
     """Rows in order up to the length budget, the first in any case, with column ``trimmed``: whether something is cut.
 
-    ``by`` are the columns of a question; each has its own budget.
+    ``by`` are the columns of a question; each has its own budget, and without them all rows are one question's.
+    ``length`` names a column of lengths: where a question may have many rows, rank and trim keys and lengths, and join
+    the texts of what is left.
     """
     group = Window.partitionBy(*(by or [F.lit(0)]))
     so_far = group.orderBy(rank).rowsBetween(Window.unboundedPreceding, 0)
-    rows = chunks.withColumn("__sum", F.sum(F.length(text)).over(so_far)).withColumn("__n", F.row_number().over(group.orderBy(rank)))
+    rows = chunks.withColumn("__sum", F.sum(F.col(length) if length else F.length(text)).over(so_far)).withColumn("__n", F.row_number().over(group.orderBy(rank)))
     rows = rows.withColumn("trimmed", F.max(F.col("__sum")).over(group) > budget)
     return rows.filter((F.col("__n") == 1) | (F.col("__sum") <= budget)).drop("__sum", "__n")
 
@@ -44,7 +47,7 @@ def citations(chunks: DataFrame, by: list[str] | None = None, rank: str = "rank"
 
 def tool_citations(results: DataFrame, n_chunks: int, order: list[str]) -> DataFrame:
     """Results of tools, numbered on after the texts; web and other results share one numbering."""
-    return results.withColumn("marker", (F.row_number().over(Window.orderBy(*order)) + n_chunks).cast("int"))
+    return ranked(results, *(F.col(c) for c in order)).withColumn("marker", (F.col("rank") + n_chunks).cast("int")).drop("rank")
 
 
 def retrieve(chunks: DataFrame, query: list[float], grants: DataFrame, k: int = 8, scope: DataFrame | None = None, max_k: int = 12, mode: str = "exact") -> DataFrame:
@@ -80,6 +83,34 @@ def provenance(answers: DataFrame) -> DataFrame:
     return answers.select("uid", F.to_json(record).alias("record"))
 
 
+def provenance_page(records: DataFrame, uid: str = "uid", record: str = "record", title: str | None = None) -> DataFrame:
+    """Rows (uid, page): an HTML page of each provenance() record, with the record itself in a script element.
+
+    Everything that is said is escaped; a closing tag inside the record cannot end the script.
+    """
+    kind = "report struct<uid:string,version:string>, chatted_by string, tenant string, transcript array<struct<role:string,content:string>>, citations string"
+    r = F.from_json(F.col(record), kind)
+    told = F.transform(r["transcript"], lambda m: F.concat(F.lit('<section class="'), escape_html(m["role"]), F.lit('"><h2>'), escape_html(m["role"]), F.lit("</h2>"), to_html(m["content"]), F.lit("</section>")))
+    who = F.concat(F.lit("<p>"), escape_html(F.concat_ws(" · ", r["chatted_by"], r["tenant"], r["report"]["version"])), F.lit("</p>"))
+    data = F.concat(F.lit('<script type="application/json" id="record">'), F.replace(F.col(record), F.lit("</"), F.lit("<\\/")), F.lit("</script>"))
+    sources = F.concat(F.lit("<h2>Sources</h2><pre>"), escape_html(F.coalesce(r["citations"], F.lit("[]"))), F.lit("</pre>"))
+    name = F.col(title) if title else F.concat(F.lit("Record of "), r["report"]["uid"])
+    return records.select(uid, html_document(name, F.concat(who, F.array_join(told, ""), sources, data)).alias("page"))
+
+
+def ranked(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows with their place in the whole order, from 1 on, in column ``rank``.
+
+    Rows are sorted by range, counted a partition, and numbered from the sum of the partitions before: no task holds all.
+    """
+    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    placed = settled(ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")))
+    counts = placed.groupBy("__part").agg(F.count("*").alias("__n"), F.min("__row").alias("__first"))
+    base = F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))  # one row a partition
+    starts = counts.select("__part", "__first", F.coalesce(base, F.lit(0)).alias("__base"))
+    return placed.join(F.broadcast(starts), "__part").withColumn("rank", F.col("__row") - F.col("__first") + F.col("__base") + 1).drop("__part", "__row", "__first", "__base")
+
+
 def fuse(first: DataFrame, second: DataFrame, key: str, limit: int, constant: int = 60) -> DataFrame:
     """Two rankings (key, rank) as one by reciprocal ranks: (key, score), best first."""
     both = first.select(key, F.col("rank").alias("r1")).join(second.select(key, F.col("rank").alias("r2")), key, "full_outer")

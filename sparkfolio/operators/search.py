@@ -6,25 +6,48 @@ import re
 from functools import reduce
 from operator import and_, or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import terms as T
-from .access import allowed_top, cap, check_query
+from .access import allowed_top, cap, check_query, readable
 
 
-def inverted_index(documents: DataFrame, uid: str = "file_uid", name: str = "name", text: str = "content_md") -> DataFrame:
+def inverted_index(documents: DataFrame, uid: str = "file_uid", name: str = "name", text: str = "content_md", only: list[str] | None = None) -> DataFrame:
     """Rows (uid, lexeme, positions): where each stem stands in name and text; stop words count as places only.
 
-    Stems are made of distinct words. Text is left behind at the first step.
+    Stems are made of distinct words. Text is left behind at the first step. With ``only``, it has these lexemes alone:
+    a word and its stem begin with the same letter, so other words are left out before anything is grouped.
     """
     both = F.concat_ws(" ", F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    places = documents.select(uid, F.posexplode(T.words(both)).alias("at", "word")).filter(~F.col("word").isin(T.STOP_WORDS))
+    places = documents.select(uid, F.posexplode(T.words(both)).alias("at", "word"))
+    if only is not None:
+        places = places.filter(F.substring("word", 1, 1).isin(sorted({w[:1] for w in only})) if only else F.lit(False))
+    places = places.filter(~F.col("word").isin(T.STOP_WORDS))
     spots = places.groupBy(uid, "word").agg(F.collect_list(F.col("at") + 1).alias("at"))
-    known = places.select("word").distinct().withColumn("lexeme", T.stems("word"))
+    known = spots.select("word").distinct().withColumn("lexeme", T.stems("word"))
+    if only is not None:
+        known = known.filter(F.col("lexeme").isin(only))
     return spots.join(known, "word").groupBy(uid, "lexeme").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
 
 
+#: Parts that a stored index is dealt out to by lexeme; a query reads those of its own lexemes.
+INDEX_PARTS = 256
+
+
+def store_index(index: DataFrame, path: str) -> None:
+    """Write an inverted index dealt out and sorted by lexeme, so that a query reads a few row groups of a few parts."""
+    part = F.pmod(F.xxhash64("lexeme"), F.lit(INDEX_PARTS)).cast("int")
+    index.withColumn("part", part).repartition("part", F.pmod(F.xxhash64(index.columns[0]), F.lit(8))).sortWithinPartitions("part", "lexeme").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def stored_index(spark: SparkSession, path: str, query: Query) -> DataFrame:
+    """The rows of a stored index that a query needs: partitions by its lexemes' parts, then row groups by lexeme."""
+    parts = spark.createDataFrame([(w,) for w in query.lexemes], "w string").select(F.pmod(F.xxhash64("w"), F.lit(INDEX_PARTS)).cast("int").alias("p")).collect()
+    rows = spark.read.parquet(path)
+    return rows.filter(F.col("part").isin([r["p"] for r in parts]) & F.col("lexeme").isin(query.lexemes)).drop("part")
+
+
 class Query:
     """A web-style query: words are all wanted, "..." is a phrase, or separates alternatives, - negates."""
 
@@ -81,35 +104,50 @@ class Query:
         return F.when(miss == 1.0, 1e-20).otherwise(1 - miss)
 
 
-def matching(index: DataFrame, query: Query, uid: str = "file_uid") -> DataFrame:
+def matching(index: DataFrame, query: Query, uid: str = "file_uid", every: DataFrame | None = None) -> DataFrame:
     """Rows (uid, rank) of the files that match. Only the query's stems are read of the index.
 
-    A query with negations only matches files that have none of its stems, and these only if they have any stem at all.
+    An alternative of negations only matches all files without its stems: those of ``every`` (column uid), or, if it is
+    not given, those that the index has.
     """
     if not query.lexemes:
         return index.select(uid, F.lit(0.0).alias("rank")).limit(0)
     some = index.filter(F.col("lexeme").isin(query.lexemes))
     if any(all(negated for negated, _ in g) for g in query.groups):
-        some = some.unionByName(index.select(uid).distinct().select(uid, F.lit("").alias("lexeme"), F.array().cast("array<int>").alias("positions")))
+        all_ = (index if every is None else every).select(uid).distinct()
+        some = some.unionByName(all_.select(uid, F.lit("").alias("lexeme"), F.array().cast("array<int>").alias("positions")))
     maps = some.groupBy(uid).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("at"))
     return maps.filter(query.matches(F.col("at"))).select(uid, query.rank(F.col("at")).alias("rank"))
 
 
-def search(documents: DataFrame, index: DataFrame, grants: DataFrame, text: str, limit: int = 20, fuzzy: bool = True, name_least: float = 0.3, text_least: float = 0.6, mode: str = "exact") -> DataFrame:
+def search(documents: DataFrame, index: DataFrame | None, grants: DataFrame, text: str, limit: int = 20, fuzzy: bool = True, name_least: float = 0.3, text_least: float = 0.6, mode: str = "exact") -> DataFrame:
     """Rows (file_uid, name, snippet, score) of the best files that a user may read.
 
     A file counts if it is converted or indexed and matches the query, or, with ``fuzzy``, if its name or some part of
-    its text is similar enough. The score is the rank plus the greater similarity. Ties go to the smaller id. Snippets
-    are made of the rows returned only.
+    its text is similar enough. The score is the rank plus the greater similarity. Ties go to the smaller id. ``index`` is
+    an inverted index; without one, the query's own stems are looked for in the texts.
+
+    Only texts that can reach the threshold by the trigrams they share with the query, and those that match, are looked
+    at by Python for the run that is most similar. Texts stay out of the ranking; snippets are made of the rows returned.
     """
     wanted = Query(check_query(text))
     live = documents.filter(F.col("status").isin("converted", "indexed"))
-    rows = live.join(matching(index, wanted), "file_uid", "left")
-    if not fuzzy:
+    if index is None:
+        index = inverted_index(live, only=wanted.lexemes)
+    grams = len(set(T.trigram_list(text)))
+    rows = live.join(matching(index, wanted, every=live), "file_uid", "left").withColumn("by_name", T.similarity(F.lit(text), F.coalesce("name", F.lit(""))))
+    if fuzzy and grams:
+        near = T.shared_trigrams(text, F.col("content_md")) >= text_least * grams - 1e-9
+        rows = rows.filter(F.col("rank").isNotNull() | (F.col("by_name") >= name_least) | near)
+    else:
         rows = rows.filter("rank is not null")
-    rows = rows.withColumn("by_name", T.similarity(F.lit(text), F.coalesce("name", F.lit("")))).withColumn("by_text", T.word_similarity(F.lit(text), F.col("content_md")))
+    if mode == "exact":  # rights before Python sees a text
+        rows = readable(rows, grants)
+    rows = rows.withColumn("by_text", T.word_similarity(F.lit(text), F.col("content_md")))
     if fuzzy:
         rows = rows.filter(F.col("rank").isNotNull() | (F.col("by_name") >= name_least) | (F.col("by_text") >= text_least))
-    scored = rows.withColumn("score", F.coalesce("rank", F.lit(0.0)) + F.greatest("by_name", "by_text"))
-    top = allowed_top(scored, grants, cap(limit, 100), [F.desc("score"), F.col("file_uid")], mode)
-    return top.select("file_uid", "name", T.headline(wanted.wanted)(F.col("content_md")).alias("snippet"), "score")
+    scored = rows.select("file_uid", (F.coalesce("rank", F.lit(0.0)) + F.greatest("by_name", "by_text")).alias("score"))
+    order, limit = [F.desc("score"), F.col("file_uid")], cap(limit, 100)
+    top = scored.orderBy(*order).limit(limit) if mode == "exact" else allowed_top(scored, grants, limit, order, mode)
+    found = documents.join(F.broadcast(top), "file_uid")  # at most 100 rows
+    return found.select("file_uid", "name", T.headline(wanted.wanted)(F.col("content_md")).alias("snippet"), "score").orderBy(F.desc("score"), "file_uid")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import slug, strip
+from ..session import settled
 
 
 def upsert(documents: DataFrame, changes: DataFrame, now: Column, key: str = "file_uid", keep_if_null: tuple[str, ...] = ("content_md",)) -> DataFrame:
@@ -147,6 +148,24 @@ def title_if_empty(conversations: DataFrame, user: str, conversation_id: str, ti
     return conversations.withColumn("title", F.when(mine, F.substring(title, 1, 120)).otherwise(F.col("title")))
 
 
+def set_scope(conversations: DataFrame, user: str, conversation_id: str, scope: Column) -> DataFrame:
+    """The folders that a user's conversation is about; null becomes an empty list, which means all. Others' stay as they are."""
+    mine = (F.col("id") == conversation_id) & (F.col("user_id") == user)
+    kind = conversations.schema["scope"].dataType
+    return conversations.withColumn("scope", F.when(mine, F.coalesce(scope, F.array()).cast(kind)).otherwise(F.col("scope")))
+
+
+def delete_conversation(conversations: DataFrame, messages: DataFrame, user: str, conversation_id: str) -> tuple[DataFrame, DataFrame]:
+    """Conversations and messages without one conversation, if it is the user's; else both as they are."""
+    own = conversations.filter((F.col("id") == conversation_id) & (F.col("user_id") == user)).select("id")
+    return conversations.join(own, "id", "left_anti"), messages.join(own.withColumnRenamed("id", "conversation_id"), "conversation_id", "left_anti")
+
+
+def status_of(documents: DataFrame, uids: DataFrame) -> DataFrame:
+    """Rows (file_uid, status), one for each asked file_uid; null for a file that is not there. Texts are not read."""
+    return uids.select("file_uid").join(documents.select("file_uid", "status"), "file_uid", "left")
+
+
 def unique_slugs(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
     """Rows (key, slug): equal slugs are numbered from 2 on in order of the key."""
     base = names.select(key, F.coalesce(F.nullif(slug(F.col(name)), F.lit("")), F.lit("integration")).alias("base"))
@@ -164,11 +183,6 @@ def folder_listing(entries: DataFrame, most_folders: int = 200, most_files: int
     return entries.groupBy("parent").agg(shown(True, most_folders).alias("folders"), shown(False, most_files).alias("files"))
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed now and without its plan, so that loops do not pile up plans: in the checkpoint folder if one is set."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def resolve_paths(paths: DataFrame, entries: DataFrame, root: str = "") -> DataFrame:
     """Rows (path, uid, missing): the folder that a path leads to, or the first path that is not there.
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import terms
 from ..operators import access, chunking, context, search, vector_search
+from ..session import shared_folder
 from ..sources import read_table
 from .registry import query
 
@@ -47,10 +50,10 @@ _HASHED = """
 def retrieve_for_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of all documents nearest to a question that a user may read."""
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_uid"), "doc_id", F.col("text").alias("content_md"))
-    chunks = chunking.index_files(docs, 64)
+    grants = docs.filter("(doc_id * 7 + 3) % 5 <> 0").select("file_uid")
+    chunks = chunking.index_files(access.readable(docs, grants), 64)  # rights before any text is cut or embedded
     asked = read_table(spark, sf_dir, "benchmark").filter("item_id = 0")
     vector = chunking.hash_embed(asked, ["item_id"], "text", 64).first()["embedding"]
-    grants = docs.filter("(doc_id * 7 + 3) % 5 <> 0").select("file_uid")
     return context.retrieve(chunks, vector, grants, 8).select("file_uid", F.round("distance", 4).alias("distance"))
 
 
@@ -116,11 +119,18 @@ def chunk_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut.groupBy("doc_id").agg(F.count("*").alias("chunks"), F.sum(F.length("text")).cast("long").alias("chars"))
 
 
-@query()
+@query("""
+    with b as (select doc_id, list_filter(list_transform(string_split_regex(trim(replace(text, chr(10), chr(10) || chr(10)), ' \t\n\r'), '\\n\\s*\\n'), lambda x: trim(x, ' \t\n\r')), lambda x: x <> '') as blocks from documents),
+    f as (select doc_id, list_reduce(list_transform(blocks, lambda x: {'done': []::varchar[], 'open': x}), lambda s, x:
+            case when length(s.open) + 2 + length(x.open) > 1200
+                 then {'done': list_append(s.done, s.open), 'open': trim(right(s.open, 150) || chr(10) || chr(10) || x.open, ' \t\n\r')}
+                 else {'done': s.done, 'open': s.open || chr(10) || chr(10) || x.open} end) as s from b where len(blocks) > 0),
+    c as (select doc_id, list_append(s.done, s.open) as chunks from f)
+    select doc_id, (unnest(range(1, len(chunks) + 1)) - 1)::int as ordinal, md5(unnest(chunks)) as text_md5 from c""")
 def chunk_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each line as a paragraph, so that chunks are gathered and overlap."""
     docs = read_table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("\n"), F.lit("\n\n")))
-    return chunking.chunk(docs, "doc_id", "text")
+    return chunking.chunk(docs, "doc_id", "text").select("doc_id", "ordinal", F.md5(F.col("text").cast("binary")).alias("text_md5"))
 
 
 _RANKED = "select doc_id, source, text, row_number() over (partition by source order by doc_id) as rank from documents"
@@ -131,8 +141,9 @@ _RANKED = "select doc_id, source, text, row_number() over (partition by source o
     s as (select *, sum(length(text)) over (partition by source order by rank) as c, sum(length(text)) over (partition by source) as t from r)
     select source, doc_id, rank::int as rank, t > 12000 as trimmed from s where rank = 1 or c <= 12000""")
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    return context.trim(docs, by=["source"]).select("source", "doc_id", "rank", "trimmed")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", F.length("text").alias("chars"))
+    docs = docs.withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
+    return context.trim(docs, by=["source"], length="chars").select("source", "doc_id", "rank", "trimmed")
 
 
 @query(f"""
@@ -166,8 +177,7 @@ def folder_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
     from a full join b using (vec_id) order by coalesce(1 / (60 + a.r), 0) + coalesce(1 / (60 + b.r), 0) desc, vec_id limit 20""")
 def rank_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", "label")
-    one = rows.filter("label = 1").withColumn("rank", F.row_number().over(Window.orderBy("vec_id")))
-    two = rows.filter("label in (1, 2)").withColumn("rank", F.row_number().over(Window.orderBy(F.desc("vec_id"))))
+    one, two = (context.ranked(rows.filter(of), order) for of, order in (("label = 1", F.col("vec_id")), ("label in (1, 2)", F.desc("vec_id"))))
     return context.fuse(one, two, "vec_id", 20).select("vec_id", F.round("score", 9).alias("score"))
 
 
@@ -189,10 +199,14 @@ def fuzzy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.filter(terms.similarity(F.col("p_name"), F.lit("steel bolt small")) >= 0.3).select("p_partkey", "p_name")
 
 
-@query()
+@query("""
+    with t as (select p_partkey, flatten(list_transform(regexp_extract_all(lower(p_name), '[\\p{L}\\p{N}_]+'), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i::int, 3)))) as g from part),
+    q as (select ['  s', ' st', 'ste', 'tee', 'eel', 'el '] as w),
+    r as (select p_partkey, w, unnest(flatten(list_transform(range(1, len(g) + 1), lambda i: list_transform(range(i, len(g) + 1), lambda j: list_distinct(g[i:j]))))) as run from t, q)
+    select p_partkey, round(max(len(list_intersect(run, w)) / (len(w) + len(run) - len(list_intersect(run, w)))), 6) as score from r group by 1""")
 def word_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = read_table(spark, sf_dir, "part")
-    return parts.select("p_partkey", terms.word_similarity(F.lit("steel"), F.col("p_name")).alias("score"))
+    return parts.select("p_partkey", F.round(terms.word_similarity(F.lit("steel"), F.col("p_name")), 6).alias("score"))
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -205,18 +219,37 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     select file_uid from w where (list_contains(w, 'trash') and not list_contains(w, 'moron')) or list_contains(w, 'idiot')""")
 def fts_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words whose stems are themselves, so that SQL can say it."""
-    index = search.inverted_index(_documents(spark, sf_dir))
-    return search.matching(index, search.Query("trash -moron or idiot")).select("file_uid")
+    wanted = search.Query("trash -moron or idiot")
+    return search.matching(search.inverted_index(_documents(spark, sf_dir), only=wanted.lexemes), wanted).select("file_uid")
 
 
-@query()
+@query(r"""
+    with w as (select doc_id::varchar as file_uid, unnest(w) as word, unnest(range(1, len(w) + 1)) as place
+               from (select doc_id, regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+') as w from documents)),
+    p as (select file_uid, case when word in ('version', 'versions') then 'v' else 'l' end as t, place from w
+          where word in ('version', 'versions', 'license', 'licenses', 'licensed', 'licensing')),
+    d as (select a.file_uid, abs(a.place - b.place) as d from p a join p b using (file_uid) where a.t = 'l' and b.t = 'v')
+    select file_uid, round(1 - exp(sum(ln(1 - sqrt(0.01 * case when d > 100 then 1e-30 else 1 / (1.005 + 0.05 * exp(d / 1.5 - 2)) end)))), 6) as rank from d group by 1""")
 def fts_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    index = search.inverted_index(_documents(spark, sf_dir))
-    return search.matching(index, search.Query("license version")).orderBy(F.desc("rank"), "file_uid")
+    """Of two words that are both wanted, near pairs make the rank."""
+    wanted = search.Query("license version")
+    found = search.matching(search.inverted_index(_documents(spark, sf_dir), only=wanted.lexemes), wanted)
+    return found.select("file_uid", F.round("rank", 6).alias("rank"))
+
+
+@query(r"""
+    with w as (select doc_id::varchar as file_uid, unnest(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+')) as word from documents)
+    select file_uid, count(*) as n from w where word = 'trash' group by 1""")
+def fts_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A word's places, from an index that is stored by lexeme."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    search.store_index(search.inverted_index(_documents(spark, sf_dir)), path)
+    found = search.stored_index(spark, path, search.Query("trash"))
+    return found.select("file_uid", F.size("positions").cast("long").alias("n"))
 
 
 @query()
 def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     grants = docs.filter("(doc_id * 7 + 3) % 5 <> 0").select("file_uid")
-    return search.search(docs, search.inverted_index(docs), grants, "apache license", 20)
+    return search.search(docs, None, grants, "apache license", 20)

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import providers
 from ..operators import access, context, tables
+from ..session import shared_folder
+from ..sources import event_stream
 from ..sources import events as parse_events
 from ..sources import read_table
 from ..streaming import decisions, ingest
@@ -88,14 +90,13 @@ def event_latest_action(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.latest_actions(_file_events(spark, sf_dir)).select("file_uid", "ts")
 
 
-@query()
+@query(f"""
+    select file_uid, arg_max(action, (ts, event_id)) as action, strftime(max(ts), '%Y%m%d_%H%M%S.%g') as ts from ({_ROUTED}) group by 1""")
 def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The log as a stream in one batch, its result left as a table: files to convert and to delete."""
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sparkfolio-")).rstrip("/")
+    folder = shared_folder(spark)
     log, out = f"{folder}/log-{uuid.uuid4().hex}", f"{folder}/out-{uuid.uuid4().hex}"
-    _file_events(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).coalesce(4).write.mode("overwrite").text(log)
-    from ..sources import event_stream
-
+    _file_events(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.mode("overwrite").text(log)
     def handle(convert: DataFrame, delete: DataFrame, number: int) -> None:
         both = convert.union(delete).select("file_uid", "action", "ts")
         both.write.mode("overwrite").parquet(f"{out}/batch={number}")
@@ -254,3 +255,109 @@ def link_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = rows.select("s_suppkey", F.concat(F.lit("See (file "), uid, F.lit(").")).alias("html"))
     names = rows.filter("s_suppkey % 2 = 0").select(uid.alias("file_uid"), F.col("s_name").alias("name"))
     return tables.link_file_references(texts, names, "t", key="s_suppkey")
+
+
+@query(f"""
+    with l as (select file_uid from ({_ROUTED}) group by 1)
+    select file_uid, file_uid in ('3', '17') as dead from l""")
+def stream_poison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of which two files make the handler fail, and which is not writable at first: these go to the dead letters, all others through."""
+    folder = shared_folder(spark)
+    log, out = f"{folder}/log-{uuid.uuid4().hex}", f"{folder}/out-{uuid.uuid4().hex}"
+    _file_events(spark, sf_dir).select(F.to_json(F.struct("*")).alias("value")).write.text(log)
+    tries = []
+
+    def handle(convert: DataFrame, delete: DataFrame, number: int) -> None:
+        tries.append(number)
+        if len(tries) == 1:
+            raise ingest.ReadOnly("not now")
+        both = convert.union(delete).select("file_uid")
+        if not both.filter("file_uid in ('3', '17')").isEmpty():
+            raise ValueError("cannot be converted")
+        both.write.mode("append").parquet(out)
+
+    ingest.ingest(event_stream(spark, log, 100), handle, f"{out}-checkpoint", once=True, dead=f"{out}-dead", pause=0.1).awaitTermination()
+    through, dead = (spark.read.schema("file_uid string").parquet(p).distinct() for p in (out, f"{out}-dead"))
+    return through.withColumn("dead", F.lit(False)).union(dead.withColumn("dead", F.lit(True)))
+
+
+@query("select 'o' || o_orderkey as file_uid, o_orderstatus as status from orders where o_custkey % 7 = 0 union all select 'none', null")
+def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders")
+    docs = orders.select(F.concat(F.lit("o"), "o_orderkey").alias("file_uid"), F.col("o_orderstatus").alias("status"))
+    asked = orders.filter("o_custkey % 7 = 0").select(F.concat(F.lit("o"), "o_orderkey").alias("file_uid")).union(spark.createDataFrame([("none",)], "file_uid string"))
+    return tables.status_of(docs, asked)
+
+
+@query("""
+    with d as (select doc_id, doc_id % 5 <> 0 as may, case when doc_id % 3 <> 0 then lang || ' ' || source end as t from documents)
+    select 'f' || doc_id as file_uid, case when not may then 'denied' when t is null then 'missing' else 'ok' end as outcome,
+           case when may then substr(t, 1, 5) end as text, coalesce(may and length(t) > 5, false) as trimmed from d
+    union all select 'gone', 'denied', null, false union all select 'granted', 'missing', null, false""")
+def get_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "documents").withColumn("file_uid", F.concat(F.lit("f"), "doc_id"))
+    docs = rows.select("file_uid", F.when(F.col("doc_id") % 3 != 0, F.concat("lang", F.lit(" "), "source")).alias("content_md"))
+    more = spark.createDataFrame([("gone",), ("granted",)], "file_uid string")
+    grants = rows.filter("doc_id % 5 <> 0").select("file_uid").union(more.filter("file_uid = 'granted'"))
+    return access.get_text(docs, rows.select("file_uid").union(more), grants, 5)
+
+
+@query("""
+    with m as (select o_custkey as u, min(o_orderkey) as low, max(o_orderkey) as high from orders where o_custkey = (select min(o_custkey) from orders) group by 1)
+    select o_orderkey::varchar as id, case when o_orderkey = low then 1 else 0 end as folders from orders, m where o_orderkey <> high""")
+def conversation_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One of a user's conversations gets a scope and another is deleted; what the user asks of another's changes nothing."""
+    orders = read_table(spark, sf_dir, "orders")
+    heads = orders.select(F.col("o_orderkey").cast("string").alias("id"), F.col("o_custkey").cast("string").alias("user_id"), F.array().cast("array<struct<uid:string,path:string>>").alias("scope"))
+    user = orders.agg(F.min("o_custkey")).first()[0]
+    mine, others = orders.filter(F.col("o_custkey") == user), orders.filter(F.col("o_custkey") != user)
+    low, high, other = *mine.agg(F.min("o_orderkey"), F.max("o_orderkey")).first(), others.agg(F.min("o_orderkey")).first()[0]
+    scope = F.array(F.struct(F.lit("r1").alias("uid"), F.lit("/r1").alias("path")))
+    for key in (low, other):
+        heads = tables.set_scope(heads, str(user), str(key), scope)
+    messages = heads.select(F.col("id").alias("conversation_id"))
+    for key in (high, other):
+        heads, messages = tables.delete_conversation(heads, messages, str(user), str(key))
+    return heads.join(messages, F.col("id") == F.col("conversation_id")).select("id", F.size("scope").alias("folders"))
+
+
+@query("""
+    select 'c' || c_custkey as file_uid, case when c_custkey % 2 = 0 then 'current' else 'outdated' end as status
+    from customer join nation on c_nationkey = n_nationkey where n_regionkey <> 3 and n_nationkey <> 4""")
+def tree_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All customers under the root but those of region 3 and nation 4, which cannot be listed."""
+    nation, customer = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "customer")
+    name = lambda sign, c: F.concat(F.lit(sign), c)
+    regions = nation.select(F.lit("root").alias("parent"), name("r", "n_regionkey").alias("child"), F.lit(True).alias("is_container")).distinct()
+    edges = regions.union(nation.select(name("r", "n_regionkey"), name("n", "n_nationkey"), F.lit(True))).union(customer.select(name("n", "c_nationkey"), name("c", "c_custkey"), F.lit(False)))
+    files = customer.select(name("c", "c_custkey").alias("file_uid"), F.lit("v2").alias("version"))
+    docs = customer.select(name("c", "c_custkey").alias("file_uid"), F.when(F.col("c_custkey") % 2 == 0, "v2").otherwise("v1").alias("source_version"), F.lit("indexed").alias("status"))
+    closed = spark.createDataFrame([("r3",), ("n4",)], "uid string")
+    return access.sweep(edges, files, docs, "root", closed).select("file_uid", "status")
+
+
+@query("""
+    select s_suppkey, case when s_suppkey % 2 = 0 then 'Result 1 for ' || s_name || ' https://example.com/1' || chr(10) || 'Result 2 for ' || s_name || ' https://example.com/2' else 'there is no tool files' end as text,
+           case when s_suppkey % 2 = 0 then 2 else 0 end as sources from supplier""")
+def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = read_table(spark, sf_dir, "supplier")
+    calls = rows.select(F.col("s_suppkey").alias("call_id"), F.when(F.col("s_suppkey") % 2 == 0, "web_search").otherwise("files").alias("name"), F.create_map(F.lit("query"), F.col("s_name")).alias("args"))
+    found = providers.run_tools(calls, [providers.web_search_tool("fake", 2)])
+    return found.select(F.col("call_id").alias("s_suppkey"), "text", F.size("sources").alias("sources"))
+
+
+_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+
+
+@query(f"""
+    select conv_id, md5('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Record of ' || conv_id || '</title></head><body><p>u · t · v1</p>' ||
+        string_agg('<section class="' || role || '"><h2>' || role || '</h2><pre>' || {_ESCAPED} || '</pre></section>', '' order by turn) ||
+        '<h2>Sources</h2><pre>[]</pre>') as head_md5 from conversations group by 1""")
+def provenance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The page up to its embedded record; the messages hold neither personal data nor HTML."""
+    said = read_table(spark, sf_dir, "conversations")
+    turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
+    told = said.groupBy("conv_id").agg(turns.alias("transcript"))
+    record = F.struct(F.struct(F.col("conv_id").cast("string").alias("uid"), F.lit("v1").alias("version")).alias("report"), F.lit("u").alias("chatted_by"), F.lit("t").alias("tenant"), "transcript")
+    pages = context.provenance_page(told.select("conv_id", F.to_json(record).alias("record")), "conv_id")
+    return pages.select("conv_id", F.md5(F.split("page", "<script")[0].cast("binary")).alias("head_md5"))

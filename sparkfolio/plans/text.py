@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import mime, text
-from ..operators import tables
+from ..operators import conversion, tables
 from ..sources import read_table
 from .registry import query
 
@@ -85,7 +85,9 @@ def text_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "documents").select("doc_id", part).select("doc_id", F.md5(F.col("w.text").cast("binary")).alias("part_md5"), "w.total", "w.next_offset")
 
 
-@query()
+@query("""
+    with k as (select text, doc_id, list_max(list_filter(range(0, 302), lambda k: strlen(substr(text, 1, k::int)) <= 301)) as k from documents)
+    select doc_id, strlen(substr(text, 1, k::int))::int as bytes, strlen(text) > 301 as trimmed from k""")
 def byte_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = text.cap_bytes(F.col("text"), 301).alias("c")
     return read_table(spark, sf_dir, "documents").select("doc_id", part).select("doc_id", F.octet_length("c.text").alias("bytes"), "c.trimmed")
@@ -130,3 +132,34 @@ def conversation_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def tenant_of_host(spark: SparkSession, sf_dir: str) -> DataFrame:
     host = F.regexp_extract("url", "^[a-z]+://([^/:?#]*)", 1)
     return read_table(spark, sf_dir, "pages").select("page_id", text.tenant_of(F.lit(None).cast("string"), host).alias("tenant"))
+
+
+@query("""
+    select p_partkey, case p_size % 5 when 0 then 'python' when 1 then 'typescript' when 2 then 'json' when 3 then 'shell' else 'text' end as language from part""")
+def source_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("p_size") % 5
+    name = F.when(k == 0, F.concat("p_name", F.lit(".PY"))).when(k == 1, F.concat("p_name", F.lit(".v2.tsx"))).otherwise(F.lit("file"))
+    kind = F.when(k == 2, "application/ld+json").otherwise("text/plain")
+    content = F.when(k == 3, F.lit("#!/usr/bin/env bash\nls")).otherwise(F.col("p_name"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", text.source_language(name, kind, content).alias("language"))
+
+
+@query("""
+    select page_id, case page_id % 4 when 0 then 'text/markdown' when 1 then 'application/postscript' when 2 then 'application/octet-stream' else 'text/html' end as mime,
+           page_id % 4 <> 2 as supported, case when page_id % 4 = 0 then url when page_id % 8 = 1 then '%!PS ' || upper(url)
+           when page_id % 4 = 3 then '# ' || page_id || chr(10) || chr(10) || 'body ' || page_id end as text from pages""")
+def converters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files by type to text, with a converter of Python added, which fails on half of its files."""
+    k, page = F.col("page_id") % 4, F.col("page_id").cast("string")
+    name = F.when(k == 0, F.lit("a.md")).when(k == 2, F.lit("a.bin")).otherwise(F.lit("a"))
+    web = F.concat(F.lit("<html><head><title>"), page, F.lit("</title></head><p>body "), page, F.lit("</p></html>"))
+    content = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("%!PS "), F.when(F.col("page_id") % 8 == 1, F.col("url")).otherwise("!"))).when(k == 2, F.lit(" ")).otherwise(web)
+    files = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_uid"), name.alias("name"), content.cast("binary").alias("content"))
+
+    def shout(raw: bytes) -> str:
+        if raw.endswith(b"!"):
+            raise ValueError("cannot be read")
+        return raw.decode().upper()
+
+    own = conversion.Converter("shout", lambda kind: kind == "application/postscript", conversion.by_python(shout))
+    return conversion.extract(files, [own]).select(F.col("file_uid").alias("page_id"), "mime", "supported", "text")

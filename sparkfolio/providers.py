@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
+from typing import NamedTuple
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,3 +38,34 @@ def chosen(kind: dict[str, Callable], name: str, default: str) -> Callable:
     if name not in kind:
         raise ValueError(f"unknown provider {name!r}; there are {', '.join(sorted(kind))}")
     return kind[name]
+
+
+class Tool(NamedTuple):
+    """Something that an answer may call: ``run`` takes calls (call_id, args, a map) and gives rows (call_id, text, sources)."""
+
+    name: str
+    description: str
+    parameters: dict[str, str]
+    run: Callable[[DataFrame], DataFrame]
+
+
+SOURCES = "array<struct<title:string,url:string>>"
+
+
+def web_search_tool(provider: str = "", k: int = 5) -> Tool:
+    """Search of the web by a provider: the results as lines of text, and as sources."""
+    def run(calls: DataFrame) -> DataFrame:
+        asked = calls.select("call_id", F.coalesce(F.try_element_at("args", F.lit("query")), F.lit("")).alias("message"))
+        found = chosen(WEB_SEARCH, provider, "none")(asked, "call_id", k).select("call_id", F.struct("title", "url").alias("s"))
+        grouped = found.groupBy("call_id").agg(F.array_sort(F.collect_list("s")).alias("sources"))
+        rows = calls.select("call_id").join(grouped, "call_id", "left").withColumn("sources", F.coalesce("sources", F.array().cast(SOURCES)))
+        return rows.select("call_id", F.array_join(F.transform("sources", lambda s: F.concat(s["title"], F.lit(" "), s["url"])), "\n").alias("text"), "sources")
+
+    return Tool("web_search", "Search the web.", {"query": "what to look for"}, run)
+
+
+def run_tools(calls: DataFrame, tools: list[Tool]) -> DataFrame:
+    """Rows (call_id, text, sources), one for each of ``calls`` (call_id, name, args); a name without a tool is said to have none."""
+    known = F.col("name").isin(*(t.name for t in tools))
+    unknown = calls.filter(~F.coalesce(known, F.lit(False))).select("call_id", F.concat(F.lit("there is no tool "), F.coalesce("name", F.lit(""))).alias("text"), F.array().cast(SOURCES).alias("sources"))
+    return reduce(DataFrame.unionByName, (t.run(calls.filter(F.col("name") == t.name).select("call_id", "args")) for t in tools), unknown)

@@ -10,42 +10,63 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ANSWERS = "tenant string, user string, file_uid string, allowed boolean"
-#: What is kept of one (tenant, user): files, what was decided, and when.
-KEPT = "files array<string>, allowed array<boolean>, at array<double>"
+#: What is kept of one part of a tenant's users: users, files, what was decided, and when.
+KEPT = "users array<string>, files array<string>, allowed array<boolean>, at array<double>"
+#: Parts of a tenant's users. A tenant-wide change goes to all of them.
+PARTS = 64
 
 
 def cached_decisions(rows: DataFrame, seconds: float = 300) -> DataFrame:
     """Answers (tenant, user, file_uid, allowed) to the questions in a stream of rows (tenant, user, kind, file_uid, allowed, at).
 
-    The state of one (tenant, user) is its decisions by file with their time. Rows of kind "decision" are noted, rows of
-    kind "ask" answered from what is noted and less than ``seconds`` old (null: ask the source), rows of kind "forget"
-    clear a file, or all with a null file. Rows count in order of ``at``. Old decisions are dropped at each batch.
+    Rows of kind "decision" are noted, rows of kind "ask" answered from what is noted and less than ``seconds`` old (null:
+    ask the source). Rows of kind "forget" clear a user's file, all of a user with a null file, a file of all users with a
+    null user, and the whole tenant with both null. Rows count in order of ``at``. Old decisions are dropped at each
+    batch. The state is kept by tenant and part of its users, so that one tenant is not one task.
     """
+    part = F.pmod(F.xxhash64("user"), F.lit(PARTS))
+    parts = F.when(F.col("user").isNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(part.cast("int")))
+
     def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        files, allowed, at = state.get if state.exists else ([], [], [])
-        known = {f: (a, t) for f, a, t in zip(files, allowed, at)}
-        out = []
+        known: dict[str, dict[str, tuple[bool, float]]] = {}
+        for user, file, allowed, at in zip(*(state.get if state.exists else ([], [], [], []))):
+            known.setdefault(user, {})[file] = (allowed, at)
+        out, now = [], 0.0
         for r in pd.concat(list(batches)).sort_values("at", kind="stable").itertuples():
-            known = {f: v for f, v in known.items() if r.at - v[1] < seconds}
+            now = float(r.at)
+            mine = known.get(r.user, {})
             if r.kind == "decision" and seconds > 0:
-                known[r.file_uid] = (bool(r.allowed), float(r.at))
-            elif r.kind == "forget" and r.file_uid is None:
-                known.clear()
+                known.setdefault(r.user, {})[r.file_uid] = (bool(r.allowed), now)
             elif r.kind == "forget":
-                known.pop(r.file_uid, None)
+                of = list(known) if r.user is None else [r.user] if r.user in known else []
+                for user in of:
+                    if r.file_uid is None:
+                        del known[user]
+                    else:
+                        known[user].pop(r.file_uid, None)
             elif r.kind == "ask":
-                out.append((*key, r.file_uid, known[r.file_uid][0] if r.file_uid in known else None))
-        if known:
-            state.update((list(known), [bool(a) for a, _ in known.values()], [t for _, t in known.values()]))
+                found = mine.get(r.file_uid)
+                out.append((key[0], r.user, r.file_uid, found[0] if found and now - found[1] < seconds else None))
+        kept = [(user, file, bool(a), t) for user, files in known.items() for file, (a, t) in files.items() if now - t < seconds]
+        if kept:
+            state.update(tuple(map(list, zip(*kept))))
         elif state.exists:
             state.remove()
         yield pd.DataFrame(out, columns=["tenant", "user", "file_uid", "allowed"]).astype({"allowed": "object"})
 
-    return rows.groupBy("tenant", "user").applyInPandasWithState(answer, ANSWERS, KEPT, "append", GroupStateTimeout.NoTimeout)
+    dealt = rows.withColumn("__part", F.explode(parts))
+    return dealt.groupBy("tenant", "__part").applyInPandasWithState(answer, ANSWERS, KEPT, "append", GroupStateTimeout.NoTimeout)
+
+
+def forget_rows(events: DataFrame) -> DataFrame:
+    """Governance events as rows of kind "forget" for cached_decisions()."""
+    gone = invalidations(events.withColumn("__at", F.col("at"))).withColumnRenamed("__at", "at") if "at" in events.columns else invalidations(events)
+    of = lambda scope: F.when(F.col("scope") == scope, F.col("id"))
+    return gone.select("tenant", of("member").alias("user"), F.lit("forget").alias("kind"), of("resource").alias("file_uid"), F.lit(None).cast("boolean").alias("allowed"), *(["at"] if "at" in gone.columns else []))
 
 
 def invalidations(events: DataFrame) -> DataFrame:
     """What governance events make void: rows (tenant, scope, id) with scope resource, member or tenant."""
     scope = F.when(F.col("type").isin("acl.changed", "file.deleted"), "resource").when(F.col("type").isin("role.assigned", "role.member_removed"), "member").when(F.col("type") == "role.deleted", "tenant")
     subject = F.when(scope == "resource", F.col("file_uid")).when(scope == "member", F.col("member")).otherwise(F.col("tenant"))
-    return events.select("tenant", scope.alias("scope"), subject.alias("id")).filter("scope is not null and coalesce(id, '') <> ''")
+    return events.select("tenant", scope.alias("scope"), subject.alias("id"), *(["__at"] if "__at" in events.columns else [])).filter("scope is not null and coalesce(id, '') <> ''")

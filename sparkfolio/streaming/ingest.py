@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
+from itertools import count
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.tables import newest
+from ..sources import events as parse_events
 
 #: Event types that ask for a conversion.
 CONVERT = ("file.created", "file.updated", "file.restored")
@@ -48,16 +51,55 @@ def latest_actions(batch: DataFrame) -> DataFrame:
     return newest(routed(batch), ["tenant", "file_uid"], "ts")
 
 
-def ingest(events: DataFrame, handle: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, once: bool = False) -> StreamingQuery:
+class ReadOnly(Exception):
+    """What a handler raises while its tables cannot be written: the batch waits and is then handed over again."""
+
+
+def event_tail(spark: SparkSession, path: str, group: str, most_files: int = 32) -> DataFrame:
+    """Events of files that come after the group was made; whoever makes it first, sets the time. ``group`` is a path."""
+    spark.range(1).select(F.current_timestamp().alias("since")).write.mode("ignore").parquet(group)
+    since = spark.read.parquet(group).agg(F.min("since")).first()[0]
+    lines = spark.readStream.option("maxFilesPerTrigger", most_files).text(path).select("value", F.col("_metadata.file_modification_time").alias("at"))
+    return parse_events(lines.filter(F.col("at") >= F.lit(since)))
+
+
+def _handed_over(rows: DataFrame, handle: Callable[[DataFrame], None], keys: list[str], depth: int = 0) -> list[tuple[DataFrame, str]]:
+    """Hand rows over; where that fails, by halves, so that all but the rows at fault are handled. Returns those and why."""
+    try:
+        handle(rows)
+        return []
+    except ReadOnly:
+        raise
+    except Exception as error:
+        if depth == 32 or rows.count() <= 1:
+            return [(rows, f"{type(error).__name__}: {error}"[:1000])]
+    half = F.shiftright(F.xxhash64(*keys), depth).bitwiseAND(F.lit(1))
+    return [bad for side in (0, 1) if not (part := rows.filter(half == side)).isEmpty() for bad in _handed_over(part, handle, keys, depth + 1)]
+
+
+def ingest(events: DataFrame, handle: Callable[[DataFrame, DataFrame, int], None], checkpoint: str, once: bool = False, dead: str | None = None, pause: float = 5.0, most_pauses: int | None = None) -> StreamingQuery:
     """Run ``handle(to convert, to delete, batch id)`` for each batch.
 
-    An error in ``handle`` stops the query; when it is started again, the batch is handed over again. ``handle`` must
-    therefore write in a way that a batch may come twice, which table replacements do.
+    A handler that raises ReadOnly is tried again after ``pause`` seconds, before anything newer is read; after
+    ``most_pauses`` tries (none: without end) the query stops. Any other error stops the query as well, unless ``dead``
+    names a folder: then the batch is handed over by halves until the events at fault are found, these are written to
+    ``dead`` with the error, and the stream goes on. A batch that was not finished is handed over again at the next
+    start, so ``handle`` must write in a way that a row may come twice, which table replacements do.
     """
     def batch(df: DataFrame, number: int) -> None:
         last = latest_actions(df).persist()
+        both = lambda rows: handle(rows.filter("action = 'convert'"), rows.filter("action = 'delete'"), number)
         try:
-            handle(last.filter("action = 'convert'"), last.filter("action = 'delete'"), number)
+            for turn in count(1):
+                try:
+                    bad = _handed_over(last, both, ["tenant", "file_uid"]) if dead else both(last)
+                    break
+                except ReadOnly:
+                    if turn == most_pauses:
+                        raise
+                    time.sleep(pause)
+            for rows, error in bad or []:
+                rows.withColumn("error", F.lit(error)).withColumn("batch", F.lit(number)).write.mode("append").parquet(dead)
         finally:
             last.unpersist()
 
