@@ -30,7 +30,14 @@ def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", text.html_title(F.col("html")).alias("title"))
 
 
-@query()
+_SHOWN = "html"
+for _tag in ("script", "style", "noscript", "template", "head", "svg"):
+    _SHOWN = rf"regexp_replace({_SHOWN}, '(?is)<{_tag}\b.*?</{_tag}>', '<x>', 'g')"
+
+
+@query(rf"""
+    with p as (select page_id, {_TITLE} as title, string_split_regex(regexp_replace({_SHOWN}, '(?s)<!--.*?-->', '<x>', 'g'), '<[^>]*>') as parts from pages)
+    select page_id, title, array_to_string(list_filter(list_transform(parts, lambda x: trim({_ENTITIES.format('x')}, ' ' || chr(9) || chr(10) || chr(13) || chr(160))), lambda x: x <> ''), ' ') as text from p""")
 def html_readable(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "pages").select("page_id", text.readable("html").alias("r")).select("page_id", "r.*")
 
@@ -49,19 +56,28 @@ def pii_redact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5(text.redact_pii(F.col("text")).cast("binary")).alias("text_md5"))
 
 
-@query("""
-    select p_partkey, case when lower(p_name) like '%e' then 'application/x-ifc' when lower(p_name) like '%l' then 'model/gltf-binary' else 'application/octet-stream' end as mime from part""")
+_NAMES = {".IFC": "application/x-ifc", ".glb": "model/gltf-binary", ".city.json": "application/city+json", ".json": "application/json", ".stp": "model/step", ".igs": "model/iges", ".md": "text/markdown", ".HTM": "text/html", ".docx": "application/vnd.openxmlformats-officedocument.wordprocessingml.document", ".tif": "image/tiff", ".tar": "application/octet-stream", "": "application/octet-stream"}
+
+
+@query(f"select p_partkey, {list(_NAMES.values())}[p_partkey % {len(_NAMES)} + 1] as mime from part")
 def mime_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    name = F.when(F.lower("p_name").endswith("e"), F.concat("p_name", F.lit(".IFC"))).when(F.lower("p_name").endswith("l"), F.concat("p_name", F.lit(".glb"))).otherwise(F.col("p_name"))
-    return read_table(spark, sf_dir, "part").select("p_partkey", mime.detect(F.lit(None).cast("binary"), name).alias("mime"))
+    ending = F.element_at(F.array(*(F.lit(e) for e in _NAMES)), (F.col("p_partkey") % len(_NAMES) + 1).cast("int"))
+    return read_table(spark, sf_dir, "part").select("p_partkey", mime.detect(F.lit(None).cast("binary"), F.concat(F.lit("file"), ending)).alias("mime"))
 
 
-@query("""
-    select page_id, case page_id % 4 when 0 then 'text/html' when 1 then 'application/pdf' when 2 then 'model/step' else 'text/plain' end as mime from pages""")
+_CONTENTS = {
+    b"<!DOCTYPE html><p>": "text/html", b"%PDF-1.7 ": "application/pdf", b"\n ISO-10303-21; ": "model/step", b"words ": "text/plain",
+    b"\x89PNG\r\n\x1a\n": "image/png", b"\xff\xd8\xff\xe0": "image/jpeg", b"GIF89a": "image/gif", b"RIFF....WAVE": "image/webp", b"OggS": "video/ogg",
+    b"glTF\x02": "model/gltf-binary", b"LASF": "application/vnd.las", b"ply\n": "model/ply", b"#VRML V2.0": "model/vrml", b"....ftypmp42": "video/mp4",
+    b"ISO-10303-21; FILE_SCHEMA(('IFC4')) ": "application/x-ifc", b'{"type":"CityJSON",': "application/city+json",
+    b'{"asset":{"version":"2.0"},': "model/gltf+json", b"solid x\nfacet ": "model/stl", b"CASCADE Topology V1": "model/x-brep", b"PK\x03\x04 broken": "application/zip",
+}
+
+
+@query(f"select page_id, {list(_CONTENTS.values())}[page_id % {len(_CONTENTS)} + 1] as mime from pages")
 def mime_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kind = F.col("page_id") % 4
-    content = F.when(kind == 0, F.col("html")).when(kind == 1, F.concat(F.lit("%PDF-1.7 "), "html")).when(kind == 2, F.concat(F.lit("\n ISO-10303-21; "), "url")).otherwise(F.lit("words"))
-    return read_table(spark, sf_dir, "pages").select("page_id", mime.detect(content.cast("binary"), F.lit("x.txt")).alias("mime"))
+    head = F.element_at(F.array(*(F.lit(c) for c in _CONTENTS)), (F.col("page_id") % len(_CONTENTS) + 1).cast("int"))
+    return read_table(spark, sf_dir, "pages").select("page_id", mime.detect(F.concat(head, F.col("url").cast("binary")), F.lit("x.txt")).alias("mime"))
 
 
 @query(r"""
