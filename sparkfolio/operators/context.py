@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -9,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions.text import escape_html, html_document, redact_pii, to_html
 from ..session import settled
 from . import access, vector_search
+from .chunking import hash_embed
 
 NOTHING_FOUND = "(no document matches the question)"
 
@@ -64,6 +67,18 @@ def retrieve(chunks: DataFrame, query: list[float], grants: DataFrame, k: int =
     return access.readable(over, grants).orderBy("distance", "file_uid", "ordinal").limit(k)
 
 
+def ask(chunks: DataFrame, question: str, grants: DataFrame, dimension: int, k: int = 8, scope: DataFrame | None = None, embed: Callable = hash_embed, **more) -> DataFrame:
+    """retrieve() for a question in words; a blank question and an empty scope give no rows.
+
+    ``embed`` is the provider that the chunks were embedded with.
+    """
+    if not (question or "").strip():
+        return retrieve(chunks.limit(0), [0.0] * dimension, grants, k, scope, **more)
+    asked = chunks.sparkSession.createDataFrame([(0, question)], "id int, text string")
+    vector = embed(asked, ["id"], "text", dimension).first()["embedding"]
+    return retrieve(chunks, vector, grants, k, scope, **more)
+
+
 def transcript(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows (conversation, turns, transcript): JSON of the messages in order, without personal data."""
     row = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), redact_pii(F.col(text)).alias("content"))

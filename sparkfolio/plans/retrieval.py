@@ -52,9 +52,8 @@ def retrieve_for_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_uid"), "doc_id", F.col("text").alias("content_md"))
     grants = docs.filter("(doc_id * 7 + 3) % 5 <> 0").select("file_uid")
     chunks = chunking.index_files(access.readable(docs, grants), 64)  # rights before any text is cut or embedded
-    asked = read_table(spark, sf_dir, "benchmark").filter("item_id = 0")
-    vector = chunking.hash_embed(asked, ["item_id"], "text", 64).first()["embedding"]
-    return context.retrieve(chunks, vector, grants, 8).select("file_uid", F.round("distance", 4).alias("distance"))
+    question = read_table(spark, sf_dir, "benchmark").filter("item_id = 0").first()["text"]
+    return context.ask(chunks, question, grants, 64).select("file_uid", F.round("distance", 4).alias("distance"))
 
 
 @query(f"select e.vec_id, {_DISTANCE} as distance from embeddings e, {_QUERY} order by 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]), vec_id limit 10")

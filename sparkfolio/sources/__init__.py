@@ -1,5 +1,5 @@
 """Readers and writers."""
 
-from .files import append_events, event_stream, events, read_files, read_metadata, read_table, write_table
+from .files import append_events, event_stream, events, latest_events, read_files, read_metadata, read_table, write_table
 
-__all__ = ["append_events", "event_stream", "events", "read_files", "read_metadata", "read_table", "write_table"]
+__all__ = ["append_events", "event_stream", "events", "latest_events", "read_files", "read_metadata", "read_table", "write_table"]

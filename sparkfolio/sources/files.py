@@ -55,3 +55,8 @@ def event_stream(spark: SparkSession, path: str, most_files: int = 32) -> DataFr
 def append_events(df: DataFrame, path: str) -> None:
     """Append events as JSON lines."""
     df.select(F.to_json(F.struct(*df.columns)).alias("value")).write.mode("append").text(path)
+
+
+def latest_events(df: DataFrame, most: int = 100_000) -> DataFrame:
+    """The last ``most`` events by time stamp, then id: what a log keeps when it is written anew."""
+    return df.orderBy(F.desc("ts"), F.desc("event_id")).limit(most)

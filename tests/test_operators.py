@@ -330,3 +330,23 @@ def test_providers(spark):
     assert providers.chosen(providers.WEB_SEARCH, "", "none")(asked).count() == 0
     with pytest.raises(ValueError):
         providers.chosen(providers.EMBEDDING, "other", "hash")
+
+
+def test_asking_nothing_or_nowhere_finds_nothing(spark):
+    docs = spark.createDataFrame([("a", "red wall"), ("b", "blue door")], "file_uid string, content_md string")
+    chunks, grants = chunking.index_files(docs, 512), docs.select("file_uid")
+    assert [r["file_uid"] for r in context.ask(chunks, "the blue door", grants, 512, k=1).collect()] == ["b"]
+    assert context.ask(chunks, "  ", grants, 512).count() == 0 == context.ask(chunks, "door", grants, 512, scope=grants.limit(0)).count()
+
+
+def test_ranks_over_the_whole_order(spark):
+    df = spark.range(1000).withColumn("v", F.pmod(F.col("id") * 7919, F.lit(1000))).repartition(7)
+    assert all(r["rank"] == r["v"] + 1 for r in context.ranked(df, F.col("v")).collect())
+    assert all(r["rank"] == 1000 - r["v"] for r in context.ranked(df, F.desc("v")).collect())
+
+
+def test_a_log_keeps_its_last_events(spark):
+    from sparkfolio.sources import latest_events
+
+    df = spark.createDataFrame([(f"e{n}", f"20260101_0000{n:02}.000") for n in range(20)], "event_id string, ts string")
+    assert sorted(r["event_id"] for r in latest_events(df, 3).collect()) == ["e17", "e18", "e19"]
