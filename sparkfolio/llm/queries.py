@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lang_id, mixing, neighbours, quality, shared, simhash, token_counts, token_files, vectors, warc
+from . import audit, bpe, lang_id, mixing, negatives, neighbours, packing, quality, shared, simhash, token_counts, token_files, vectors, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +72,22 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(_table(spark, sf_dir, "documents").select("doc_id", "text"), path)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows whose vec_id is divisible by 7 get the next label, those divisible by 100 are the anchors."""
+    rows = _table(spark, sf_dir, "embeddings")
+    rows = rows.withColumn("label", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")))
+    return negatives.hard_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack_texts(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return found.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_simhash": op2_simhash,
@@ -83,6 +99,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_mixing": op9_mixing,
     "op10_token_counts": op10_token_counts,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_packing": op13_packing,
 }
 #: SQL where it can express the query; tests hold the others against brute force. That of op6 is an exact search, which
 #: the operator is on tables of up to about 1,850 vectors; beyond that, tests measure its recall.
@@ -102,4 +121,48 @@ ORACLE_SQL: dict[str, str] = {
               from e, e q where q.vec_id % 100 = 0 and q.vec_id <> e.vec_id and len(q.v) = len(e.v)),
         r as (select *, row_number() over (partition by query_id order by score, vec_id) as rank from d)
         select query_id, rank::int as rank, vec_id, score from r where rank <= 10""",
+    "op11_hard_negatives": """
+        with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+                          list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+                   from embeddings where label is not null and embedding is not null and len(embedding) > 0
+                   and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+        d as (select a.vec_id as anchor_id, e.vec_id, e.label = a.label as same,
+                     list_sum(list_transform(list_zip(a.v, e.v), lambda p: p[1] * p[2]))::bigint as score
+              from e, e a where a.vec_id % 100 = 0 and a.vec_id <> e.vec_id and len(a.v) = len(e.v)),
+        p as (select *, row_number() over (partition by anchor_id order by score desc, vec_id) as turn from d where same),
+        n as (select p.anchor_id, p.vec_id as positive_id, d.vec_id as negative_id, p.score as positive_score, d.score as negative_score,
+                     row_number() over (partition by p.anchor_id, p.vec_id order by d.score desc, d.vec_id) as rank
+              from p join d using (anchor_id)
+              where p.turn <= 5 and not d.same and 30 * p.score <= 100 * d.score and 100 * d.score <= 90 * p.score)
+        select anchor_id, positive_id, rank::int as rank, negative_id, positive_score, negative_score from n where rank <= 10""",
+    "op12_filter_audit": """
+        with recursive orders(filter_order) as (
+            select '' union all
+            select filter_order || f from orders, (values ('A'), ('B'), ('C'), ('D'), ('E')) letters(f) where not contains(filter_order, f)),
+        steps as (select filter_order, step::int as step, filter_order[step] as f, filter_order[:step - 1] as earlier
+                  from orders, range(1, 6) numbers(step) where length(filter_order) = 5),
+        d as (select doc_id, coalesce(source, '') as part, coalesce(text, '') as body,
+                     regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+        l as (select doc_id, max((quality = 1)::int) as good, max((toxic = 1)::int) as toxic from labels group by doc_id),
+        x as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, doc_id,
+                     case when len(words) < 200 then 'A' else '' end
+                     || case when 100 * len(list_distinct(words)) < 50 * len(words) then 'B' else '' end
+                     || case when 100 * len(regexp_extract_all(body, '[A-Z]')) > 2 * length(body) then 'C' else '' end
+                     || case when regexp_matches(body, '[#$%&*|]') then 'D' else '' end
+                     || case when doc_id > min(doc_id) over (partition by body) then 'E' else '' end as failed
+              from d left join l using (doc_id)),
+        c as (select part, failed, count(*) as n, sum(good) as good, sum(toxic) as toxic from x group by all),
+        y as (select part, filter_order, step, f, n, good, toxic, failed, contains(failed, f) as fails,
+                     len(list_filter(string_split(earlier, ''), lambda e: e <> '' and contains(failed, e))) > 0 as gone
+              from c, steps),
+        z as (select part, filter_order, step, f,
+                     sum(case when not fails and not gone then n else 0 end)::bigint as kept,
+                     sum(case when fails and not gone then n else 0 end)::bigint as removed,
+                     sum(case when fails and gone then n else 0 end)::bigint as redundant,
+                     sum(case when failed = f then n else 0 end)::bigint as unique_fails,
+                     sum(case when fails and not gone then good else 0 end)::bigint as good_lost,
+                     sum(case when fails and not gone then toxic else 0 end)::bigint as toxic_lost
+              from y group by part, filter_order, step, f)
+        select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+               sum(removed) over (partition by part, f)::bigint as shapley from z""",
 }
