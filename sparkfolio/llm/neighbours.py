@@ -26,11 +26,11 @@ from .shared import sorted_runs, stored
 from .vectors import matrix, usable
 
 TREES, LEAF, SAMPLE, SEED = 24, 16, 20_000, 77
-#: Distances that a query may take: so many times the number of vectors to the power of POWER. A table of which that is
-#: no part but the whole, of about 1,850 vectors at most, is one leaf.
-EFFORT, POWER = 20.3, 0.6
-#: Vectors of a node at which the upper part of a tree ends, and nodes of that kind that a query goes to at most.
-NODE, VISITED = 1024, 768
+#: Distances that a query takes, counted once for each tree that leads to them: so many times the number of vectors to the
+#: power of POWER.
+EFFORT, POWER = 22.5, 0.6
+#: Vectors of a node at which the upper part of a tree ends.
+NODE = 1024
 #: Vectors of a node that one task holds; a larger node is dealt out in blocks, each with lower levels of its own.
 BLOCK = 50_000
 #: Results that a task holds while it merges those of its nodes.
@@ -51,13 +51,13 @@ class Forest:
     def __init__(self, sample: np.ndarray, n: int, k: int = 10, effort: float = EFFORT, seed: int = SEED) -> None:
         size, width = sample.shape
         may = effort * n**POWER
-        self.trees = trees = TREES if may < n else 1
-        self.leaf = max(LEAF, k + 1) if may < n else n
+        self.trees = trees = TREES
+        self.leaf = max(LEAF, k + 1)
         self.upper = int(np.clip(round(math.log2(max(n, 1) / NODE)), 0, max(0, int(math.log2(max(size / 8, 1))))))
         in_node = max(n / (1 << self.upper), 1)
         self.blocks = math.ceil(in_node / BLOCK)
         self.lower = max(0, round(math.log2(in_node / self.blocks / self.leaf)))
-        self.leaves = max(1, round(min(may, n) / self.leaf / self.blocks))
+        self.leaves = max(1, round(may / self.leaf / self.blocks))
         levels = self.upper + max(self.lower, math.ceil(math.log2(max(BLOCK / self.leaf, 1)))) + 1
         random = np.random.default_rng([seed, width])
         turns = [[np.linalg.qr(random.normal(size=(width, width)))[0].T for _ in range(-(-levels // width))] for _ in range(trees)]
@@ -104,7 +104,7 @@ class Forest:
         sides = np.stack([cost(-off), cost(off)], -1).tolist()
         queue = [(0.0, t, 1) for t in range(self.trees)]
         found = []
-        while queue and len(found) < min(VISITED, leaves):
+        while queue and len(found) < leaves:
             so_far, t, node = heapq.heappop(queue)
             if node >> self.upper:
                 found.append((so_far, t, node))

@@ -22,8 +22,9 @@ from .shared import connected_components, local_roots, sorted_groups, stored
 WIDTH, PROJECTIONS, TABLES, SEED = 1.5, 8, 16, 20_240
 #: Share of the pairs just at the threshold that no table finds, and vectors at right angles that may share a bucket.
 MISSED, STRANGERS = 0.04, 2.0
-#: Distinct vectors of a bucket that are compared in one piece; larger buckets are split into pairs of blocks.
-BLOCK = 2000
+#: Distinct vectors of a bucket that are compared in one piece; larger buckets are split into pairs of blocks. Of a piece,
+#: so many rows are compared with the others at a time.
+BLOCK, STRIP = 2000, 256
 
 
 def usable(column: str):
@@ -86,6 +87,34 @@ def hash_lists(column: pa.Array, projections: int, tables: int) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.arange(0, keys.size + 1, tables, dtype=np.int32)), pa.array(keys.ravel()))
 
 
+def piece_links(v: np.ndarray, keys: np.ndarray, t: int, n: np.ndarray, own: np.ndarray | None, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """Links of one piece of table ``t``: for each of its unit vectors the rows linked, and the least vector connected.
+
+    Pairs that share an earlier table are left to it. With ``own``, only pairs of different blocks count. ``n`` is the
+    number of rows of each vector. A strip's near pairs are all that is held, and tables are looked at one by one for the
+    pairs that no earlier one has, so memory does not grow with pairs times tables, however many pairs are near.
+    """
+    links, root = np.zeros(len(v), np.int64), np.arange(len(v))
+    for start in range(0, len(v), STRIP):
+        near = v[start : start + STRIP] @ v.T >= least
+        near[np.arange(len(near)), start + np.arange(len(near))] = False
+        if own is not None:
+            near &= own[start : start + STRIP, None] != own
+        a, b = np.nonzero(near)
+        a += start
+        for earlier in range(t):
+            if not len(a):
+                break
+            apart = keys[a, earlier] != keys[b, earlier]
+            a, b = a[apart], b[apart]
+        if len(a):
+            links += np.bincount(a, n[b], len(v)).astype(np.int64)
+            one = a < b
+            tied = np.flatnonzero(root != np.arange(len(v)))
+            root = local_roots(len(v), np.concatenate([tied, a[one]]), np.concatenate([root[tied], b[one]]))
+    return links, root
+
+
 def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding", label: str = "label", least: float = 0.93) -> DataFrame:
     """Rows (key, n_links, component_id, kept), one for each row of ``df``.
 
@@ -137,22 +166,11 @@ def near_vectors(df: DataFrame, key: str = "vec_id", vector: str = "embedding",
                 continue
             rid, n, own_block = (group.column(c).to_numpy() for c in ("rid", "n", "own"))
             v = unit(matrix(group.column("v")))
-            near = v @ v.T >= least
-            np.fill_diagonal(near, False)
-            if low != high:
-                near &= own_block[:, None] != own_block[None]
-            if not near.any():
-                continue
             keys = group.column("keys").combine_chunks().flatten().to_numpy().reshape(-1, tables)
-            a, b = np.nonzero(near)
-            first = (keys[a, :t] != keys[b, :t]).all(1)
-            a, b = a[first], b[first]
-            if not len(a):
-                continue
-            links = np.bincount(a, n[b], len(rid)).astype(np.int64)
-            one = a < b
-            root = local_roots(len(rid), a[one], b[one])
+            links, root = piece_links(v, keys, t, n, own_block if low != high else None, least)
             some = np.flatnonzero(links)
+            if not len(some):
+                continue
             yield pa.RecordBatch.from_arrays([pa.array(rid[some]), pa.array(links[some]), pa.array(rid[root[some]])], ["rid", "links", "root"])
 
     found = stored(dealt.repartition(*piece).sortWithinPartitions(*piece).mapInArrow(compare, "rid long, links long, root long"), "found")

@@ -103,6 +103,31 @@ def test_near_vectors(spark, monkeypatch):
     assert vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_a_cone_of_vectors_is_compared_in_bounded_memory():
+    """4,000 different vectors around one direction, all near each other, in the last of 71 tables."""
+    import tracemalloc
+
+    rng = np.random.default_rng(2)
+    v = vectors.unit(rng.normal(size=64) + 0.01 * rng.normal(size=(4000, 64)))
+    keys = vectors.hashes(v, 15, 71)
+    weight = rng.integers(1, 4, 4000)
+    tracemalloc.start()
+    links, root = vectors.piece_links(v, keys, 70, weight, None, 0.93)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 200 << 20
+    apart = np.ones((4000, 4000), bool)
+    for t in range(70):
+        apart &= keys[:, t, None] != keys[:, t]
+    apart &= v @ v.T >= 0.93
+    np.fill_diagonal(apart, False)
+    assert (links == apart @ weight).all()
+    own = np.arange(4000) % 2
+    half, _ = vectors.piece_links(v, keys, 0, weight, own, 0.93)
+    assert (half == np.where(own == 0, weight[own == 1].sum(), weight[own == 0].sum())).all()
+    assert (vectors.piece_links(v, keys, 0, weight, None, 0.93)[1] == 0).all()
+
+
 def test_tables_reach_the_recall_at_the_threshold():
     """Pairs of cosine 0.93, the farthest that count, share a table 9 times in 10 or more."""
     rng = np.random.default_rng(8)
@@ -113,7 +138,7 @@ def test_tables_reach_the_recall_at_the_threshold():
     assert (vectors.hashes(a) == vectors.hashes(b)).any(1).mean() > 0.92
 
 
-def test_nearest_of_few_rows_is_exact(spark):
+def test_nearest_of_few_rows(spark):
     rng = np.random.default_rng(5)
     rows = [(k, [float(x) for x in rng.normal(size=8)]) for k in range(60)]
     rows += [(200 + k, rows[0][1]) for k in range(30)] + [(300, None), (301, [0.0] * 8), (302, [float("nan")] * 8), (None, rows[0][1])]
@@ -141,6 +166,33 @@ def recall(found, rows, queries):
     return hits / len(queries) / 10
 
 
+@pytest.mark.parametrize("n,step,share", [(500, 5, 2.0), (100_000, 1000, 0.21)])
+def test_forest_recall_at_any_size(n, step, share):
+    """Independent directions, the hardest case: 0.9 and more at either size, with no more distances, repeats included, than a share of the table."""
+    rows = np.random.default_rng(3).normal(size=(n, 64))
+    forest = neighbours.Forest(rows[np.random.default_rng(0).permutation(n)[: neighbours.SAMPLE]], n)
+    place = np.concatenate([forest.nodes(rows[k : k + 2000]) for k in range(0, n, 2000)])
+    asked = np.arange(0, n, step)
+    going, found, seen = {}, {int(q): {} for q in asked}, 0
+    for q in asked:
+        for node, room in zip(*forest.search(rows[q])):
+            going.setdefault(node, []).append((q, room))
+    for number, queries in going.items():
+        at = np.flatnonzero(place[:, number >> forest.upper] == number)
+        who, room = (np.array(x) for x in zip(*queries))
+        query, ids, away, counts = neighbours.Node(forest, number, at, rows[at]).nearest(rows[who], room, 11)
+        seen += counts.sum()
+        for k, i, d in zip(who[query].tolist(), ids.tolist(), away.tolist()):
+            found[k][i] = d
+    hits = 0
+    for q, near in found.items():
+        far = ((rows - rows[q]) ** 2).sum(1)
+        best = [i for i in sorted(near, key=near.get) if i != q][:10]
+        hits += len(set(best) & set(np.argsort(far)[1:11].tolist()))
+    assert hits / len(asked) / 10 >= 0.9
+    assert seen / len(asked) <= share * n
+
+
 def test_forest_recall(spark):
     rng = np.random.default_rng(9)
     rows = rng.normal(size=(12_000, 48)).astype(np.float32)
