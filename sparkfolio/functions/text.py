@@ -420,20 +420,28 @@ def client_ip(peer: Column, forwarded: Column, trusted: list[str] | None = None)
 
 
 @F.pandas_udf(T.BooleanType())
-def is_public_address(addresses: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Whether an address is a public one; false for what is no address."""
-
+def _all_public(lists: Iterator[pd.Series]) -> Iterator[pd.Series]:
     def public(address: str | None) -> bool:
         try:
-            return ipaddress.ip_address((address or "").strip("[]")).is_global
+            ip = ipaddress.ip_address((address or "").strip("[]"))
         except ValueError:
             return False
+        ip = getattr(ip, "ipv4_mapped", None) or ip
+        return ip.is_global and not (ip.is_multicast or ip.is_reserved or ip.is_unspecified or ip.is_loopback or ip.is_link_local or ip.is_private)
+
+    for batch in lists:
+        yield batch.map(lambda addresses: addresses is not None and len(addresses) > 0 and all(map(public, addresses)))
+
 
-    for batch in addresses:
-        yield batch.map(public)
+def is_public_address(address: Column) -> Column:
+    """Whether an address is a public one: not private, loopback, link-local, reserved, multicast or unspecified.
+
+    False for what is no address. An IPv4 address in an IPv6 one counts as itself.
+    """
+    return _all_public(F.array(address))
 
 
 def fetchable(url: Column, resolved: Column) -> Column:
     """Whether a URL may be fetched: HTTPS with a host all of whose ``resolved`` addresses are public, at least one."""
     ok = F.lower(F.try_parse_url(url, F.lit("PROTOCOL"))) == "https"
-    return F.coalesce(ok & F.try_parse_url(url, F.lit("HOST")).isNotNull() & (F.size(resolved) > 0), F.lit(False))
+    return F.coalesce(ok & F.try_parse_url(url, F.lit("HOST")).isNotNull() & _all_public(resolved), F.lit(False))

@@ -14,12 +14,14 @@ def upsert(documents: DataFrame, changes: DataFrame, now: Column, key: str = "fi
     """Rows of ``changes`` in place of those of equal key, or besides them.
 
     A null in a column of ``keep_if_null`` keeps the old value. created_at stays, updated_at is ``now``. Of several
-    changes of one key the last by source_version counts.
+    changes of one key the last by source_version counts; if it is older than the stored row, that stays as it is. The
+    whole table is joined; operators.store.FileStore keeps a table of which only the changed part is written.
     """
     latest = newest(changes, key, "source_version")
     old, new = documents.alias("o"), latest.withColumn("__new", F.lit(True)).alias("n")
     both = old.join(new, F.col(f"o.{key}") == F.col(f"n.{key}"), "full_outer")
-    fresh = F.col("__new").isNotNull()
+    version = lambda side: F.coalesce(F.col(f"{side}.source_version"), F.lit(""))
+    fresh = F.col("__new").isNotNull() & (version("n") >= version("o"))
 
     def value(c: str) -> Column:
         if c == key:
@@ -38,10 +40,15 @@ def upsert(documents: DataFrame, changes: DataFrame, now: Column, key: str = "fi
 
 
 def newest(events: DataFrame, key: str | list[str], version: str) -> DataFrame:
-    """Of each key the row of the greatest version; a null version is the least."""
+    """Of each key the row of the greatest version; a null version is the least.
+
+    Of equal versions, the row that is greatest column by column counts, in the order of the columns, null being the
+    least; columns of maps cannot be compared and are passed over.
+    """
     rest = F.struct(*events.columns)
     keys = [key] if isinstance(key, str) else key
-    best = events.groupBy(*keys).agg(F.max_by(rest, F.coalesce(F.col(version).cast("string"), F.lit(""))).alias("__r"))
+    ties = [F.col(f.name) for f in events.schema if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()]
+    best = events.groupBy(*keys).agg(F.max_by(rest, F.struct(F.coalesce(F.col(version).cast("string"), F.lit("")), *ties)).alias("__r"))
     return best.select("__r.*")
 
 

@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import providers
-from ..operators import access, context, tables
+from ..functions import text
+from ..operators import access, chunking, context, tables
+from ..operators.store import FileStore
 from ..session import shared_folder
 from ..sources import event_stream
 from ..sources import events as parse_events
@@ -361,3 +363,65 @@ def provenance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     record = F.struct(F.struct(F.col("conv_id").cast("string").alias("uid"), F.lit("v1").alias("version")).alias("report"), F.lit("u").alias("chatted_by"), F.lit("t").alias("tenant"), "transcript")
     pages = context.provenance_page(told.select("conv_id", F.to_json(record).alias("record")), "conv_id")
     return pages.select("conv_id", F.md5(F.split("page", "<script")[0].cast("binary")).alias("head_md5"))
+
+
+@query("""
+    with d as (select *, case when doc_id % 20 = 3 then null when doc_id % 4 = 2 then 'new ' || lang else text end as t from documents where doc_id % 10 <> 3 or doc_id % 20 = 3)
+    select 'f' || doc_id as file_uid, case when doc_id % 20 = 3 then 'v4' when doc_id % 2 = 0 then 'v2' else 'v1' end as source_version, md5(t) as text_md5,
+           case when trim(coalesce(t, ''), ' ' || chr(9) || chr(10) || chr(13)) <> '' then 1 else 0 end as chunks from d""")
+def file_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store that gets its batches the wrong way round, one of them twice: it ends as if they had come in order."""
+    docs = read_table(spark, sf_dir, "documents")
+    file = lambda rows, version, text: rows.select(F.lit("t").alias("tenant"), F.concat(F.lit("f"), "doc_id").alias("file_uid"), F.lit(version).alias("source_version"), text.cast("string").alias("content_md"))
+    batches = {
+        "back": file(docs.filter("doc_id % 20 = 3"), "v4", F.lit(None)),
+        "gone": file(docs.filter("doc_id % 10 = 3"), "v3", F.lit(None)).withColumn("deleted", F.lit(True)),
+        "changed": file(docs.filter("doc_id % 2 = 0"), "v2", F.when(F.col("doc_id") % 4 == 2, F.concat(F.lit("new "), "lang"))),
+        "first": file(docs, "v1", F.col("text")),
+    }
+    store = FileStore(spark, f"{shared_folder(spark)}/store-{uuid.uuid4().hex}", 32, lambda d: chunking.chunk(d).withColumn("tenant", F.lit("t")))
+    for name in (*batches, "changed"):
+        store.apply(name, batches[name])
+    chunks = store.chunks().groupBy("file_uid").agg(F.count("*").cast("int").alias("chunks"))
+    found = store.documents().join(chunks, "file_uid", "left")
+    return found.select("file_uid", "source_version", F.md5(F.col("content_md").cast("binary")).alias("text_md5"), F.coalesce("chunks", F.lit(0)).alias("chunks"))
+
+
+@query("""
+    with e as (select event_id as id, user_id, event_id % 3 as file, event_type from events),
+    a as (select q.id, q.user_id, q.file, max(d.id) as decided from e q left join e d on d.event_type = 'click' and d.user_id = q.user_id and d.file = q.file and d.id < q.id
+          where q.event_type = 'view' group by all),
+    f as (select a.*, exists (select 1 from e where e.event_type = 'purchase' and e.user_id = a.user_id and e.id > a.decided and e.id < a.id) as forgotten from a)
+    select user_id::varchar as user, file::varchar as file_uid, case when id - decided < 3000 and not forgotten then decided % 2 = 0 end as allowed, count(*) as n from f group by all""")
+def stream_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clicks note a decision, views ask for one that is less than 3,000 events old, purchases forget the user's."""
+    folder = f"{shared_folder(spark)}/decisions-{uuid.uuid4().hex}"
+    kind = F.when(F.col("event_type") == "click", "decision").when(F.col("event_type") == "view", "ask").when(F.col("event_type") == "purchase", "forget")
+    user = F.col("user_id").cast("string")
+    rows = read_table(spark, sf_dir, "events").select(
+        F.lit("t").alias("tenant"), user.alias("user"), kind.alias("kind"), F.when(kind != "forget", (F.col("event_id") % 3).cast("string")).alias("file_uid"),
+        F.when(kind == "decision", F.col("event_id") % 2 == 0).alias("allowed"), F.col("event_id").cast("double").alias("at"),
+    ).filter("kind is not null")
+    rows.write.parquet(f"{folder}/in")
+    answers = decisions.cached_decisions(spark.readStream.schema(rows.schema).parquet(f"{folder}/in"), 3000)
+    answers.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(decisions.ANSWERS).parquet(f"{folder}/out").groupBy("user", "file_uid", "allowed").agg(F.count("*").alias("n"))
+
+
+_ADDRESSES = {
+    "93.184.216.34": True, "8.8.8.8": True, "2606:2800:220:1::1": True, "127.0.0.1": False, "10.0.0.7": False, "192.168.0.1": False, "169.254.1.1": False,
+    "224.0.0.251": False, "0.0.0.0": False, "::1": False, "fe80::1": False, "::ffff:192.168.1.1": False, "not an address": False,
+}
+
+
+@query(f"""
+    with a as (select {list(_ADDRESSES)} as addresses, {list(_ADDRESSES.values())} as open),
+    p as (select *, case page_id % 3 when 0 then 'http' else 'https' end || regexp_replace(url, '^[a-z]+', '') as link, page_id % {len(_ADDRESSES)} + 1 as i, page_id // 7 % {len(_ADDRESSES)} + 1 as j from pages, a)
+    select page_id, link, coalesce(link like 'https://%' and page_id % 11 <> 0 and open[i] and open[j], false) as fetchable from p""")
+def fetch_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's link with two addresses that its host resolves to; every eleventh resolves to none."""
+    n, known = len(_ADDRESSES), F.array(*map(F.lit, _ADDRESSES))
+    pick = lambda k: F.element_at(known, (k % n + 1).cast("int"))
+    rows = read_table(spark, sf_dir, "pages").withColumn("link", F.concat(F.when(F.col("page_id") % 3 == 0, "http").otherwise("https"), F.regexp_replace("url", "^[a-z]+", "")))
+    resolved = F.when(F.col("page_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(pick(F.col("page_id")), pick(F.floor(F.col("page_id") / 7))))
+    return rows.select("page_id", "link", text.fetchable(F.col("link"), resolved).alias("fetchable"))

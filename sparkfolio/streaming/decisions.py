@@ -2,60 +2,107 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ANSWERS = "tenant string, user string, file_uid string, allowed boolean"
-#: What is kept of one part of a tenant's users: users, files, what was decided, and when.
-KEPT = "users array<string>, files array<string>, allowed array<boolean>, at array<double>"
 #: Parts of a tenant's users. A tenant-wide change goes to all of them.
 PARTS = 64
+PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def cached_decisions(rows: DataFrame, seconds: float = 300) -> DataFrame:
+class _Decisions(StatefulProcessor):
+    """What is kept of one part of a tenant's users, an entry a user and file; timers drop what is too old.
+
+    A change that makes many decisions void is one entry as well: decisions noted before it do not count. Each row that
+    changes something has a number of its own, so that order is known also within one moment.
+    """
+
+    def __init__(self, seconds: float) -> None:
+        self.seconds = seconds
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getMapState("kept", "user string, file string", "allowed boolean, at double, turn long")
+        self.void = handle.getMapState("void", "user string, file string", "at double, turn long")
+        self.turn = handle.getValueState("turn", "turn long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        # a part's rows of one batch: questions and notes, as many as came in since the last one
+        batch = pd.concat(list(rows)).sort_values("at", kind="stable")
+        before = self.turn.get() if self.turn.exists() else None
+        turn = start = before[0] if before else 0
+        out, ends = [], set()
+        for user, kind, file, allowed, at in zip(*(batch[c].tolist() for c in ("user", "kind", "file_uid", "allowed", "at"))):
+            if kind == "decision" and self.seconds > 0:
+                turn += 1
+                self.kept.updateValue((user, file), (bool(allowed), float(at), turn))
+                ends.add(self._end(float(at)))
+            elif kind == "forget" and self.seconds > 0:
+                turn += 1
+                self.void.updateValue((user, file), (float(at), turn))
+                ends.add(self._end(float(at)))
+            elif kind == "ask":
+                out.append((key[0], user, file, self._known(user, file, float(at))))
+        if turn > start:
+            self.turn.update((turn,))
+        for end in ends:
+            self.handle.registerTimer(end)
+        yield pd.DataFrame(out, columns=["tenant", "user", "file_uid", "allowed"]).astype({"allowed": "object"})
+
+    def _end(self, at: float) -> int:
+        """When what is noted at ``at`` is dropped, in milliseconds: in steps of the life of a decision, so timers are few."""
+        return int(math.floor(at / self.seconds) + 2) * math.ceil(self.seconds * 1000)
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
+        left = 0
+        for state, at in ((self.kept, 1), (self.void, 0)):
+            for entry, value in list(state.iterator()):
+                if now - value[at] >= self.seconds:
+                    state.removeKey(entry)
+                else:
+                    left += 1
+        if not left:
+            self.turn.clear()
+        return iter(())
+
+    def _known(self, user: str, file: str, now: float) -> bool | None:
+        found = self.kept.getValue((user, file)) if self.kept.containsKey((user, file)) else None
+        if not found or now - found[1] >= self.seconds:
+            return None
+        for scope in ((user, file), (user, None), (None, file), (None, None)):
+            if self.void.containsKey(scope) and self.void.getValue(scope)[1] > found[2]:
+                return None
+        return found[0]
+
+    def close(self) -> None:
+        pass
+
+
+def cached_decisions(rows: DataFrame, seconds: float = 300, late: str = "10 minutes") -> DataFrame:
     """Answers (tenant, user, file_uid, allowed) to the questions in a stream of rows (tenant, user, kind, file_uid, allowed, at).
 
     Rows of kind "decision" are noted, rows of kind "ask" answered from what is noted and less than ``seconds`` old (null:
     ask the source). Rows of kind "forget" clear a user's file, all of a user with a null file, a file of all users with a
-    null user, and the whole tenant with both null. Rows count in order of ``at``. Old decisions are dropped at each
-    batch. The state is kept by tenant and part of its users, so that one tenant is not one task.
+    null user, and the whole tenant with both null. Rows count in order of ``at``, in seconds.
+
+    The state is kept by tenant and part of its users, so that one tenant is not one task. It is a map with an entry a
+    user and file: a question reads a few entries, a note writes one, nothing is written anew as a whole. A timer in event
+    time drops what is too old, also where no more rows come, as the stream's time goes on. Rows that are ``late`` behind
+    that time are passed over. The state store has to be the one on RocksDB; it is set for the session.
     """
+    rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     part = F.pmod(F.xxhash64("user"), F.lit(PARTS))
     parts = F.when(F.col("user").isNull(), F.sequence(F.lit(0), F.lit(PARTS - 1))).otherwise(F.array(part.cast("int")))
-
-    def answer(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        known: dict[str, dict[str, tuple[bool, float]]] = {}
-        for user, file, allowed, at in zip(*(state.get if state.exists else ([], [], [], []))):
-            known.setdefault(user, {})[file] = (allowed, at)
-        out, now = [], 0.0
-        for r in pd.concat(list(batches)).sort_values("at", kind="stable").itertuples():
-            now = float(r.at)
-            mine = known.get(r.user, {})
-            if r.kind == "decision" and seconds > 0:
-                known.setdefault(r.user, {})[r.file_uid] = (bool(r.allowed), now)
-            elif r.kind == "forget":
-                of = list(known) if r.user is None else [r.user] if r.user in known else []
-                for user in of:
-                    if r.file_uid is None:
-                        del known[user]
-                    else:
-                        known[user].pop(r.file_uid, None)
-            elif r.kind == "ask":
-                found = mine.get(r.file_uid)
-                out.append((key[0], r.user, r.file_uid, found[0] if found and now - found[1] < seconds else None))
-        kept = [(user, file, bool(a), t) for user, files in known.items() for file, (a, t) in files.items() if now - t < seconds]
-        if kept:
-            state.update(tuple(map(list, zip(*kept))))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(out, columns=["tenant", "user", "file_uid", "allowed"]).astype({"allowed": "object"})
-
-    dealt = rows.withColumn("__part", F.explode(parts))
-    return dealt.groupBy("tenant", "__part").applyInPandasWithState(answer, ANSWERS, KEPT, "append", GroupStateTimeout.NoTimeout)
+    timed = rows.withColumn("__time", F.timestamp_millis((F.col("at") * 1000).cast("long"))).withWatermark("__time", late)
+    dealt = timed.withColumn("__part", F.explode(parts))
+    return dealt.groupBy("tenant", "__part").transformWithStateInPandas(_Decisions(seconds), ANSWERS, "append", "EventTime")
 
 
 def forget_rows(events: DataFrame) -> DataFrame:

@@ -167,6 +167,9 @@ def test_requests(spark):
     assert [one(spark, text.is_public_address(F.lit(a))) for a in ("8.8.8.8", "127.0.0.1", "10.1.1.1", "x", "::1")] == [True, False, False, False, False]
     assert one(spark, text.fetchable(F.lit("https://a.org/x"), F.array(F.lit("8.8.8.8")))) is True
     assert one(spark, text.fetchable(F.lit("http://a.org/x"), F.array(F.lit("8.8.8.8")))) is False
+    lists = [["8.8.8.8", "2001:4860:4860::8888"], ["8.8.8.8", "127.0.0.1"], ["192.168.1.9"], ["169.254.0.1"], ["224.0.0.1"], ["ff02::1"], ["240.0.0.1"], ["0.0.0.0"], ["::ffff:10.0.0.1"], ["::"], [], None, [None], ["8.8.8.8", ""]]
+    df = spark.createDataFrame([(k, x) for k, x in enumerate(lists)], "k int, resolved array<string>")
+    assert [r[0] for r in df.orderBy("k").select(text.fetchable(F.lit("https://a.org/x"), F.col("resolved"))).collect()] == [True] + [False] * 13
     assert one(spark, text.argument_summary(F.create_map(F.lit("q"), F.lit("z" * 100)))) == "q=" + "z" * 79 + "…"
     assert one(spark, text.conversation_title(F.col("t")), t="  a \n b  ") == "a b"
     assert one(spark, text.conversation_title(F.col("t")), t=" ") == "New chat"

@@ -133,3 +133,13 @@ def test_unknown_tools_are_said_to_be_unknown(spark):
     calls = spark.createDataFrame([(1, "web_search", {"query": "q"}), (2, "other", {}), (3, None, None), (4, "web_search", {})], "call_id int, name string, args map<string,string>")
     found = {r["call_id"]: (r["text"], len(r["sources"])) for r in providers.run_tools(calls, [providers.web_search_tool()]).collect()}
     assert found == {1: ("", 0), 2: ("there is no tool other", 0), 3: ("there is no tool ", 0), 4: ("", 0)}
+
+
+def test_idle_decisions_go_by_themselves(spark, tmp_path):
+    schema = "tenant string, user string, kind string, file_uid string, allowed boolean, at double"
+    for name, rows in (("1", [("t", "ann", "decision", "a", True, 1.0), ("t", "ann", "forget", "b", None, 2.0)]), ("2", [("t", "bob", "decision", "a", True, 5000.0)])):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+        answers = decisions.cached_decisions(spark.readStream.schema(schema).json(str(tmp_path / "in")))
+        answers.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
+    left = lambda name: [r["key"]["user"] for r in spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "state")).select("user_map_key.user").withColumnRenamed("user", "u").selectExpr("struct(u as user) as key").collect()]
+    assert left("kept") == ["bob"] and left("void") == []
