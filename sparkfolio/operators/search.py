@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import terms as T
 from .access import allowed_top, cap, check_query, readable
+from .trigram import near_texts, similar_names
 
 
 def inverted_index(documents: DataFrame, uid: str = "file_uid", name: str = "name", text: str = "content_md", only: list[str] | None = None) -> DataFrame:
@@ -31,21 +32,38 @@ def inverted_index(documents: DataFrame, uid: str = "file_uid", name: str = "nam
     return spots.join(known, "word").groupBy(uid, "lexeme").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
 
 
-#: Parts that a stored index is dealt out to by lexeme; a query reads those of its own lexemes.
-INDEX_PARTS = 256
+#: Parts that a stored index is dealt out to by lexeme, of which a query reads those of its own lexemes; and rows of a
+#: lexeme that one file of it holds.
+INDEX_PARTS, INDEX_ROWS = 256, 100_000
+#: The lexeme under which a stored index has every file, for queries of negations.
+EVERY = ""
 
 
-def store_index(index: DataFrame, path: str) -> None:
-    """Write an inverted index dealt out and sorted by lexeme, so that a query reads a few row groups of a few parts."""
+def store_index(index: DataFrame, path: str, every: DataFrame | None = None) -> None:
+    """Write an inverted index dealt out and sorted by lexeme, so that a query reads a few row groups of a few parts.
+
+    A lexeme of many files is spread over tasks. ``every`` has the ids of all files, also of those without a lexeme; if it
+    is not given, the index's own files are all.
+    """
+    uid = index.columns[0]
+    all_ = (index if every is None else every).select(uid).distinct()
+    whole = index.unionByName(all_.select(uid, F.lit(EVERY).alias("lexeme"), F.array().cast("array<int>").alias("positions")))
+    many = whole.groupBy("lexeme").agg(F.ceil(F.count("*") / INDEX_ROWS).cast("long").alias("files")).filter("files > 1")
+    salted = whole.join(many, "lexeme", "left").withColumn("salt", F.pmod(F.xxhash64(uid), F.coalesce("files", F.lit(1)))).drop("files")
     part = F.pmod(F.xxhash64("lexeme"), F.lit(INDEX_PARTS)).cast("int")
-    index.withColumn("part", part).repartition("part", F.pmod(F.xxhash64(index.columns[0]), F.lit(8))).sortWithinPartitions("part", "lexeme").write.mode("overwrite").partitionBy("part").parquet(path)
+    dealt = salted.withColumn("part", part).repartition("part", "salt").drop("salt").sortWithinPartitions("part", "lexeme")
+    dealt.write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def stored_index(spark: SparkSession, path: str, query: Query) -> DataFrame:
-    """The rows of a stored index that a query needs: partitions by its lexemes' parts, then row groups by lexeme."""
-    parts = spark.createDataFrame([(w,) for w in query.lexemes], "w string").select(F.pmod(F.xxhash64("w"), F.lit(INDEX_PARTS)).cast("int").alias("p")).collect()
+    """The rows of a stored index that a query needs: partitions by its lexemes' parts, then row groups by lexeme.
+
+    For a query with an alternative of negations only, that is every file's row as well.
+    """
+    wanted = query.lexemes + [EVERY] * query.negative
+    parts = spark.createDataFrame([(w,) for w in wanted], "w string").select(F.pmod(F.xxhash64("w"), F.lit(INDEX_PARTS)).cast("int").alias("p")).collect()
     rows = spark.read.parquet(path)
-    return rows.filter(F.col("part").isin([r["p"] for r in parts]) & F.col("lexeme").isin(query.lexemes)).drop("part")
+    return rows.filter(F.col("part").isin([r["p"] for r in parts]) & F.col("lexeme").isin(wanted)).drop("part")
 
 
 class Query:
@@ -74,6 +92,11 @@ class Query:
     def wanted(self) -> list[str]:
         return sorted({w for g in self.groups for negated, item in g if not negated for _, w in item})
 
+    @property
+    def negative(self) -> bool:
+        """Whether some alternative has negations only, so that files without any of the lexemes match."""
+        return any(all(negated for negated, _ in g) for g in self.groups)
+
     def matches(self, at: Column) -> Column:
         """Condition over a map of lexeme to positions."""
         places = lambda w: F.coalesce(F.try_element_at(at, F.lit(w)), F.array().cast("array<int>"))
@@ -108,24 +131,26 @@ def matching(index: DataFrame, query: Query, uid: str = "file_uid", every: DataF
     """Rows (uid, rank) of the files that match. Only the query's stems are read of the index.
 
     An alternative of negations only matches all files without its stems: those of ``every`` (column uid), or, if it is
-    not given, those that the index has.
+    not given, those that the index has; a stored one has them all.
     """
     if not query.lexemes:
         return index.select(uid, F.lit(0.0).alias("rank")).limit(0)
     some = index.filter(F.col("lexeme").isin(query.lexemes))
-    if any(all(negated for negated, _ in g) for g in query.groups):
+    if query.negative:
         all_ = (index if every is None else every).select(uid).distinct()
         some = some.unionByName(all_.select(uid, F.lit("").alias("lexeme"), F.array().cast("array<int>").alias("positions")))
     maps = some.groupBy(uid).agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "positions"))).alias("at"))
     return maps.filter(query.matches(F.col("at"))).select(uid, query.rank(F.col("at")).alias("rank"))
 
 
-def search(documents: DataFrame, index: DataFrame | None, grants: DataFrame, text: str, limit: int = 20, fuzzy: bool = True, name_least: float = 0.3, text_least: float = 0.6, mode: str = "exact") -> DataFrame:
+def search(documents: DataFrame, index: DataFrame | None, grants: DataFrame, text: str, limit: int = 20, fuzzy: bool = True, name_least: float = 0.3, text_least: float = 0.6, mode: str = "exact", postings: DataFrame | None = None) -> DataFrame:
     """Rows (file_uid, name, snippet, score) of the best files that a user may read.
 
     A file counts if it is converted or indexed and matches the query, or, with ``fuzzy``, if its name or some part of
     its text is similar enough. The score is the rank plus the greater similarity. Ties go to the smaller id. ``index`` is
-    an inverted index; without one, the query's own stems are looked for in the texts.
+    an inverted index; without one, the query's own stems are looked for in the texts. ``postings`` are those of the
+    query's trigrams (trigram.stored_trigrams); without them, every name and text is looked through. With both, only the
+    texts of files that the lists name are touched.
 
     Only texts that can reach the threshold by the trigrams they share with the query, and those that match, are looked
     at by Python for the run that is most similar. Texts stay out of the ranking; snippets are made of the rows returned.
@@ -135,7 +160,13 @@ def search(documents: DataFrame, index: DataFrame | None, grants: DataFrame, tex
     if index is None:
         index = inverted_index(live, only=wanted.lexemes)
     grams = len(set(T.trigram_list(text)))
-    rows = live.join(matching(index, wanted, every=live), "file_uid", "left").withColumn("by_name", T.similarity(F.lit(text), F.coalesce("name", F.lit(""))))
+    matched = matching(index, wanted, every=live)
+    if postings is not None:
+        ids = matched.select("file_uid")
+        if fuzzy and grams:
+            ids = ids.union(similar_names(postings, text, name_least).select("file_uid")).union(near_texts(postings, text, text_least).select("file_uid"))
+        live = live.join(ids, "file_uid", "left_semi")
+    rows = live.join(matched, "file_uid", "left").withColumn("by_name", T.similarity(F.lit(text), F.coalesce("name", F.lit(""))))
     if fuzzy and grams:
         near = T.shared_trigrams(text, F.col("content_md")) >= text_least * grams - 1e-9
         rows = rows.filter(F.col("rank").isNotNull() | (F.col("by_name") >= name_least) | near)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import terms
-from ..operators import access, chunking, context, search, vector_search
+from ..operators import access, ann, chunking, context, search, trigram, vector_search
 from ..session import shared_folder
 from ..sources import read_table
 from .registry import query
@@ -252,3 +252,62 @@ def fts_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _documents(spark, sf_dir)
     grants = docs.filter("(doc_id * 7 + 3) % 5 <> 0").select("file_uid")
     return search.search(docs, None, grants, "apache license", 20)
+
+
+@query(r"""
+    with w as (select doc_id::varchar as file_uid, regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+') as w from documents)
+    select file_uid from w where not list_contains(w, 'trash') or (list_contains(w, 'moron') and list_contains(w, 'idiot'))""")
+def fts_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All files without a word, or with two others, from the stored index."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = _documents(spark, sf_dir)
+    wanted = search.Query("-trash or moron idiot")
+    search.store_index(search.inverted_index(docs), path, docs)
+    return search.matching(search.stored_index(spark, path, wanted), wanted).select("file_uid")
+
+
+_GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_transform(range(1, length(w) + 2), lambda k: substr('  ' || w || ' ', k, 3)))))"
+
+
+@query(f"""
+    with q as (select {_GRAMS.format("'blue bolts'")} as q), p as (select p_partkey::varchar as file_uid, {_GRAMS.format('p_name')} as g from part),
+    s as (select file_uid, len(list_intersect(g, q)) as common, len(g) + len(q) as whole from p, q)
+    select file_uid, round(common / (whole - common), 6) as similarity from s where common / (whole - common) >= 0.3""")
+def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts whose names are like a query's, from stored posting lists."""
+    path = f"{shared_folder(spark)}/grams-{uuid.uuid4().hex}"
+    parts = read_table(spark, sf_dir, "part").select(F.col("p_partkey").cast("string").alias("file_uid"), F.col("p_name").alias("name"), F.lit(None).cast("string").alias("content_md"))
+    trigram.store_trigrams(trigram.trigram_index(parts), path)
+    found = trigram.similar_names(trigram.stored_trigrams(spark, path, "blue bolts"), "blue bolts", 0.3)
+    return found.select("file_uid", F.round("similarity", 6).alias("similarity"))
+
+
+@query(f"""
+    with c as (select c_custkey, {_GRAMS.format('c_name')} as g from customer), s as (select s_suppkey, {_GRAMS.format('s_name')} as h from supplier),
+    p as (select c_custkey as left_id, s_suppkey as right_id, len(list_intersect(g, h)) as common, len(g) + len(h) as whole from c, s)
+    select left_id, right_id, round(common / (whole - common), 6) as similarity from p where common / (whole - common) >= 0.35""")
+def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of customers that are like those of suppliers."""
+    named = lambda table, sign: read_table(spark, sf_dir, table).select(F.col(f"{sign}key").alias("id"), F.col(f"{sign[0]}_name").alias("text"))
+    found = trigram.similar_pairs(named("customer", "c_cust"), named("supplier", "s_supp"), 0.35)
+    return found.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("""
+    with q as (select vec_id as q, embedding::double[] as v from embeddings order by vec_id limit 5),
+    d as (select q, e.vec_id, 1 - list_cosine_similarity(q.v, e.embedding::double[]) as far from embeddings e, q where (e.vec_id * 7 + 3) % 5 <> 0),
+    r as (select *, row_number() over (partition by q order by far, vec_id::varchar) as rank from d)
+    select q::bigint as query_id, rank::int as rank, vec_id, round(far, 5) as distance from r where rank <= 10""")
+def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors nearest to five others that a user may read, from a stored index of lists and codes.
+
+    The directions are independent of each other, so the codes of all lists are read; a hundred vectors are compared exactly.
+    """
+    path = f"{shared_folder(spark)}/ann-{uuid.uuid4().hex}"
+    rows = read_table(spark, sf_dir, "embeddings")
+    ann.build(rows.select(F.col("vec_id").cast("string").alias("file_uid"), F.lit(0).alias("ordinal"), "embedding"), path)
+    asked = rows.orderBy("vec_id").limit(5).select("vec_id", "embedding").collect()
+    grants = rows.filter("(vec_id * 7 + 3) % 5 <> 0").select(F.col("vec_id").cast("string").alias("file_uid"))
+    found = ann.search(spark, path, [list(r["embedding"]) for r in asked], 10, probe=1.0, grants=grants)
+    of = F.element_at(F.array(*(F.lit(r["vec_id"]) for r in asked)), F.col("query") + 1)
+    return found.select(of.cast("bigint").alias("query_id"), "rank", F.col("file_uid").cast("bigint").alias("vec_id"), F.round("distance", 5).alias("distance"))
