@@ -283,13 +283,13 @@ def trigram_postings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    with c as (select c_custkey, {_GRAMS.format('c_name')} as g from customer), s as (select s_suppkey, {_GRAMS.format('s_name')} as h from supplier),
-    p as (select c_custkey as left_id, s_suppkey as right_id, len(list_intersect(g, h)) as common, len(g) + len(h) as whole from c, s)
-    select left_id, right_id, round(common / (whole - common), 6) as similarity from p where common / (whole - common) >= 0.35""")
+    with c as (select s_suppkey, {_GRAMS.format('s_name')} as g from supplier),
+    p as (select a.s_suppkey as left_id, b.s_suppkey as right_id, len(list_intersect(a.g, b.g)) as common, len(a.g) + len(b.g) as whole from c a, c b)
+    select left_id, right_id, round(common / (whole - common), 6) as similarity from p where common / (whole - common) >= 0.75""")
 def similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Names of customers that are like those of suppliers."""
-    named = lambda table, sign: read_table(spark, sf_dir, table).select(F.col(f"{sign}key").alias("id"), F.col(f"{sign[0]}_name").alias("text"))
-    found = trigram.similar_pairs(named("customer", "c_cust"), named("supplier", "s_supp"), 0.35)
+    """Names of suppliers that are like each other, or the same."""
+    names = read_table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("text"))
+    found = trigram.similar_pairs(names, names, 0.75)
     return found.select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
 

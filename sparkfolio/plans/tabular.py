@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .. import providers
 from ..functions import text
 from ..operators import access, chunking, context, tables
+from ..operators import tree as folder_tree
 from ..operators.store import FileStore
 from ..session import shared_folder
-from ..sources import event_stream
+from ..sources import event_stream, log_stream
 from ..sources import events as parse_events
 from ..sources import read_table
 from ..streaming import decisions, ingest
@@ -425,3 +426,31 @@ def fetch_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "pages").withColumn("link", F.concat(F.when(F.col("page_id") % 3 == 0, "http").otherwise("https"), F.regexp_replace("url", "^[a-z]+", "")))
     resolved = F.when(F.col("page_id") % 11 == 0, F.array().cast("array<string>")).otherwise(F.array(pick(F.col("page_id")), pick(F.floor(F.col("page_id") / 7))))
     return rows.select("page_id", "link", text.fetchable(F.col("link"), resolved).alias("fetchable"))
+
+
+@query(f"select event_id, file_uid, action from ({_ROUTED})")
+def stream_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log as segments read by bytes, stopped and started again: every event once."""
+    folder = f"{shared_folder(spark)}/segments-{uuid.uuid4().hex}"
+    lines = _file_events(spark, sf_dir).select("event_id", F.to_json(F.struct("*")).alias("value"))
+    for half in (0, 1):
+        lines.filter(F.col("event_id").cast("long") % 2 == half).select("value").write.mode("append").text(f"{folder}/log")
+        asked = ingest.routed(parse_events(log_stream(spark, f"{folder}/log", piece=1 << 18))).select("event_id", "file_uid", "action")
+        asked.writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(asked.schema).parquet(f"{folder}/out")
+
+
+@query("""
+    select 'c' || c_custkey as file_uid from customer join nation on c_nationkey = n_nationkey where n_regionkey = 1 or n_nationkey = 4
+    union select 's' || s_suppkey from supplier join nation on s_nationkey = n_nationkey where n_regionkey = 1 or n_nationkey = 4""")
+def scope_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers and suppliers of a region and of one more nation, by the stored intervals of the tree."""
+    name = lambda sign, c: F.concat(F.lit(sign), c)
+    nation = read_table(spark, sf_dir, "nation")
+    edges = nation.select(F.lit("root").alias("parent"), name("r", "n_regionkey").alias("child"), F.lit(True).alias("is_container")).distinct().union(nation.select(name("r", "n_regionkey"), name("n", "n_nationkey"), F.lit(True)))
+    for table, sign in (("customer", "c"), ("supplier", "s")):
+        edges = edges.union(read_table(spark, sf_dir, table).select(name("n", f"{sign}_nationkey"), name(sign, f"{sign}_{dict(c='cust', s='supp')[sign]}key"), F.lit(False)))
+    path = f"{shared_folder(spark)}/tree-{uuid.uuid4().hex}"
+    folder_tree.store_labels(edges, path)
+    labels, files = (spark.read.parquet(f"{path}/{kind}") for kind in ("folders", "files"))
+    return folder_tree.stored_scope(labels, files, ["r1", "n4"])
