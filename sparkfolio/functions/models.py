@@ -6,8 +6,12 @@ many statements, are DataFrames of statements and strings that are grouped by en
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import decode_utf8, dedupe, let, strip
 
@@ -175,6 +179,60 @@ def part21_statements(df: DataFrame, uid: str = "file_uid", content: str = "cont
     return df.filter(F.ltrim(text).startswith("ISO-10303-21")).select(uid, F.posexplode(cut).alias("position", "statement"))
 
 
+#: An argument up to the comma behind it: quoted strings count as one sign, lists are cut further down.
+_ARGUMENT = re.compile(r"'(?:[^']|'')*'|[(),]|[^'(),]+")
+
+
+def split_arguments(text: str | None) -> list[str] | None:
+    """The arguments of an entity at the top level, as they are written; null for a statement that does not close."""
+    out, now, depth = [], [], 0
+    for part in _ARGUMENT.findall(text or ""):
+        if part == "," and not depth:
+            out.append("".join(now).strip())
+            now = []
+            continue
+        depth += (part == "(") - (part == ")")
+        if depth < 0:
+            return [*out, "".join(now).strip()]
+        now.append(part)
+    return None
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def arguments(texts: pd.Series) -> pd.Series:
+    """split_arguments() of what stands behind an entity's opening bracket; quotes, nested lists and typed values stay whole."""
+    return texts.map(split_arguments)
+
+
+#: Entities that have an id of 22 signs but are no objects: relations, and definitions and templates of properties.
+NO_OBJECTS = r"^IFC(?:REL.*|PROPERTYSET|ELEMENTQUANTITY|SERVICELIFEFACTOR|.*PROPERTIES|.*TEMPLATE)$"
+
+
+def ifc_objects(df: DataFrame, uid: str = "file_uid", content: str = "content") -> DataFrame:
+    """Rows (uid, position, id, type, name, parent) of the objects of IFC files.
+
+    ``id`` is an object's global one, ``parent`` that of what contains it, or else of what it is a part of; of several, the
+    last in the file counts. The name is the type's where there is none. Types are written with two capitals (IfcWall),
+    as the file does not say where a name's other words begin. Part-21 files without such objects have no row, references
+    to what is not there are no parents. Entities meet by file and number, so no task holds a whole model.
+    """
+    rows = part21_statements(df, uid, content)
+    head = r"(?s)^\s*(#\d+)\s*=\s*([A-Za-z0-9_]+)\s*\((.*)$"
+    wanted = rows.filter(F.col("statement").rlike(r"(?s)^\s*#\d+\s*=\s*(?i:IFC)[A-Za-z0-9_]+\s*\(\s*'[0-9A-Za-z_$]{22}'"))
+    parts = wanted.select(uid, "position", F.regexp_extract("statement", head, 1).alias("ref"), F.upper(F.regexp_extract("statement", head, 2)).alias("entity"), arguments(F.regexp_extract("statement", head, 3)).alias("a")).filter("a is not null")
+    arg = lambda k: F.get("a", F.lit(k))
+    kind = F.concat(F.lit("Ifc"), F.initcap(F.lower(F.substring("entity", 4, 1000))))
+    name = F.nullif(F.get(quoted_strings(arg(2)), F.lit(0)), F.lit(""))
+    objects = parts.filter(~F.col("entity").rlike(NO_OBJECTS)).select(uid, "position", "ref", F.get(quoted_strings(arg(0)), F.lit(0)).alias("id"), kind.alias("type"), F.coalesce(name, kind).alias("name"))
+    inside = F.col("entity") == "IFCRELCONTAINEDINSPATIALSTRUCTURE"
+    links = parts.filter(F.col("entity").isin("IFCRELAGGREGATES", "IFCRELCONTAINEDINSPATIALSTRUCTURE"))
+    refs = lambda x: F.regexp_extract_all(x, F.lit(r"(#\d+)"), F.lit(1))
+    links = links.select(uid, F.struct(inside.alias("inside"), "position").alias("turn"), F.get(refs(F.when(inside, arg(5)).otherwise(arg(4))), F.lit(0)).alias("up"), F.explode(refs(F.when(inside, arg(4)).otherwise(arg(5)))).alias("ref"))
+    known = links.join(objects.select(uid, F.col("ref").alias("up"), F.col("id").alias("parent")), [uid, "up"])
+    parents = known.groupBy(uid, "ref").agg(F.max_by("parent", "turn").alias("parent"))
+    return objects.join(parents, [uid, "ref"], "left").select(uid, "position", "id", "type", "name", "parent")
+
+
 def quoted_strings(statement: Column) -> Column:
     """The quoted strings of a statement, doubled quotes and escapes decoded; a broken escape gives nothing."""
     raw = F.regexp_extract_all(statement, F.lit(r"(?s)'([^']*+(?:''[^']*+)*+)(?:'|\z)"), F.lit(1))

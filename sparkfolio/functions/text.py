@@ -215,9 +215,11 @@ def escape_html(text: Column) -> Column:
 
 
 def to_html(text: Column) -> Column:
-    """Text that is HTML already as it is, other text in an escaped pre element."""
+    """Text that is HTML already as it is, other text as Markdown."""
+    from .markdown import markdown_to_html
+
     text = F.coalesce(text, F.lit(""))
-    return F.when(looks_like_html(text), text).otherwise(F.concat(F.lit("<pre>"), escape_html(text), F.lit("</pre>")))
+    return F.when(looks_like_html(text), text).otherwise(markdown_to_html(text))
 
 
 def html_document(title: Column, body: Column) -> Column:

@@ -101,16 +101,30 @@ def provenance(answers: DataFrame) -> DataFrame:
 def provenance_page(records: DataFrame, uid: str = "uid", record: str = "record", title: str | None = None) -> DataFrame:
     """Rows (uid, page): an HTML page of each provenance() record, with the record itself in a script element.
 
-    Everything that is said is escaped; a closing tag inside the record cannot end the script.
+    Every turn is rendered as Markdown, or as it is where it is HTML. Citations are a list: web pages as links, documents
+    as ``(file <uid>)``, which tables.link_file_references() turns into links with names. A closing tag inside the record
+    cannot end the script, and only web addresses become links.
     """
     kind = "report struct<uid:string,version:string>, chatted_by string, tenant string, transcript array<struct<role:string,content:string>>, citations string"
     r = F.from_json(F.col(record), kind)
-    told = F.transform(r["transcript"], lambda m: F.concat(F.lit('<section class="'), escape_html(m["role"]), F.lit('"><h2>'), escape_html(m["role"]), F.lit("</h2>"), to_html(m["content"]), F.lit("</section>")))
+    turns = records.select(uid, F.posexplode(r["transcript"]).alias("place", "m"))  # the renderer is Python: a row a turn
+    one = F.concat(F.lit('<section class="'), escape_html(F.col("m.role")), F.lit('"><h2>'), escape_html(F.col("m.role")), F.lit("</h2>"), to_html(F.col("m.content")), F.lit("</section>"))
+    told = turns.select(uid, "place", one.alias("html")).groupBy(uid).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "html"))), lambda x: x["html"]), "").alias("__told"))
     who = F.concat(F.lit("<p>"), escape_html(F.concat_ws(" · ", r["chatted_by"], r["tenant"], r["report"]["version"])), F.lit("</p>"))
     data = F.concat(F.lit('<script type="application/json" id="record">'), F.replace(F.col(record), F.lit("</"), F.lit("<\\/")), F.lit("</script>"))
-    sources = F.concat(F.lit("<h2>Sources</h2><pre>"), escape_html(F.coalesce(r["citations"], F.lit("[]"))), F.lit("</pre>"))
+    cites = F.from_json(r["citations"], "array<struct<marker:string,kind:string,url:string,title:string,file_uid:string>>")
+
+    def cite(c: Column) -> Column:
+        named = escape_html(F.coalesce(F.nullif(c["title"], F.lit("")), c["url"], F.lit("")))
+        web = F.when(F.lower(c["url"]).rlike("^https?://"), F.concat(F.lit('<a href="'), escape_html(c["url"]), F.lit('" rel="noopener">'), named, F.lit("</a>"))).otherwise(named)
+        what = F.when(c["kind"] == "web", web).otherwise(F.concat(F.lit("(file "), escape_html(F.coalesce(c["file_uid"], F.lit(""))), F.lit(")")))
+        return F.concat(F.lit("<li>["), escape_html(F.coalesce(c["marker"], F.lit(""))), F.lit("] "), what, F.lit("</li>"))
+
+    listed = F.when(F.size(cites) > 0, F.concat(F.lit("<ul>"), F.array_join(F.transform(cites, cite), ""), F.lit("</ul>"))).otherwise("<p>No citations.</p>")
+    sources = F.concat(F.lit("<h2>Sources</h2>"), listed)
     name = F.col(title) if title else F.concat(F.lit("Record of "), r["report"]["uid"])
-    return records.select(uid, html_document(name, F.concat(who, F.array_join(told, ""), sources, data)).alias("page"))
+    whole = html_document(name, F.concat(who, F.coalesce("__told", F.lit("")), sources, data))
+    return records.join(told, uid, "left").select(uid, whole.alias("page"))
 
 
 def ranked(rows: DataFrame, *order: Column) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import providers
-from ..functions import text
+from ..functions import models, text
 from ..operators import access, chunking, context, tables
 from ..operators import tree as folder_tree
 from ..operators.store import FileStore
@@ -349,21 +349,31 @@ def tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("call_id").alias("s_suppkey"), "text", F.size("sources").alias("sources"))
 
 
-_ESCAPED = "replace(replace(replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), chr(39), '&#x27;')"
+_ESCAPED = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_QUOTED = "replace(replace(replace({0}, chr(92), chr(92) || chr(92)), '\"', chr(92) || '\"'), chr(10), chr(92) || 'n')"
 
 
 @query(f"""
+    with t as (select conv_id, turn, role, case when text = '' then '' else '<p>' || {_ESCAPED} || '</p>' end as html, {_QUOTED.format('text')} as quoted from conversations)
     select conv_id, md5('<!doctype html><html lang="en"><head><meta charset="utf-8"><title>Record of ' || conv_id || '</title></head><body><p>u · t · v1</p>' ||
-        string_agg('<section class="' || role || '"><h2>' || role || '</h2><pre>' || {_ESCAPED} || '</pre></section>', '' order by turn) ||
-        '<h2>Sources</h2><pre>[]</pre>') as head_md5 from conversations group by 1""")
+        string_agg('<section class="' || role || '"><h2>' || role || '</h2>' || html || '</section>', '' order by turn) ||
+        '<h2>Sources</h2><ul><li>[1] <a href="https://a.org/' || conv_id || '?x=1&amp;y=2" rel="noopener">Page ' || conv_id || '</a></li><li>[2] (file f-' || conv_id || ')</li></ul>' ||
+        '<script type="application/json" id="record">{{"report":{{"uid":"' || conv_id || '","version":"v1"}},"chatted_by":"u","tenant":"t","citations":"' ||
+        '[{{\\"marker\\":\\"1\\",\\"kind\\":\\"web\\",\\"url\\":\\"https://a.org/' || conv_id || '?x=1&y=2\\",\\"title\\":\\"Page ' || conv_id || '\\"}},' ||
+        '{{\\"marker\\":\\"2\\",\\"kind\\":\\"document\\",\\"file_uid\\":\\"f-' || conv_id || '\\"}}]' ||
+        '","transcript":[' || string_agg('{{"role":"' || role || '","content":"' || quoted || '"}}', ',' order by turn) || ']}}</script></body></html>') as page_md5
+    from t group by 1""")
 def provenance_page(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The page up to its embedded record; the messages hold neither personal data nor HTML."""
+    """The whole page with its embedded record; the messages are paragraphs without marks."""
     said = read_table(spark, sf_dir, "conversations")
     turns = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))), lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
     told = said.groupBy("conv_id").agg(turns.alias("transcript"))
-    record = F.struct(F.struct(F.col("conv_id").cast("string").alias("uid"), F.lit("v1").alias("version")).alias("report"), F.lit("u").alias("chatted_by"), F.lit("t").alias("tenant"), "transcript")
+    cite = lambda **c: F.struct(*(v.alias(k) for k, v in c.items()))
+    web = cite(marker=F.lit("1"), kind=F.lit("web"), url=F.concat(F.lit("https://a.org/"), "conv_id", F.lit("?x=1&y=2")), title=F.concat(F.lit("Page "), "conv_id"), file_uid=F.lit(None).cast("string"))
+    document = cite(marker=F.lit("2"), kind=F.lit("document"), url=F.lit(None).cast("string"), title=F.lit(None).cast("string"), file_uid=F.concat(F.lit("f-"), "conv_id"))
+    record = F.struct(F.struct(F.col("conv_id").cast("string").alias("uid"), F.lit("v1").alias("version")).alias("report"), F.lit("u").alias("chatted_by"), F.lit("t").alias("tenant"), F.to_json(F.array(web, document)).alias("citations"), "transcript")
     pages = context.provenance_page(told.select("conv_id", F.to_json(record).alias("record")), "conv_id")
-    return pages.select("conv_id", F.md5(F.split("page", "<script")[0].cast("binary")).alias("head_md5"))
+    return pages.select("conv_id", F.md5(F.col("page").cast("binary")).alias("page_md5"))
 
 
 @query("""
@@ -454,3 +464,42 @@ def scope_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder_tree.store_labels(edges, path)
     labels, files = (spark.read.parquet(f"{path}/{kind}") for kind in ("folders", "files"))
     return folder_tree.stored_scope(labels, files, ["r1", "n4"])
+
+
+@query("""
+    select n_nationkey, '<h1>' || n_name || '</h1>' || chr(10) || '<p>Suppliers of <strong>' || n_name || '</strong>, by <em>key</em>:</p>' || chr(10) ||
+           '<table>' || chr(10) || '<thead>' || chr(10) || '<tr>' || chr(10) || '<th>key</th>' || chr(10) || '<th style="text-align: right;">name</th>' || chr(10) || '</tr>' || chr(10) || '</thead>' || chr(10) || '<tbody>' || chr(10) ||
+           string_agg('<tr>' || chr(10) || '<td>' || s_suppkey || '</td>' || chr(10) || '<td style="text-align: right;"><code>' || s_name || '</code></td>' || chr(10) || '</tr>' || chr(10), '' order by s_suppkey) ||
+           '</tbody>' || chr(10) || '</table>' || chr(10) || '<ul>' || chr(10) || '<li>region ' || n_regionkey || chr(10) || '<ol>' || chr(10) || '<li>a &lt; b</li>' || chr(10) || '</ol>' || chr(10) || '</li>' || chr(10) || '</ul>' as html
+    from nation join supplier on s_nationkey = n_nationkey group by n_nationkey, n_name, n_regionkey""")
+def markdown_render(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A report of each nation's suppliers, written as Markdown and rendered."""
+    rows = read_table(spark, sf_dir, "nation").join(read_table(spark, sf_dir, "supplier"), F.col("n_nationkey") == F.col("s_nationkey"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "s_name"))), lambda s: F.concat(F.lit("| "), s["s_suppkey"], F.lit(" | `"), s["s_name"], F.lit("` |\n"))), "")
+    report = F.concat(F.lit("# "), "n_name", F.lit("\n\nSuppliers of **"), "n_name", F.lit("**, by _key_:\n\n| key | name |\n| --- | ---: |\n"), "lines", F.lit("\n- region "), "n_regionkey", F.lit("\n    1. a < b\n"))
+    return rows.groupBy("n_nationkey", "n_name", "n_regionkey").agg(lines.alias("lines")).select("n_nationkey", text.to_html(report).alias("html"))
+
+
+@query("""
+    with g as (select n_nationkey, n_name from nation),
+    o as (select n_nationkey::varchar as file_uid, rpad('P' || n_nationkey, 22, '0') as id, 'IfcProject' as type, 'Model; of ''' || n_name || '''' as name, null as parent from g
+          union all select n_nationkey::varchar, rpad('B' || n_nationkey, 22, '0'), 'IfcBuilding', 'IfcBuilding', rpad('P' || n_nationkey, 22, '0') from g
+          union all select s_nationkey::varchar, rpad('W' || s_suppkey, 22, '0'), 'IfcWall', s_name, rpad('B' || s_nationkey, 22, '0') from supplier)
+    select * from o""")
+def ifc_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A building model a nation, its suppliers as walls, written as a Part-21 file and read back as a tree."""
+    key = lambda sign, c: F.rpad(F.concat(F.lit(sign), c), 22, "0")
+    nation, supplier = read_table(spark, sf_dir, "nation"), read_table(spark, sf_dir, "supplier")
+    ref = lambda k: F.concat(F.lit("#"), (k + 100).cast("string"))
+    walls = supplier.groupBy(F.col("s_nationkey").alias("n_nationkey")).agg(
+        F.array_join(F.collect_list(F.concat(ref(F.col("s_suppkey")), F.lit("=IFCWALL('"), key("W", "s_suppkey"), F.lit("',$,'"), "s_name", F.lit("',$,$,(#1,(2.,'a,b')),$,$);\n"))), "").alias("walls"),
+        F.array_join(F.collect_list(ref(F.col("s_suppkey"))), ",").alias("refs"),
+    )
+    file = F.concat(
+        F.lit("ISO-10303-21;\nHEADER;\nFILE_SCHEMA(('IFC4'));\nENDSEC;\nDATA;\n#1=IFCPROJECT('"), key("P", "n_nationkey"), F.lit("',$,'Model; of ''"), "n_name", F.lit("''',$,$,$,$,$,$);\n#2=IFCBUILDING('"),
+        key("B", "n_nationkey"), F.lit("',$,$,$,$,$,$,$,$,$,$,$); /* (#3 */\n#3=IFCRELAGGREGATES('"), key("R", "n_nationkey"), F.lit("',$,$,$,#1,(#2));\n"), F.coalesce("walls", F.lit("")),
+        F.when(F.col("refs").isNotNull(), F.concat(F.lit("#4=IFCRELCONTAINEDINSPATIALSTRUCTURE('"), key("S", "n_nationkey"), F.lit("',$,$,$,("), "refs", F.lit("),#2);\n"))).otherwise(""),
+        F.lit("#5=IFCPROPERTYSET('"), key("Q", "n_nationkey"), F.lit("',$,'Set',$,());\nENDSEC;\nEND-ISO-10303-21;\n"),
+    )
+    files = nation.join(walls, "n_nationkey", "left").select(F.col("n_nationkey").cast("string").alias("file_uid"), F.encode(file, "UTF-8").alias("content"))
+    return models.ifc_objects(files).select("file_uid", "id", "type", "name", "parent")

@@ -122,7 +122,7 @@ def test_report_markers(spark):
 def test_html_forms(spark):
     assert one(spark, text.looks_like_html(F.col("t")), t="  <H2>x") is True
     assert one(spark, text.looks_like_html(F.col("t")), t="a <p>") is False
-    assert one(spark, text.to_html(F.col("t")), t="a < b") == "<pre>a &lt; b</pre>"
+    assert one(spark, text.to_html(F.col("t")), t="a < *b*") == "<p>a &lt; <em>b</em></p>"
     assert one(spark, text.html_document(F.lit("T"), F.col("t")), t="<!doctype html>x") == "<!doctype html>x"
     assert "<title>A&amp;B</title>" in one(spark, text.html_document(F.lit("A&B"), F.col("t")), t="<p>x")
 
