@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import terms
-from ..operators import access, ann, chunking, context, search, trigram, vector_search
+from ..operators import access, ann, chunking, context, search, topk, trigram, vector_search
 from ..session import shared_folder
 from ..sources import read_table
 from .registry import query
@@ -311,3 +311,16 @@ def ann_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = ann.search(spark, path, [list(r["embedding"]) for r in asked], 10, probe=1.0, grants=grants)
     of = F.element_at(F.array(*(F.lit(r["vec_id"]) for r in asked)), F.col("query") + 1)
     return found.select(of.cast("bigint").alias("query_id"), "rank", F.col("file_uid").cast("bigint").alias("vec_id"), F.round("distance", 5).alias("distance"))
+
+
+@query(r"""
+    with w as (select doc_id::varchar as file_uid, unnest(regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+')) as word from documents),
+    n as (select file_uid, word, count(*) as n from w where word in ('trash', 'moron', 'idiot') group by 1, 2)
+    select file_uid, round(sum(list_sum(list_transform(range(1, n + 1), lambda k: 0.1 / (k * k)))) / 1.64493406685 / 3, 6) as rank from n group by 1
+    order by sum(list_sum(list_transform(range(1, n + 1), lambda k: 0.1 / (k * k)))) desc, file_uid limit 20""")
+def fts_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best of three alternatives, from blocks with bounds."""
+    path = f"{shared_folder(spark)}/blocks-{uuid.uuid4().hex}"
+    topk.store_blocks(search.inverted_index(_documents(spark, sf_dir)), path, 32)
+    found = topk.best(spark, path, "trash or moron or idiot", 20)
+    return spark.createDataFrame(found.rows, "file_uid string, rank double").select("file_uid", F.round("rank", 6).alias("rank"))
