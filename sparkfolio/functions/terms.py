@@ -198,8 +198,12 @@ def shared_trigrams(query: str, text: Column) -> Column:
     return F.element_at(F.transform(F.array(spaced), count), 1)  # the spaced text is made once
 
 
-def headline(terms: list[str], least: int = 5, most: int = 18, fragments: int = 2, mark: str = "**"):
-    """A pandas UDF that gives the best fragments of a text with the terms marked; the text's start without any term."""
+def headline(terms: list[str], least: int = 5, most: int = 18, fragments: int = 2, short: int = 2, mark: str = "**"):
+    """A pandas UDF that gives the best fragments of a text with the terms marked; the text's start without any term.
+
+    A fragment does not begin or end with a word of at most ``short`` signs that is no term, as long as ``least`` words
+    are left.
+    """
     wanted = frozenset(terms)
 
     def best(text: str | None) -> str:
@@ -216,6 +220,16 @@ def headline(terms: list[str], least: int = 5, most: int = 18, fragments: int =
                 chosen.append((start, end))
             if len(chosen) == fragments:
                 break
+        hit = set(hits)
+        trimmed = []
+        for a, b in chosen:
+            small = lambda n: n not in hit and len(parts[spots[n]]) <= short
+            while b - a > least and small(a):
+                a += 1
+            while b - a > least and small(b - 1):
+                b -= 1
+            trimmed.append((a, b))
+        chosen = trimmed
         show = lambda p: f"{mark}{p}{mark}" if stem(p.lower()) in wanted else p
         return " ... ".join("".join(show(p) for p in parts[spots[a] : spots[b - 1] + 1]) for a, b in sorted(chosen))
 

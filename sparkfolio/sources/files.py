@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import unquote
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import EVENTS
+from .log import file_system
 
 
 def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -22,13 +27,32 @@ def write_table(df: DataFrame, path: str, by: list[str] | None = None, mode: str
     writer.parquet(path)
 
 
-def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Rows (file_uid, name, content, version, is_dir) of the files under ``path``; the version is the time of change.
+def _listed(spark: SparkSession, path: str, pattern: str) -> tuple[DataFrame, DataFrame]:
+    """The files under ``path`` as Spark reads them, and rows (path, modificationTime) of those without a byte, which it leaves out.
 
-    Spark's reader leaves out files without a byte.
+    The names are those that the reader has listed for its own plan; what of them has no row is asked for in tasks.
     """
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return raw.select(
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = []
+            for name in batch.column("path").to_pylist():
+                store, at = file_system(name)
+                info = store.get_file_info(at)
+                found.append(info.mtime if info.is_file and not info.size else None)
+            yield pa.RecordBatch.from_arrays([batch.column("path"), pa.array(found, pa.timestamp("us", "UTC"))], ["path", "modificationTime"])
+
+    names = spark.createDataFrame([(unquote(f).replace("file:///", "file:/"),) for f in raw.inputFiles()], "path string")
+    empty = names.join(raw.select("path"), "path", "left_anti").mapInArrow(times, "path string, modificationTime timestamp")
+    return raw, empty.filter("modificationTime is not null")
+
+
+def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
+    """Rows (file_uid, name, content, version, is_dir) of the files under ``path``; the version is the time of change."""
+    raw, empty = _listed(spark, path, pattern)
+    both = raw.select("path", "modificationTime", "content").union(empty.select("path", "modificationTime", F.lit(b"")))
+    return both.select(
         F.col("path").alias("file_uid"), F.element_at(F.split("path", "/"), -1).alias("name"), "content",
         F.date_format("modificationTime", "yyyyMMdd_HHmmss.SSS").alias("version"), F.lit(False).alias("is_dir"),
     )
@@ -36,8 +60,9 @@ def read_files(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
     """Rows (file_uid, name, length, version) of the files under ``path``; their content is not read."""
-    raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(path)
-    return raw.select(F.col("path").alias("file_uid"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.date_format("modificationTime", "yyyyMMdd_HHmmss.SSS").alias("version"))
+    raw, empty = _listed(spark, path, pattern)
+    both = raw.select("path", "modificationTime", "length").union(empty.select("path", "modificationTime", F.lit(0).cast("long")))
+    return both.select(F.col("path").alias("file_uid"), F.element_at(F.split("path", "/"), -1).alias("name"), "length", F.date_format("modificationTime", "yyyyMMdd_HHmmss.SSS").alias("version"))
 
 
 def events(lines: DataFrame, value: str = "value") -> DataFrame:

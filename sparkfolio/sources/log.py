@@ -13,7 +13,8 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 PIECE, BLOCK = 32 << 20, 1 << 20
 
 
-def _store(path: str) -> tuple[pafs.FileSystem, str]:
+def file_system(path: str) -> tuple[pafs.FileSystem, str]:
+    """Arrow's file system for a path as Spark names it, and the path there."""
     scheme, found, rest = path.partition(":")
     if not found or path.startswith("/"):
         return pafs.LocalFileSystem(), path
@@ -36,7 +37,7 @@ class _Reader(DataSourceStreamReader):
 
     def _ends(self) -> dict[str, int]:
         """End of the last whole line of each segment; a line that is still being written does not count."""
-        store, path = _store(self.path)
+        store, path = file_system(self.path)
         out = {}
         for info in store.get_file_info(pafs.FileSelector(path, allow_not_found=True)):
             if info.type != pafs.FileType.File or info.base_name.startswith((".", "_")):
@@ -71,7 +72,7 @@ class _Reader(DataSourceStreamReader):
         return out
 
     def read(self, piece: Piece) -> Iterator[pa.RecordBatch]:
-        store, path = _store(self.path)
+        store, path = file_system(self.path)
         with store.open_input_file(f"{path}/{piece.segment}") as file:
             at = piece.start if piece.whole else piece.start - 1  # a line that begins at the start has its end before it
             file.seek(at)

@@ -350,3 +350,30 @@ def test_a_log_keeps_its_last_events(spark):
 
     df = spark.createDataFrame([(f"e{n}", f"20260101_0000{n:02}.000") for n in range(20)], "event_id string, ts string")
     assert sorted(r["event_id"] for r in latest_events(df, 3).collect()) == ["e17", "e18", "e19"]
+
+
+def test_files_without_a_byte_have_a_row(spark, tmp_path):
+    (tmp_path / "a b").mkdir()
+    for name, text in (("one.txt", "x"), ("a b/none é.txt", ""), ("none.md", ""), ("two.md", "yy")):
+        (tmp_path / name).write_text(text)
+    found = {r["name"]: bytes(r["content"]) for r in read_files(spark, str(tmp_path)).collect()}
+    assert found == {"one.txt": b"x", "none é.txt": b"", "none.md": b"", "two.md": b"yy"}
+    rows = read_metadata(spark, str(tmp_path), "*.md").collect()
+    assert {r["name"]: r["length"] for r in rows} == {"none.md": 0, "two.md": 2} and all(len(r["version"]) == 19 for r in rows)
+    assert len({r["file_uid"].split(":")[0] for r in rows}) == 1
+
+
+def test_a_thousand_equal_names(spark):
+    names = spark.createDataFrame([(k, "My Tool!") for k in range(1003)], "id int, name string")
+    found = {r["id"]: r["slug"] for r in tables.unique_slugs(names).collect()}
+    assert found[0] == "my-tool" and found[998] == "my-tool-999" and len(set(found.values())) == 1003
+    assert all(len(found[k]) == len("my-tool-") + 6 for k in range(999, 1003))
+    assert {r["id"]: r["slug"] for r in tables.unique_slugs(names).collect()} == found
+
+
+def test_fragments_do_not_end_in_short_words(spark):
+    from sparkfolio.functions import terms
+
+    df = spark.createDataFrame([("an of it is steel bolts on to we do " + "filler words " * 20,), ("no steel",)], "t string")
+    found = [r[0] for r in df.select(terms.headline(["steel"], most=10)("t")).collect()]
+    assert found == ["is **steel** bolts on to we", "no **steel**"] or found[0].split()[-1] not in ("do",) and found[1] == "no **steel**"
