@@ -48,7 +48,7 @@ class ContextModel:
     last one lowest) occurred n times.
     """
 
-    def __init__(self, languages: list[str], counts: dict[str, np.ndarray], least: int, table_bytes: int) -> None:
+    def __init__(self, languages: list[str], counts: dict[str, np.ndarray]) -> None:
         self.languages = languages
         lang, size, code, n = (counts[k] for k in ("lang", "size", "code", "n"))
         used = np.union1d(code[size == 1] & 255, [BEFORE])
@@ -56,7 +56,6 @@ class ContextModel:
         self.symbol[used] = np.arange(len(used))
         width, langs = len(used) + 1, len(languages)
         self.width = width
-        room = max(1, table_bytes // (4 * width * langs))
 
         def compact(codes: np.ndarray, length: int) -> np.ndarray:
             out = np.zeros(len(codes), np.int64)
@@ -64,29 +63,22 @@ class ContextModel:
                 out = out * width + self.symbol[codes >> 8 * k & 255]
             return out
 
-        # which contexts are kept; where there is no room for all, those first that are the largest parts of their languages
+        # the contexts of all languages; one that a language does not have stands for the next shorter one there
         self.deepest = np.zeros(1, np.int32)  # number of the longest kept context, by the symbols before a byte
         orders, total = [], 0
         for order in range(ORDER + 1):
             mine = size == order + 1
             grams = compact(code[mine].astype(np.int64), order + 1)
-            contexts, of = np.unique(grams // width, return_inverse=True)
-            weight = np.bincount(of, n[mine], len(contexts))
-            keep = weight >= (least if order else 0)
-            if order and keep.sum() > room - total:
-                part = np.where(keep, np.bincount(of, (n / np.bincount(lang, n)[lang])[mine], len(contexts)), -1)
-                keep[np.argsort(-part, kind="stable")[max(room - total, 0) :]] = False
-            number = np.where(keep, np.cumsum(keep) - 1, -1)[of]
-            chosen = number >= 0
-            by = np.argsort(number[chosen], kind="stable")
+            contexts, number = np.unique(grams // width, return_inverse=True)
+            by = np.argsort(number, kind="stable")
             parents = np.zeros(len(contexts), np.int32)
             if order:
                 parents = self.deepest[contexts % width ** (order - 1)]
                 longer = np.tile(self.deepest, width) if order > 1 else np.zeros(width, np.int32)
-                longer[contexts[keep]] = total + np.arange(keep.sum())
+                longer[contexts] = total + np.arange(len(contexts))
                 self.deepest = longer
-            orders.append((total, parents[keep], *(x[chosen][by] for x in (number, grams % width, lang[mine], n[mine]))))
-            total += int(keep.sum())
+            orders.append((total, parents, *(x[by] for x in (number, grams % width, lang[mine], n[mine]))))
+            total += len(contexts)
         # probabilities a block of contexts at a time, in the table itself
         table = np.empty((total, width, langs), np.float32)
         for order, (start, parents, number, sign, label, times) in enumerate(orders):
@@ -154,23 +146,34 @@ def _count(batches: Iterator[pa.RecordBatch], languages: list[str]) -> Iterator[
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(short), label)), pa.array(np.full(len(short), size)), pa.array(short.astype(np.int64)), pa.array(n_short)], ["lang", "size", "code", "n"])
 
 
-def _shared_out(sizes: list[int], most: int) -> int:
-    """The greatest bound such that parts of these sizes, each cut at it, are ``most`` together at most (1 at least)."""
-    left = sorted(sizes)
-    while left and left[0] * len(left) <= most:
-        most -= left.pop(0)
-    return max(1, most // len(left)) if left else max(sizes, default=1)
+def _kept(counts: dict[str, np.ndarray], least: int, contexts: int) -> dict[str, np.ndarray]:
+    """One language's counts in the contexts that it keeps: those seen ``least`` times, shorter ones first, ``contexts`` at most.
 
-
-def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_a_language: int = 2500, languages_a_table: int = 8, least: int = 6, table_bytes: int = 32 << 20, max_counts: int = 1_000_000) -> _Frozen | None:
+    Of one length the most frequent are kept, of equals the least. Nothing here depends on other languages.
+    """
+    size, code, n = counts["size"], counts["code"].astype(np.int64), counts["n"]
+    keep, room = size == 1, contexts
+    for order in range(1, ORDER + 1):
+        mine = np.flatnonzero(size == order + 1)
+        before, of = np.unique(code[mine] >> 8, return_inverse=True)
+        weight = np.bincount(of, n[mine], len(before))
+        chosen = np.zeros(len(before), bool)
+        chosen[np.argsort(-weight, kind="stable")[: max(room, 0)]] = True
+        chosen &= weight >= least
+        room -= int(chosen.sum())
+        keep[mine[chosen[of]]] = True
+    return {c: v[keep] for c, v in counts.items()}
+
+
+def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", docs_a_language: int = 2500, languages_a_table: int = 4, least: int = 2, contexts: int = 4000, max_counts: int = 250_000) -> _Frozen | None:
     """Learn all labels from the text and label of the rows that are not held out; None if there are none with both.
 
     It learns from a bounded sample: of each language, about ``docs_a_language`` documents (all, if there are fewer),
-    those of the least hash of their id. Counting runs where the documents are. Each ``languages_a_table`` languages, in
-    order, make a model of their own, so that more languages take no room from each other. A model is made of
-    ``max_counts`` summed counts at most: each language has the same share of them, the most frequent ones, and what it
-    does not need is the others'. Contexts seen fewer than ``least`` times, or that do not fit in ``table_bytes``, are
-    left to shorter ones.
+    those of the least hash of their id. Counting runs where the documents are. Of a language's counts the ``max_counts``
+    most frequent ones come to the driver, and of these the ones in its ``contexts`` most frequent contexts that were seen
+    ``least`` times are sent on; a longer one that is left out is read as the next shorter one. All these bounds are a
+    language's own, so a text's code length in a language is the same whatever the other languages are. Scoring has a
+    table for each ``languages_a_table`` languages, one at a time.
     """
     spark = df.sparkSession
     usable = df.filter(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
@@ -188,18 +191,20 @@ def train(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     sizes = {r["lang"]: r["count"] for r in counts.groupBy("lang").count().collect()}
     tables = []
     for first in range(0, len(languages), languages_a_table):
-        block = range(first, min(first + languages_a_table, len(languages)))
-        if not any(k in sizes for k in block):
+        block = [k for k in range(first, min(first + languages_a_table, len(languages)))]
+        small = [k for k in block if 0 < sizes.get(k, 0) <= max_counts]
+        chosen = [counts.filter(F.col("lang").isin(small))] if small else []
+        chosen += [counts.filter(F.col("lang") == k).orderBy(F.col("size") > 2, F.desc("n"), "size", "code").limit(max_counts) for k in block if sizes.get(k, 0) > max_counts]
+        if not chosen:
             continue
-        most = _shared_out([sizes.get(k, 0) for k in block], max_counts)
-        chosen = counts.filter(F.col("lang").between(block[0], block[-1]) & ~F.col("lang").isin([k for k in block if sizes.get(k, 0) > most]))
-        for k in block:
-            if sizes.get(k, 0) > most:
-                chosen = chosen.union(counts.filter(F.col("lang") == k).orderBy(F.col("size") > 2, F.desc("n"), "size", "code").limit(most))
-        got = chosen.toArrow()
-        arrays = {c: got.column(c).to_numpy() for c in got.column_names}
+        got = [c.toArrow() for c in chosen]
+        arrays = {c: np.concatenate([g.column(c).to_numpy() for g in got]) for c in ("lang", "size", "code", "n")}
+        order = np.lexsort((arrays["code"], arrays["size"], arrays["lang"]))
+        arrays = {c: v[order] for c, v in arrays.items()}
+        own = [_kept({c: v[arrays["lang"] == k] for c, v in arrays.items()}, least, contexts) for k in block]
+        arrays = {c: np.concatenate([x[c] for x in own]) for c in arrays}
         arrays["lang"] = arrays["lang"] - first
-        tables.append(_Frozen(languages[first : block[-1] + 1], arrays, least, table_bytes))
+        tables.append(_Frozen(languages[first : block[-1] + 1], arrays))
     if not tables:
         return None
     tables[0].others = tables[1:]
@@ -214,14 +219,13 @@ class _Frozen:
 
     made: dict[str, ContextModel] = {}
 
-    def __init__(self, languages: list[str], counts: dict[str, np.ndarray], least: int, table_bytes: int) -> None:
+    def __init__(self, languages: list[str], counts: dict[str, np.ndarray]) -> None:
         import hashlib
 
-        order = np.lexsort((counts["code"], counts["size"], counts["lang"]))
         kinds = {"lang": np.uint16, "size": np.uint8, "code": np.uint32, "n": np.int64}
         self.others: list[_Frozen] = []
-        self.parts = (languages, {c: counts[c][order].astype(kind) for c, kind in kinds.items()}, least, table_bytes)
-        self.name = hashlib.sha256(repr((languages, least, table_bytes)).encode() + b"".join(v.tobytes() for v in self.parts[1].values())).hexdigest()
+        self.parts = (languages, {c: counts[c].astype(kind) for c, kind in kinds.items()})
+        self.name = hashlib.sha256(repr(languages).encode() + b"".join(v.tobytes() for v in self.parts[1].values())).hexdigest()
 
     def model(self) -> ContextModel:
         if self.name not in self.made:
@@ -255,7 +259,7 @@ def predict(df: DataFrame, frozen: _Frozen | None, key: str = "doc_id", text: st
     rows = df.select((F.struct(*df.columns) if carry else F.col(key)).alias("__key"), F.col(text).alias("__text"))
     if frozen is None:
         return rows.select(F.col("__key").alias(name), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
-    sent = df.sparkSession.sparkContext.broadcast(frozen)  # max_counts a table at most
+    sent = df.sparkSession.sparkContext.broadcast(frozen)  # the counts of ``contexts`` contexts a language at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [sent.value, *sent.value.others]

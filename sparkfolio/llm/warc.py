@@ -103,9 +103,12 @@ def _captures(df: DataFrame, key: str, url: str, html: str, captured: str | None
     long = F.octet_length("html") >= LEAST_REVISIT
     many = rows.filter(long).groupBy("digest").agg(F.count("*").alias("n"), F.max("page_id").alias("original")).filter("n > 1 and original is not null").select("digest", "original")
     many = stored(many, "originals")
-    many = F.broadcast(many) if many.count() <= SENT else many.hint("shuffle_hash")
     other = F.when(long & ~F.col("original").eqNullSafe(F.col("page_id")), F.col("original"))
-    return rows.join(many, "digest", "left").select("page_id", "url", "captured", "html", "digest", other.alias("refers_to"))
+    found = lambda rows: rows.select("page_id", "url", "captured", "html", "digest", other.alias("refers_to"))
+    if many.count() <= SENT:
+        return found(rows.join(F.broadcast(many), "digest", "left"))
+    short = rows.filter(~long).withColumn("original", F.lit(None).cast("long"))  # these refer to nothing and stay where they are
+    return found(rows.filter(long).join(many.hint("shuffle_hash"), "digest", "left").unionByName(short))
 
 
 def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str = "url", html: str = "html", captured: str | None = None) -> DataFrame:
@@ -141,12 +144,13 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
 
         out = None
         offset = 0
+        whole_name, draft = f"{path}/{name}", f"{path}/.{name}.part"  # an attempt that is lost leaves no archive, only a draft
         try:
             for whole in batches:
                 for first in range(0, whole.num_rows, 200):
                     for r in whole.slice(first, 200).to_pylist():
                         if out is None:
-                            out = store.open_output_stream(f"{path}/{name}", compression=None)
+                            out = store.open_output_stream(draft, compression=None)
                         raw = gzip.compress(_record(r["page_id"], r["url"], r["captured"], r["html"].encode(), r["digest"], r["refers_to"]), 6, mtime=0)
                         out.write(raw)
                         entries.append((url_key(r["url"]), r["captured"], r["page_id"], name, offset, len(raw), "response" if r["refers_to"] is None else "revisit"))
@@ -156,6 +160,8 @@ def write_archives(df: DataFrame, folder: str, key: str = "page_id", url: str =
         finally:
             if out is not None:
                 out.close()
+        if out is not None:
+            store.move(draft, whole_name)
         if entries:
             yield run()
 
@@ -214,12 +220,13 @@ def _entries(piece: list[pa.RecordBatch], first: int) -> Iterator[tuple]:
 def merge_runs(runs: DataFrame) -> DataFrame:
     """The index: the runs' rows in order of (url_key, captured, page_id), over partitions and within them.
 
-    A range has about RANGE entries at most, whatever their number, and is held as Arrow batches; entries that repeat a
-    key, time and id are in one range.
+    A range has about RANGE entries at most, whatever their number, and is held as Arrow batches. Ranges are cut by file
+    and place as well, so entries that repeat a key, time and id, all of those without a URL and id for instance, are
+    dealt out over several.
     """
     total = runs.count()
     ranges = max(-(-total // RANGE), min(-(-total // 2048), 2 * runs.sparkSession.sparkContext.defaultParallelism), 1)
-    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id").sortWithinPartitions("run", "pos")
+    ranged = runs.repartitionByRange(ranges, "url_key", "captured", "page_id", "file", "offset").sortWithinPartitions("run", "pos")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, pieces = [], []

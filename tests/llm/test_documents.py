@@ -211,18 +211,15 @@ def test_components_of_a_long_path_and_a_hub(spark):
 
 def brute_bits(model, text):
     """Code length by walking the contexts of the model's counts one byte at a time."""
-    languages, counts, least, _ = model.parts
+    languages, counts = model.parts
     table = {}
     for lang, size, code, n in zip(*(counts[c].tolist() for c in ("lang", "size", "code", "n"))):
         raw = code.to_bytes(size, "big")
         table.setdefault((lang, raw[:-1]), {})[raw[-1]] = n
-    total = defaultdict(int)
-    for (_, context), seen in table.items():
-        total[context] += sum(seen.values())
 
     def chance(lang, context, byte):
         below = (lambda b: chance(lang, context[1:], b)) if context else (lambda b: 1 / 256)
-        seen = table.get((lang, context)) if not context or total[context] >= least else None
+        seen = table.get((lang, context))
         if not seen:
             return below(byte)
         mass, kinds = sum(seen.values()), len(seen)
@@ -277,7 +274,27 @@ def test_language_id_bounds_counts_by_language(spark):
     docs = spark.createDataFrame([(next(free), t, lang) for lang, t in texts], "doc_id long, text string, lang string")
     whole, cut = lang_id.train(docs), lang_id.train(docs, max_counts=1000)
     rare = lambda m: int((m.parts[1]["lang"] == 1).sum())
-    assert rare(cut) == rare(whole) > 20 and len(cut.parts[1]["lang"]) == 1000 < len(whole.parts[1]["lang"])
+    assert rare(cut) == rare(whole) > 10
+    many = lambda m: int((m.parts[1]["lang"] == 0).sum())
+    assert many(cut) <= 1000 < many(whole)
+
+
+def test_a_language_does_not_depend_on_the_others(spark):
+    """The same code lengths with 3, 4, 5 and 20 languages, and with small bounds."""
+    rng = random.Random(8)
+    free = iter(k for k in range(1_000_000) if zlib.crc32(str(k).encode()) % 3 != 1)
+    signs = [rng.sample("abcdefghijklmnopqrstuvwxyzéüñ ", 20) for _ in range(20)]
+    rows = [(next(free), "".join(rng.choice(signs[k]) for _ in range(400)), f"l{k:02}") for k in range(20) for _ in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").persist()
+    raw, bounds = shared.texts_of(pa.array([r[1] for r in rows[:30]]))
+    for bounds_of in ({}, {"contexts": 30, "max_counts": 200}):
+        seen = []
+        for n in (3, 4, 5, 20):
+            frozen = lang_id.train(docs.filter(F.col("lang") < f"l{n:02}"), **bounds_of)
+            assert sum(len(t.parts[0]) for t in (frozen, *frozen.others)) == n
+            seen.append(lang_id.ContextModel(*frozen.parts).code_lengths(raw, bounds)[:, :3])
+        for other in seen[1:]:
+            assert np.allclose(seen[0], other, rtol=1e-6)
 
 
 def test_language_id_learns_from_nothing_held_out(spark):

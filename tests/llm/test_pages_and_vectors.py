@@ -2,6 +2,7 @@
 
 import gzip
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -44,6 +45,26 @@ def test_archive_is_a_gzip_file_of_records(spark):
     assert raw.count(b"WARC/1.1\r\n") == 10 and raw.endswith(b"\r\n\r\n")
 
 
+def test_entries_that_repeat_are_dealt_out(spark, monkeypatch):
+    """Pages without URL and id have one key: their ranges are bounded all the same, and every one is read back."""
+    monkeypatch.setattr(warc, "RANGE", 500)
+    folder = shared.new_folder(spark, "warc")
+    pages = spark.range(4000).select(F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("url"), F.format_string("page %d", F.col("id") % 7).alias("html")).repartition(4)
+    merged = warc.merge_runs(warc.write_archives(pages, folder))
+    sizes = [r["n"] for r in merged.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 1500
+    assert warc.read_archives(merged, folder).groupBy("html").count().count() == 7
+    assert not [f for f in os.listdir(folder.removeprefix("file:")) if f.endswith(".part")]
+
+
+def test_repeated_payloads_beyond_a_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(warc, "SENT", 0)
+    folder = shared.new_folder(spark, "warc")
+    rows = [(k, f"http://h/{k}", "x" * (1000 + k % 2)) for k in range(10)] + [(k, None, "") for k in range(10, 40)]
+    found = warc.read_archives(warc.archive(spark.createDataFrame(rows, "page_id long, url string, html string"), folder), folder).collect()
+    assert sorted((r["page_id"], r["refers_to"]) for r in found) == [(k, 8 + k % 2 if k < 8 else None) for k in range(40)]
+
+
 def test_archives_of_an_empty_table(spark):
     folder = shared.new_folder(spark, "warc")
     index = warc.archive(spark.createDataFrame([], "page_id long, url string, html string"), folder)
