@@ -26,10 +26,12 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from .bytelevel import LETTER, NUMBER, OTHER, SPACE, byte_classes, character_classes, distinct_pieces
-from .shared import file_store, integer_key, slices, spread, texts_of
+from .shared import file_store, integer_key, slices, spread, stored, texts_of
 
 #: Encodings that a Python worker remembers; when there are more, it starts anew.
 REMEMBERED = 400_000
+#: Repeated keys that are sent to all tasks; more are met by a shuffle.
+SENT = 200_000
 
 
 class WordEncoder:
@@ -149,6 +151,16 @@ def _put(folder: str, name: str, parts) -> None:
     store.move(draft, f"{path}/{name}")
 
 
+def _spans(folder: str, name: str):
+    """A function for bytes [a, b) of a file: from a memory map where the folder is a mounted one, else read as they are asked for."""
+    store, path = file_store(folder)
+    if isinstance(store, pafs.LocalFileSystem):
+        whole = _map(folder, name)
+        return lambda a, b: whole[a:b]
+    file = store.open_input_file(f"{path}/{name}")
+    return lambda a, b: np.frombuffer(file.read_at(b - a, a), np.uint8)
+
+
 def _map(folder: str, name: str) -> np.ndarray:
     """Bytes of a file: a memory map where the folder is a mounted one, else read whole."""
     store, path = file_store(folder)
@@ -163,30 +175,47 @@ def write_token_files(df: DataFrame, path: str, folder: str, end_id: int = 2, ke
     """Encode the texts of ``df`` with the tokenizers file at ``path`` and write them to ``folder``; returns the folder.
 
     Documents lie in ascending order of ``key``, null first, repeated ids in order of their text; each ends with
-    ``end_id``. A null or empty text is just that. An empty table gives a manifest without partitions. Rows are dealt by
-    ranges of (key, text), so a key that is repeated does not gather in one task. The key has to be of an integer type,
-    as the files hold 64-bit ones. Each task streams its texts to its own file. Only one row of counts a partition comes to the driver.
+    ``end_id``. A null or empty text is just that. An empty table gives a manifest without partitions. Texts are encoded
+    where they are read; what is stored, shuffled and sorted are ids of 2 or 4 bytes, and of keys that are repeated the
+    texts, for their order. Rows are dealt by ranges of key and of the text's hash, so a key that is repeated does not gather in one task. The key has to be of an integer type, as the files hold
+    64-bit ones. Each task streams its ids to its own file. Only one row of counts a partition comes to the driver.
     """
     spark = df.sparkSession
     vocabulary_size = Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
     kind = "<u2" if max(vocabulary_size - 1, end_id) < 1 << 16 else "<u4"
-    rows = df.select(integer_key(df, key).alias("__key"), F.col(text).alias("__text"))
-    ranged = rows.repartitionByRange("__key", F.xxhash64("__text")).sortWithinPartitions("__key", "__text")
+    rows = df.select(integer_key(df, key).alias("__key"), F.xxhash64(text).alias("__hash"), F.col(text).alias("__text"))
+    repeated = stored(rows.groupBy("__key").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("__key").alias("__again"), F.lit(True).alias("__many")), "repeated")
+    few = repeated.count()
+    if few:
+        rows = rows.join(F.broadcast(repeated) if few <= SENT else repeated.hint("shuffle_hash"), F.col("__key").eqNullSafe(F.col("__again")), "left")
+    rows = rows.select("__key", "__hash", (F.when(F.col("__many"), F.col("__text")) if few else F.lit(None).cast("string")).alias("__order"), "__text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = encoder(path)
+        for batch in slices(batches, "__text"):
+            ids, bounds = model.encode(*texts_of(batch.column("__text")))
+            n = np.diff(bounds)
+            out = np.full(len(ids) + len(n), end_id, kind)
+            out[spread(bounds[:-1] + np.arange(len(n)), n)] = ids
+            ends = (bounds + np.arange(len(bounds))) * out.itemsize
+            packed = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(out)])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), packed], [*names, "__ids"])
+
+    names = ["__key", "__hash", "__order"]
+    encoded = stored(rows.mapInArrow(encode, "__key long, __hash long, __order string, __ids binary"), "encoded")
+    ranged = encoded.repartitionByRange("__key", "__hash").sortWithinPartitions("__key", "__order", "__ids").select("__key", "__ids")
 
     def write_part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model, part = encoder(path), TaskContext.get().partitionId()
+        part = TaskContext.get().partitionId()
         keys, nulls, counts = [], [], []
 
         def stream():
-            for batch in slices(batches, "__text"):
-                ids, bounds = model.encode(*texts_of(batch.column("__text")))
-                n = np.diff(bounds)
-                out = np.full(len(ids) + len(n), end_id, kind)
-                out[spread(bounds[:-1] + np.arange(len(n)), n)] = ids
+            for batch in batches:
+                raw, bounds = texts_of(batch.column("__ids"))
                 keys.append(batch.column("__key").fill_null(0).to_numpy())
                 nulls.append(batch.column("__key").is_null().to_numpy(zero_copy_only=False))
-                counts.append(n + 1)
-                yield out.tobytes()
+                counts.append(np.diff(bounds) // np.dtype(kind).itemsize)
+                yield raw.tobytes()
 
         name = f"{part:06d}"
         _put(folder, f"ids-{name}.bin", stream())
@@ -245,13 +274,13 @@ def _read(spark: SparkSession, folder: str, schema: str, columns) -> DataFrame:
             for p in batch.column("part").to_pylist():
                 name = f"{p:06d}.bin"
                 offsets = _map(folder, f"offsets-{name}").view("<u8").astype(np.int64)
-                ids, docs = _map(folder, f"ids-{name}").view(spec["dtype"]), _map(folder, f"docs-{name}")
+                ids, docs, wide = _spans(folder, f"ids-{name}"), _map(folder, f"docs-{name}"), np.dtype(spec["dtype"]).itemsize
                 n = len(offsets) - 1
                 keys, null = docs[: 8 * n].view("<i8"), docs[8 * n :].astype(bool)
                 group = (offsets[:-1] - offsets[0]) >> 20  # about a million ids at a time
                 for a, b in _runs(group):
                     ends = offsets[a : b + 1] - offsets[0]
-                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], mask=null[a:b]), *columns(offsets[a:b], ids[ends[0] : ends[-1]], ends - ends[0])], names)
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[a:b], mask=null[a:b]), *columns(offsets[a:b], ids(wide * int(ends[0]), wide * int(ends[-1])).view(spec["dtype"]), ends - ends[0])], names)
 
     parts = [(p["part"],) for p in spec["parts"]]
     if not parts:
