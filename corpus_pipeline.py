@@ -16,6 +16,11 @@ from sparkfolio.llm import bpe, lang_id, mixing, quality, shared, simhash
 LEAST_SHARE = 0.5
 
 
+def _whole(docs: DataFrame) -> DataFrame:
+    """Rows (doc, row): each row as one struct, whatever its columns are called, with what tells it from others."""
+    return docs.select(F.struct(*docs.columns).alias("doc"), _row().alias("row"))
+
+
 def _row() -> Column:
     """A row's id and the digest of its text, by which decisions are kept: ids may be null or repeated."""
     digest = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
@@ -23,13 +28,21 @@ def _row() -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that one of the learned languages has claimed: not ``und``, and sure enough. Row by row."""
+    """Keep the documents that one of the learned languages has claimed: not ``und``, and sure enough.
+
+    Row by row: of rows that repeat, all stay or all go. A null or blank text is ``und`` and goes; a tie of two languages
+    at half each is sure enough. Without any label nothing can be learned, and nothing stays.
+    """
     found = lang_id.predict(docs, lang_id.train(docs), carry=True)
     return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents of which the best grade is more likely than not; the classifier learns from the labels."""
+    """Keep the documents of which the best grade is more likely than not; the classifier learns from the labels.
+
+    Row by row: of rows that repeat, all stay or all go. A null text counts as an empty one; a null id learns nothing but is
+    scored like any other.
+    """
     ratings = quality.graded(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality.score(docs, quality.train(docs, ratings), carry=True).filter("selected").select("row.*")
 
@@ -39,23 +52,26 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Of rows that are equal in both, each task passes on only one.
     """
-    found = simhash.near_duplicates(docs.select(_row().alias("__row"), "text"), key="__row")
-    kept = found.filter(F.col("__row") == F.col("component_id")).select("__row").distinct()
-    first = F.row_number().over(Window.partitionBy("__row").orderBy(F.xxhash64(*docs.columns)))
-    one = docs.withColumn("__row", _row()).withColumn("__copy", first).filter("__copy = 1")
-    return one.join(kept.hint("shuffle_hash"), "__row", "left_semi").select(*docs.columns)
+    found = simhash.near_duplicates(docs.select(_row().alias("row"), "text"), key="row")
+    kept = found.filter(F.col("row") == F.col("component_id")).select("row").distinct()
+    first = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("doc")))
+    one = _whole(docs).withColumn("copy", first).filter("copy = 1")
+    return one.join(kept.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """As many copies of each document as the mix takes of it, as rows. Of rows equal in id and text, all get as many as one."""
-    mixed = mixing.mix(docs.select(_row().alias("__row"), "text", "source"), key="__row")
-    copies = mixed.filter("copies > 0").groupBy("__row").agg(F.max("copies").alias("__copies"))
-    many = docs.withColumn("__row", _row()).join(copies.hint("shuffle_hash"), "__row")
-    return many.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    mixed = mixing.mix(docs.select(_row().alias("row"), "text", "source"), key="row")
+    copies = mixed.filter("copies > 0").groupBy("row").agg(F.max("copies").alias("copies"))
+    many = _whole(docs).join(copies.hint("shuffle_hash"), "row")
+    return many.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token ids of each row, and digests of them and of what they decode to."""
+    """The token ids of each row, and the digest of what they decode to; a null text has none and decodes to nothing.
+
+    One row for each row given, copies included.
+    """
     path = public_tokenizers.path("byte_bpe_50k.json")
     coded = bpe.encode_decode(docs, path, ["doc_id", "source"])
     return coded.select(
