@@ -2,6 +2,9 @@
 
 Formats whose text fits one expression are columns over the file's bytes. Part-21 files (IFC, STEP), which hold very
 many statements, are DataFrames of statements and strings that are grouped by entity type.
+
+Fixed values throughout: titles and headings, offsets and lengths of header fields, words that lines begin with, and the
+patterns of names and strings of each format.
 """
 
 from __future__ import annotations

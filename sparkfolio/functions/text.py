@@ -316,7 +316,7 @@ def tenant_of(header: Column, host: Column, default: str = "default") -> Column:
     return F.coalesce(F.nullif(strip(header), F.lit("")), F.when(named, first), F.lit(default))
 
 
-#: Languages of source files by file name ending.
+#: Languages of source files by file name ending.
 LANGUAGES = {
     "python": ("py", "pyw", "pyi"),
     "javascript": ("js", "mjs", "cjs", "jsx"),

@@ -223,6 +223,7 @@ def link_file_references(texts: DataFrame, names: DataFrame, tenant: str, base_u
     from ..functions.text import escape_html
 
     base = base_url.replace("{tenant}", tenant)
+    # fixed value: how texts refer to a file
     pattern = r"\(file\s+([0-9a-fA-F-]{8,})\)"
     whole = lambda k: F.regexp_extract_all(F.col(html), F.lit(rf"({pattern})"), F.lit(k))
     found = texts.select(key, F.explode(F.array_distinct(F.arrays_zip(whole(1).alias("all"), whole(2).alias("uid")))).alias("r")).select(key, "r.*")
