@@ -96,6 +96,12 @@ class ContextModel:
         np.log2(np.maximum(table, 1e-30, out=table), out=table)
         self.bits = np.negative(table, out=table).reshape(-1, langs)
 
+    def plain_lengths(self, raw: np.ndarray, bounds: np.ndarray, language: np.ndarray) -> np.ndarray:
+        """Bits of each text in its ``language`` if every byte stood alone, that is, without any context."""
+        own = self.bits[: self.width][self.symbol[raw], np.repeat(language, np.diff(bounds))]
+        ends = np.concatenate([[0.0], np.cumsum(own, dtype=np.float64)])
+        return ends[bounds[1:] - bounds[0]] - ends[bounds[:-1] - bounds[0]]
+
     def code_lengths(self, raw: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         """Bits of each text in each language."""
         out = np.zeros((len(bounds) - 1, len(self.languages)))
@@ -248,42 +254,46 @@ def _held(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[list[pa.Rec
 
 
 def predict(df: DataFrame, frozen: _Frozen | None, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """Rows (key, lang_pred, score) for every row of ``df``, in its order and number.
+    """Rows (key, lang_pred, score, gain) for every row of ``df``, in its order and number.
 
     ``lang_pred`` is the language of the shortest code (of equals the first by code point), ``score`` its share if each
     language were as likely as its code length says, from 0 to 1. A text that is null or has no letter is ``und`` with
-    score 0, and so is every text without a model. Only the text is looked at. With ``carry`` the first column is
+    score 0, and so is every text without a model. ``gain`` is how many bits a byte the contexts save in that language
+    against its bytes alone: the share only compares the languages with each other, while text in none of them, or letters
+    in no order, gain nothing or lose. It is 0 for ``und``. Only the text is looked at. With ``carry`` the first column is
     instead ``row``, a struct of all columns of ``df``, so that a filter needs no join.
     """
     name = "row" if carry else key
     rows = df.select((F.struct(*df.columns) if carry else F.col(key)).alias("__key"), F.col(text).alias("__text"))
     if frozen is None:
-        return rows.select(F.col("__key").alias(name), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"))
+        return rows.select(F.col("__key").alias(name), F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("gain"))
     sent = df.sparkSession.sparkContext.broadcast(frozen)  # the counts of ``contexts`` contexts a language at most
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [sent.value, *sent.value.others]
         names = np.array([name for t in tables for name in t.parts[0]] + ["und"], object)
         for held in _held(slices(batches, "__text", 4 << 20), HELD_BYTES if len(tables) > 1 else 0):
-            state = [(np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows)) for batch in held]
+            state = [(np.full(batch.num_rows, np.inf), np.zeros(batch.num_rows, np.int64), np.zeros(batch.num_rows), np.zeros(batch.num_rows)) for batch in held]
             first = 0
             for t in tables:  # one table in memory at a time
                 model = t.model()
                 for k, batch in enumerate(held):
-                    low, best, mass = state[k]
-                    bits = model.code_lengths(*texts_of(batch.column("__text")))
-                    least = bits.min(1)
-                    best = np.where(least < low, first + bits.argmin(1), best)
+                    low, best, mass, plain = state[k]
+                    raw, bounds = texts_of(batch.column("__text"))
+                    bits = model.code_lengths(raw, bounds)
+                    least, own = bits.min(1), bits.argmin(1)
+                    best = np.where(least < low, first + own, best)
+                    plain = np.where(least < low, model.plain_lengths(raw, bounds, own), plain)
                     now = np.minimum(low, least)
                     mass = mass * np.exp2(np.maximum(now - low, -1000)) + np.exp2(np.maximum(now[:, None] - bits, -1000)).sum(1)
-                    state[k] = now, best, mass
+                    state[k] = now, best, mass, plain
                 first += len(t.parts[0])
-            for batch, (_, best, mass) in zip(held, state):
+            for batch, (low, best, mass, plain) in zip(held, state):
                 raw, bounds = texts_of(batch.column("__text"))
                 letters = np.concatenate([[0], np.cumsum(byte_classes(raw) == LETTER)])[bounds]
                 none = letters[1:] == letters[:-1]
-                yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(np.where(none, 0.0, 1 / mass))], ["__key", "__lang", "__score"])
+                yield pa.RecordBatch.from_arrays([batch.column("__key"), pa.array(names[np.where(none, len(names) - 1, best)], pa.string()), pa.array(np.where(none, 0.0, 1 / mass)), pa.array(np.where(none, 0.0, (plain - low) / np.maximum(np.diff(bounds), 1)))], ["__key", "__lang", "__score", "__gain"])
         give_back()
 
-    schema = StructType([StructField("__key", rows.schema["__key"].dataType), StructField("__lang", StringType()), StructField("__score", DoubleType())])
-    return rows.mapInArrow(score, schema).toDF(name, "lang_pred", "score")
+    schema = StructType([StructField("__key", rows.schema["__key"].dataType), StructField("__lang", StringType()), StructField("__score", DoubleType()), StructField("__gain", DoubleType())])
+    return rows.mapInArrow(score, schema).toDF(name, "lang_pred", "score", "gain")

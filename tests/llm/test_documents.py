@@ -232,6 +232,17 @@ def brute_bits(model, text):
     return [sum(-math.log2(chance(k, raw[i - 3 : i], raw[i])) for i in range(3, len(raw))) for k in range(len(languages))]
 
 
+def brute_plain(model, text):
+    """Code length in each language without contexts: seen bytes by their counts, the others share what escapes."""
+    languages, counts = model.parts
+    seen = [{} for _ in languages]
+    for lang, size, code, n in zip(*(counts[c].tolist() for c in ("lang", "size", "code", "n"))):
+        if size == 1:
+            seen[lang][code] = n
+    chance = lambda own, b: own.get(b, len(own) / (256 - len(own))) / (sum(own.values()) + len(own))
+    return [-sum(math.log2(chance(own, b)) for b in text.encode()) for own in seen]
+
+
 def test_language_id_code_lengths_and_rules(spark):
     rng = random.Random(2)
     words = {"en": ["the", "and", "thing", "with"], "fr": ["été", "le", "dans", "que"], "de": ["über", "und", "nicht", "ein"]}
@@ -249,6 +260,11 @@ def test_language_id_code_lengths_and_rules(spark):
     assert all(out[k]["lang_pred"] == lang for k, _, lang, _ in rows[:180])
     assert [out[k]["lang_pred"] for k in (500, 501, 502, 503, 504, None)] == ["und", "und", "und", "fr", "en", "de"]
     assert out[500]["score"] == 0 and all(0 <= r["score"] <= 1 for r in found) and out[505]["lang_pred"] in words
+    for k, text in [(503, "été été"), (505, "漢字"), *((k, text) for k, text, _, _ in rows[:6])]:
+        bits = brute_bits(model, text)
+        best = bits.index(min(bits))
+        assert out[k]["gain"] == pytest.approx((brute_plain(model, text)[best] - bits[best]) / len(text.encode()), abs=1e-4)
+    assert [out[k]["gain"] for k in (500, 501, 502)] == [0, 0, 0]
 
 
 def test_language_id_learns_all_languages(spark):
