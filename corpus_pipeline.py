@@ -14,6 +14,8 @@ from sparkfolio.llm import bpe, lang_id, mixing, quality, shared, simhash
 
 #: A text is rejected if no language has at least this share.
 LEAST_SHARE = 0.5
+#: Nor if its contexts do not save that many bits a byte against the text's bytes alone, as in no learned language.
+LEAST_GAIN = 0.25
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -28,13 +30,17 @@ def _row() -> Column:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the documents that one of the learned languages has claimed: not ``und``, and sure enough.
+    """Keep the documents that one of the learned languages has claimed: not ``und``, sure enough, and like it in itself.
+
+    The share says which language is nearest, not that it is near: letters in no order, codes and other languages have a
+    share of 1 too. They go because what a learned language's contexts foretell does not help to code them.
 
     Row by row: of rows that repeat, all stay or all go. A null or blank text is ``und`` and goes; a tie of two languages
     at half each is sure enough. Without any label nothing can be learned, and nothing stays.
     """
     found = lang_id.predict(docs, lang_id.train(docs), carry=True)
-    return found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SHARE)).select("row.*")
+    sure = (F.col("score") >= LEAST_SHARE) & (F.col("gain") >= LEAST_GAIN)
+    return found.filter((F.col("lang_pred") != "und") & sure).select("row.*")
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
