@@ -1,13 +1,14 @@
 """The pipeline's stages against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter
 
 import public_tokenizers
 from pyspark.sql import functions as F
-from test_documents import brute_bits, brute_fingerprint, brute_tails, brute_targets, components
+from test_documents import brute_bits, brute_fingerprint, brute_plain, brute_tails, brute_targets, components
 from tokenizers import Tokenizer
 
 import corpus_pipeline
@@ -37,6 +38,8 @@ def test_stages_equal_brute_force(spark, tmp_path):
                     continue
                 bits = brute_bits(model, r["text"] or "")
                 sure = 1 / sum(2 ** max(min(bits) - b, -1000) for b in bits) >= 0.5
+                best = bits.index(min(bits))
+                sure = sure and brute_plain(model, r["text"] or "")[best] - bits[best] >= 0.25 * len((r["text"] or "").encode())
                 assert (r["doc_id"] in kept) == (sure and any(c.isalpha() for c in r["text"] or "")), r["doc_id"]
         elif name == "quality":
             assert kept == {r["doc_id"] for r in before if brute_tails(model, r["text"] or "")[1] >= 0.5}
@@ -81,6 +84,21 @@ def test_run_of_an_empty_table(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_gibberish_and_unknown_languages_go_and_clean_texts_stay(spark):
+    """Letters in no order and text in none of the languages have a share of 1, but gain nothing; no clean text is lost."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(3)
+    clean = [r["text"] for r in docs.filter("length(text) > 40").limit(30).collect()]
+    strange = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz     ") for _ in range(n)) for n in (20, 60, 200, 3000, 50_000)]
+    strange += ["".join(rng.sample(text, len(text))) for text in clean]
+    strange += ["Suomen kieli on uralilaisten kielten itämerensuomalaiseen ryhmään kuuluva kieli", "Русский язык является одним из восточнославянских языков", "日本語は日本国内や日本人同士の間で使われている言語", "QmFzZTY0IGVuY29kZWQgdGV4dCBpcyBub3QgYSBsYW5ndWFnZQ=="]
+    odd = spark.createDataFrame([(1_000_000 + k, text, None, "s", len(text)) for k, text in enumerate(strange)], docs.schema)
+    kept = [r["doc_id"] for r in corpus_pipeline.language_id(spark, docs.union(odd), SF).select("doc_id").collect()]
+    assert not [k for k in kept if k >= 1_000_000]
+    found = lang_id.predict(docs, lang_id.train(docs)).filter("lang_pred <> 'und' and score >= 0.5").count()
+    assert len(kept) == found
+
+
 def test_toxic_and_doubled_texts_go(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     ratings = quality.graded(spark.read.parquet("/root/testdata/sf0.1/labels.parquet"))
