@@ -1,6 +1,6 @@
 """Queries over the test tables, each with its SQL where SQL can express it."""
 
-from . import retrieval, relational, tabular, text  # noqa: F401  they register their queries
+from . import chat, models, retrieval, relational, tabular, text  # noqa: F401  they register their queries
 from .registry import oracle_sql, queries
 from .retrieval import flagship
 
