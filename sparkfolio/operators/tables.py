@@ -184,13 +184,22 @@ def unique_slugs(names: DataFrame, key: str = "id", name: str = "name") -> DataF
 
 
 def folder_listing(entries: DataFrame, most_folders: int = 200, most_files: int = 20) -> DataFrame:
-    """Rows (parent, folders, files): sorted names, and how many more there are."""
+    """Rows (parent, folders, files): the first names in order, and how many more there are.
+
+    Names beyond the limits are counted where they are, and left behind before anything of a folder meets.
+    """
+    names = entries.select("parent", F.col("is_container").alias("__folder"), "name")
+    turn = F.row_number().over(Window.partitionBy("parent", "__folder").orderBy("name"))
+    first = names.filter("name is not null").withColumn("__turn", turn).filter(F.col("__turn") <= max(most_folders, most_files))
+    first = first.filter(F.col("__turn") <= F.when(F.col("__folder"), most_folders).otherwise(most_files)).select("parent", "__folder", "name", F.lit(0).cast("long").alias("__n"))
+    numbers = names.groupBy("parent", "__folder").agg(F.count("name").alias("__n")).select("parent", "__folder", F.lit(None).cast("string").alias("name"), "__n")
+
     def shown(is_folder: bool, most: int) -> Column:
-        names = F.array_sort(F.collect_list(F.when(F.col("is_container") == is_folder, F.col("name"))))
-        more = F.size(names) - most
-        return F.concat(F.array_join(F.slice(names, 1, most), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more, F.lit(" more)"))).otherwise(""))
+        of = lambda c: F.when(F.col("__folder") == is_folder, F.col(c))
+        more = F.coalesce(F.sum(of("__n")), F.lit(0)) - most
+        return F.concat(F.array_join(F.array_sort(F.collect_list(of("name"))), ", "), F.when(more > 0, F.concat(F.lit(" (+"), more, F.lit(" more)"))).otherwise(""))
 
-    return entries.groupBy("parent").agg(shown(True, most_folders).alias("folders"), shown(False, most_files).alias("files"))
+    return first.unionByName(numbers).groupBy("parent").agg(shown(True, most_folders).alias("folders"), shown(False, most_files).alias("files"))
 
 
 def resolve_paths(paths: DataFrame, entries: DataFrame, root: str = "") -> DataFrame:
