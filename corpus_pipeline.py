@@ -16,6 +16,8 @@ from sparkfolio.llm import bpe, lang_id, mixing, quality, shared, simhash
 LEAST_SHARE = 0.5
 #: Nor if its contexts do not save that many bits a byte against the text's bytes alone, as in no learned language.
 LEAST_GAIN = 0.25
+#: Bits that a text may lack for that: what one or two odd spots cost, which in a short text say little.
+SPARED_BITS = 32
 
 
 def _whole(docs: DataFrame) -> DataFrame:
@@ -39,7 +41,8 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     at half each is sure enough. Without any label nothing can be learned, and nothing stays.
     """
     found = lang_id.predict(docs, lang_id.train(docs), carry=True)
-    sure = (F.col("score") >= LEAST_SHARE) & (F.col("gain") >= LEAST_GAIN)
+    size = F.octet_length("row.text")
+    sure = (F.col("score") >= LEAST_SHARE) & (F.col("gain") * size >= LEAST_GAIN * size - SPARED_BITS)
     return found.filter((F.col("lang_pred") != "und") & sure).select("row.*")
 
 
