@@ -21,6 +21,8 @@ from .shared import stored
 
 #: Documents of one source and size that are ranked together; larger groups are split by hash.
 RANKED = 256
+#: Equal rows that one task writes in a row; more of them are dealt out in pieces.
+TOGETHER = 10_000
 
 
 def word_count(text: str = "text"):
@@ -132,7 +134,7 @@ def mix(df: DataFrame, key: str = "doc_id", text: str = "text", source: str = "s
 
     ``size`` is the text's number of words (null: 0), ``copies`` how often the mix has the document (0, 1 or 2) and
     ``taken`` = copies * size. Null sources are one source. Texts without words are kept once. Rows with equal ids, or
-    null ids, are mixed like any others; which of entirely equal rows gets a copy more is open, the rows as a whole are
+    null ids, are mixed like any others; rows equal in id and text are counted, not ranked, and the rows as a whole are
     the same in every run. An empty table gives no rows. The number of sources is taken to be small, as weights are set
     by source: one row for each comes to the driver.
     """
@@ -155,16 +157,33 @@ def _mixed(docs: DataFrame, most: float) -> DataFrame:
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("tilt") == math.inf, float(most)).when(F.col("tilt") == -math.inf, 0.0).otherwise(most / (1 + F.exp(-exponent)))
     rated = cells.join(tilt, "place").select("place", "size", "n", rate.alias("rate"))
     copies = stored(rated.groupBy("place").applyInPandas(lambda cells: _copies(cells, int(most)), "place int, size long, n long, copies long"), "copies")
-    # a size's copies are dealt to its parts by prefix sums of their documents, and within a part by rank
+    # a size's copies are dealt to its parts by prefix sums of their documents, and within a part in the order of hashes;
+    # equal rows are one row with a number until the end, so that no task has to rank them
     base = F.floor(F.col("copies") / F.col("n"))
     copies = copies.select("place", "size", "n", base.alias("base"), (F.col("copies") - base * F.col("n")).alias("more"))
+    whole = ["place", "size", "source_size", "target", "__hash", "__key"]
     part = F.pmod(F.col("__hash"), F.ceil(F.col("n") / RANKED))
-    ranked = rows.join(copies, ["place", "size"]).withColumn("part", part)
-    counts = ranked.groupBy("place", "size", "part").agg(F.count("*").alias("here"), F.first("n").alias("n"), F.first("more").alias("more"))
+    alike = rows.groupBy(*whole).agg(F.count("*").alias("same")).join(copies, ["place", "size"]).withColumn("part", part)
+    counts = alike.groupBy("place", "size", "part").agg(F.sum("same").alias("here"), F.first("more").alias("more"), F.first("n").alias("n"))
     counts = counts.withColumn("until", F.sum("here").over(Window.partitionBy("place", "size").orderBy("part")))
     up_to = lambda x: F.expr(f"cast(more as decimal(19,0)) * {x} div n")
     counts = counts.withColumn("before", F.col("until") - F.col("here")).select("place", "size", "part", (up_to("until") - up_to("before")).cast("long").alias("extra"))
-    turn = F.row_number().over(Window.partitionBy("place", "size", "part").orderBy("__hash", "__key"))
-    placed = ranked.withColumn("turn", turn).join(counts, ["place", "size", "part"])
-    own = F.col("base") + (F.col("turn") <= F.col("extra")).cast("long")
-    return placed.withColumn("copies", own.cast("long")).withColumn("taken", F.col("copies") * F.col("size"))
+    passed = F.sum("same").over(Window.partitionBy("place", "size", "part").orderBy("__hash", "__key").rowsBetween(Window.unboundedPreceding, 0)) - F.col("same")
+    dealt = alike.withColumn("passed", passed).join(counts, ["place", "size", "part"])
+    more = F.greatest(F.least(F.col("extra") - F.col("passed"), F.col("same")), F.lit(0))
+    return _expanded(stored(dealt.select(*whole, "base", "same", more.alias("more")), "dealt"))
+
+
+def _expanded(dealt: DataFrame) -> DataFrame:
+    """A row for each of the ``same`` equal ones: ``more`` of them have base + 1 copies, the rest base.
+
+    Rows that stand for more than TOGETHER others are dealt out again in pieces of so many.
+    """
+    sorts = F.array(F.struct((F.col("base") + 1).alias("copies"), F.col("more").alias("number")), F.struct(F.col("base").alias("copies"), (F.col("same") - F.col("more")).alias("number")))
+    few, many = (dealt.filter(f"same {sign} {TOGETHER}").withColumn("sort", F.explode(sorts)).filter("sort.number > 0") for sign in ("<=", ">"))
+    few = few.withColumn("number", F.col("sort.number"))
+    pieces = many.withColumn("piece", F.explode(F.expr(f"sequence(0L, (sort.number - 1) div {TOGETHER})"))).repartition("__hash", "sort", "piece")
+    pieces = pieces.withColumn("number", F.least(F.col("sort.number") - F.col("piece") * TOGETHER, F.lit(TOGETHER))).drop("piece")
+    each = few.unionByName(pieces).withColumn("turn", F.explode(F.expr("sequence(1L, number)")))
+    copies = F.col("sort.copies").cast("long")
+    return each.select("__key", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))

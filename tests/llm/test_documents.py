@@ -460,6 +460,21 @@ def test_mixing(spark):
     assert mixing.mix(docs.limit(0)).count() == 0
 
 
+def test_mixing_counts_equal_rows(spark):
+    """Rows equal in id and text, null ones too, are dealt out in pieces, and all come back."""
+    same = spark.range(25_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("a").alias("source"))
+    null = spark.range(11_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("string").alias("text"), F.lit("a").alias("source"))
+    rest = spark.range(9_000).select(F.col("id").alias("doc_id"), F.lit("a b").alias("text"), F.lit("b").alias("source"))
+    docs = same.union(null).union(rest)
+    found = {tuple(r[:-1]): r["n"] for r in mixing.mix(docs).groupBy("doc_id", "size", "copies", "source_size").agg(F.count("*").alias("n")).collect()}
+    assert found.pop((None, 0, 1, 75_000)) == 11_000
+    by = lambda test: sum(n for k, n in found.items() if test(k))
+    wanted = brute_targets({"a": 75_000, "b": 18_000})
+    assert by(lambda k: k[1] == 3) == 25_000 and by(lambda k: k[1] == 2) == 9_000
+    assert abs(sum(k[1] * k[2] * n for k, n in found.items() if k[1] == 3) - wanted["a"]) <= 3
+    assert abs(sum(k[1] * k[2] * n for k, n in found.items() if k[1] == 2) - wanted["b"]) <= 2
+
+
 def test_mixing_rates_solve_the_dual(spark):
     """Rates are tilted by size: logit(rate / 2) is a line through 0 in each source."""
     cells = spark.createDataFrame([(0, s, n) for s, n in ((1, 50), (10, 30), (100, 9), (400, 2))], "place int, size long, n long")
