@@ -28,7 +28,7 @@ def _whole(docs: DataFrame) -> DataFrame:
 def _row() -> Column:
     """A row's id and the digest of its text, by which decisions are kept: ids may be null or repeated."""
     digest = F.unhex(F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256))
-    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id").alias("id"), digest.alias("digest"))
+    return F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce("doc_id", F.lit(0)).alias("id"), digest.alias("digest"))
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,10 +62,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     Of rows that are equal in both, each task passes on only one.
     """
     found = simhash.near_duplicates(docs.select(_row().alias("row"), "text"), key="row")
-    kept = found.filter(F.col("row") == F.col("component_id")).select("row").distinct()
-    first = F.row_number().over(Window.partitionBy("row").orderBy(F.xxhash64("doc")))
-    one = _whole(docs).withColumn("copy", first).filter("copy = 1")
-    return one.join(kept.hint("shuffle_hash"), "row", "left_semi").select("doc.*")
+    kept = found.filter(F.col("row") == F.col("component_id")).select("row.*").distinct()
+    key = kept.columns  # plain columns: as structs that differ in what may be null, they would be dealt out once more for the join
+    first = F.row_number().over(Window.partitionBy(*key).orderBy(F.xxhash64("doc")))
+    one = _whole(docs).select("doc", "row.*").withColumn("copy", first).filter("copy = 1")
+    return one.join(kept.hint("shuffle_hash"), key, "left_semi").select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
