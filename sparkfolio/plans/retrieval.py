@@ -146,11 +146,14 @@ def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    with r as ({_RANKED})
-    select source, md5(string_agg('[' || rank || '] (file ' || doc_id || ')\n' || text, '\n\n' order by rank)) as context_md5 from r where rank <= 5 group by 1""")
+    with r as ({_RANKED}),
+    s as (select *, sum(length(text)) over (partition by source order by rank) as c from r)
+    select source, md5(string_agg('[' || rank || '] (file ' || doc_id || ')\n' || text, '\n\n' order by rank)) as context_md5 from s where rank = 1 or c <= 12000 group by 1""")
 def context_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").withColumn("rank", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    built = context.assemble(docs.filter("rank <= 5").withColumn("file_uid", F.col("doc_id").cast("string")), ["source"])
+    """What fits of each source's documents; ranks and budget by ids and lengths, texts only of what is left."""
+    texts = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    fits = context_budget(spark, sf_dir).select("source", "doc_id", "rank", F.col("doc_id").cast("string").alias("file_uid"))
+    built = context.assemble(fits.join(texts, "doc_id"), ["source"])
     return built.select("source", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 

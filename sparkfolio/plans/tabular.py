@@ -293,16 +293,18 @@ def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""
-    with d as (select doc_id, doc_id % 5 <> 0 as may, case when doc_id % 3 <> 0 then lang || ' ' || source end as t from documents)
+    with d as (select doc_id, doc_id % 5 <> 0 as may, case when doc_id % 3 <> 0 then text end as t from documents),
+    k as (select *, list_max(list_filter(range(0, 1001), lambda k: strlen(substr(t, 1, k::int)) <= 1000)) as k from d)
     select 'f' || doc_id as file_uid, case when not may then 'denied' when t is null then 'missing' else 'ok' end as outcome,
-           case when may then substr(t, 1, 5) end as text, coalesce(may and length(t) > 5, false) as trimmed from d
+           case when may then md5(substr(t, 1, k::int)) end as text_md5, coalesce(may and strlen(t) > 1000, false) as trimmed from k
     union all select 'gone', 'denied', null, false union all select 'granted', 'missing', null, false""")
 def get_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "documents").withColumn("file_uid", F.concat(F.lit("f"), "doc_id"))
-    docs = rows.select("file_uid", F.when(F.col("doc_id") % 3 != 0, F.concat("lang", F.lit(" "), "source")).alias("content_md"))
+    docs = rows.select("file_uid", F.when(F.col("doc_id") % 3 != 0, F.col("text")).alias("content_md"))
     more = spark.createDataFrame([("gone",), ("granted",)], "file_uid string")
     grants = rows.filter("doc_id % 5 <> 0").select("file_uid").union(more.filter("file_uid = 'granted'"))
-    return access.get_text(docs, rows.select("file_uid").union(more), grants, 5)
+    found = access.get_text(docs, rows.select("file_uid").union(more), grants, 1000)
+    return found.select("file_uid", "outcome", F.md5(F.col("text").cast("binary")).alias("text_md5"), "trimmed")
 
 
 @query("""

@@ -77,7 +77,7 @@ _CONTENTS = {
 @query(f"select page_id, {list(_CONTENTS.values())}[page_id % {len(_CONTENTS)} + 1] as mime from pages")
 def mime_by_content(spark: SparkSession, sf_dir: str) -> DataFrame:
     head = F.element_at(F.array(*(F.lit(c) for c in _CONTENTS)), (F.col("page_id") % len(_CONTENTS) + 1).cast("int"))
-    return read_table(spark, sf_dir, "pages").select("page_id", mime.detect(F.concat(head, F.col("url").cast("binary")), F.lit("x.txt")).alias("mime"))
+    return read_table(spark, sf_dir, "pages").select("page_id", mime.detect(F.concat(head, F.col("url").cast("binary"), F.col("html").cast("binary")), F.lit("x.txt")).alias("mime"))
 
 
 @query(r"""
@@ -160,16 +160,15 @@ def source_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_table(spark, sf_dir, "part").select("p_partkey", text.source_language(name, kind, content).alias("language"))
 
 
-@query("""
+@query(f"""
     select page_id, case page_id % 4 when 0 then 'text/markdown' when 1 then 'application/postscript' when 2 then 'application/octet-stream' else 'text/html' end as mime,
-           page_id % 4 <> 2 as supported, case when page_id % 4 = 0 then url when page_id % 8 = 1 then '%!PS ' || upper(url)
-           when page_id % 4 = 3 then '# ' || page_id || chr(10) || chr(10) || 'body ' || page_id end as text from pages""")
+           page_id % 4 <> 2 as supported, md5(case when page_id % 4 = 0 then url when page_id % 8 = 1 then '%!PS ' || upper(url)
+           when page_id % 4 = 3 and {_BODY} <> '' then case when {_TITLE} <> '' then '# ' || {_TITLE} || chr(10) || chr(10) else '' end || {_BODY} end) as text_md5 from pages""")
 def converters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Files by type to text, with a converter of Python added, which fails on half of its files."""
-    k, page = F.col("page_id") % 4, F.col("page_id").cast("string")
+    k = F.col("page_id") % 4
     name = F.when(k == 0, F.lit("a.md")).when(k == 2, F.lit("a.bin")).otherwise(F.lit("a"))
-    web = F.concat(F.lit("<html><head><title>"), page, F.lit("</title></head><p>body "), page, F.lit("</p></html>"))
-    content = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("%!PS "), F.when(F.col("page_id") % 8 == 1, F.col("url")).otherwise("!"))).when(k == 2, F.lit(" ")).otherwise(web)
+    content = F.when(k == 0, F.col("url")).when(k == 1, F.concat(F.lit("%!PS "), F.when(F.col("page_id") % 8 == 1, F.col("url")).otherwise("!"))).when(k == 2, F.lit(" ")).otherwise(F.col("html"))
     files = read_table(spark, sf_dir, "pages").select(F.col("page_id").alias("file_uid"), name.alias("name"), content.cast("binary").alias("content"))
 
     def shout(raw: bytes) -> str:
@@ -178,4 +177,4 @@ def converters(spark: SparkSession, sf_dir: str) -> DataFrame:
         return raw.decode().upper()
 
     own = conversion.Converter("shout", lambda kind: kind == "application/postscript", conversion.by_python(shout))
-    return conversion.extract(files, [own]).select(F.col("file_uid").alias("page_id"), "mime", "supported", "text")
+    return conversion.extract(files, [own]).select(F.col("file_uid").alias("page_id"), "mime", "supported", F.md5(F.col("text").cast("binary")).alias("text_md5"))
