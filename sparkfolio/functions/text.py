@@ -12,6 +12,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .languages import guess_language
+
 #: Entities that html_to_text() decodes by itself; `&amp;` comes last, so that nothing is decoded twice.
 ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
 
@@ -342,7 +344,9 @@ LANGUAGES = {
 
 
 def source_language(name: Column, kind: Column, content: Column) -> Column:
-    """Language of a source file: by its name's ending, else by its MIME type, else by a first line that names a shell; else text."""
+    """Language of a source file: by its name's ending, else its MIME type, else a first line that names a shell, else marks
+    of its syntax (languages.guess_language); else text.
+    """
     ending = F.lower(F.regexp_extract(F.coalesce(name, F.lit("")), r"\.([^.]+)$", 1))
     by_name, by_kind = F.lit(None).cast("string"), F.lit(None).cast("string")
     main = F.regexp_replace(F.lower(F.coalesce(kind, F.lit(""))), r"^[^/]*/(?:.*\+)?(?:x-)?", "")
@@ -351,7 +355,7 @@ def source_language(name: Column, kind: Column, content: Column) -> Column:
         by_kind = F.when(main.isin(language, *endings), language).otherwise(by_kind)
     first = F.regexp_extract(F.coalesce(content, F.lit("")), r"^#![^\n]*?\b(python|bash|zsh|sh|node|ruby|php)", 1)
     by_line = F.when(first.isin("bash", "zsh", "sh"), "shell").when(first == "node", "javascript").when(first != "", first)
-    return F.coalesce(by_name, by_kind, by_line, F.lit("text"))
+    return F.coalesce(by_name, by_kind, by_line, guess_language(content), F.lit("text"))
 
 
 #: Office families by file name ending.
