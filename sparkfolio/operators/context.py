@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import escape_html, html_document, redact_pii, to_html
 from ..session import settled
-from . import access, vector_search
+from . import access, ann, vector_search
 from .chunking import hash_embed
 
 NOTHING_FOUND = "(no document matches the question)"
@@ -79,6 +79,27 @@ def ask(chunks: DataFrame, question: str, grants: DataFrame, dimension: int, k:
     return retrieve(chunks, vector, grants, k, scope, **more)
 
 
+def ask_stored(spark: SparkSession, path: str, questions: DataFrame, grants: DataFrame, dimension: int, k: int = 8, scope: DataFrame | None = None, embed: Callable = hash_embed, max_k: int = 12, chunks: DataFrame | None = None, **search) -> DataFrame:
+    """ask() for a bounded set of questions (id, text) from a stored vector index: (id, rank, file_uid, ordinal, distance).
+
+    ``path`` is what ann.build() wrote of chunks that ``embed`` embedded; nothing is chunked or embedded anew but the
+    questions, which come to the driver. Rights and scope are checked before anything is cut. Blank questions, null ones,
+    and those whose vector is zero give no rows; questions with equal ids have their rows each. With ``chunks`` (file_uid,
+    ordinal, text) the texts of what is found are joined. ``search`` goes to ann.search(): probe and rerank.
+    """
+    kind = questions.schema["id"].dataType.simpleString()
+    asked = questions.filter(F.trim(F.regexp_replace("text", r"\s+", " ")) != "").select("id", "text").collect()
+    numbered = spark.createDataFrame([(n, r["text"]) for n, r in enumerate(asked)], "id int, text string")
+    vectors = sorted((r["id"], list(r["embedding"])) for r in embed(numbered, ["id"], "text", dimension).collect() if any(r["embedding"])) if asked else []
+    names = spark.createDataFrame([(place, asked[n]["id"]) for place, (n, _) in enumerate(vectors)], f"query int, id {kind}")
+    if not vectors:
+        none = spark.read.parquet(f"{path}/rows").limit(0)
+        return none.select(F.lit(None).cast(kind).alias("id"), F.lit(0).alias("rank"), "file_uid", "ordinal", F.lit(0.0).alias("distance"))
+    found = ann.search(spark, path, [v for _, v in vectors], access.cap(k, max_k), grants=grants, scope=scope, **search)
+    found = found.join(F.broadcast(names), "query").select("id", "rank", "file_uid", "ordinal", "distance")  # a row a question
+    return found if chunks is None else found.join(chunks.select("file_uid", "ordinal", "text"), ["file_uid", "ordinal"])
+
+
 def transcript(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows (conversation, turns, transcript): JSON of the messages in order, without personal data."""
     row = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), redact_pii(F.col(text)).alias("content"))

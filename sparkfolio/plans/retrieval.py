@@ -56,6 +56,18 @@ def retrieve_for_question(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.ask(chunks, question, grants, 64).select("file_uid", F.round("distance", 4).alias("distance"))
 
 
+@query()
+def retrieve_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each text of the benchmark the eight chunks nearest to it that a user may read, from an index stored once."""
+    path = f"{shared_folder(spark)}/chunks-{uuid.uuid4().hex}"
+    docs = read_table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("file_uid"), "doc_id", F.col("text").alias("content_md"))
+    ann.build(chunking.index_files(docs, 64), path)
+    questions = read_table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), "text")
+    grants = docs.filter("(doc_id * 7 + 3) % 5 <> 0").select("file_uid")
+    found = context.ask_stored(spark, path, questions, grants, 64)
+    return found.select(F.col("id").alias("item_id"), "rank", "file_uid", "ordinal", F.round("distance", 4).alias("distance"))
+
+
 @query(f"select e.vec_id, {_DISTANCE} as distance from embeddings e, {_QUERY} order by 1 - list_cosine_similarity(e.embedding::double[], q.embedding::double[]), vec_id limit 10")
 def knn_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings")

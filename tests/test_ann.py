@@ -5,7 +5,7 @@ import os
 import numpy as np
 import pytest
 
-from sparkfolio.operators import ann
+from sparkfolio.operators import ann, chunking, context
 
 TABLE = "/root/testdata/sf0.1/embeddings.parquet"
 
@@ -54,3 +54,35 @@ def test_lists_of_clustered_vectors(spark, tmp_path):
 def test_nothing_to_index(spark, tmp_path):
     with pytest.raises(ValueError, match="no vector"):
         ann.build(spark.createDataFrame([("a", 0, None)], "file_uid string, ordinal int, embedding array<float>"), str(tmp_path))
+
+
+@pytest.mark.skipif(not os.path.exists(TABLE), reason="needs the test tables")
+def test_questions_from_a_stored_index(spark, tmp_path):
+    """Chunks of whole documents, all benchmark texts as questions: nine tenths of the nearest readable chunks are found."""
+    sf = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("cast(doc_id as string) as file_uid", "doc_id", "text as content_md")
+    chunks = chunking.index_files(docs, 64)
+    ann.build(chunks, str(tmp_path))
+    grants = docs.filter("doc_id % 5 <> 0").select("file_uid")
+    questions = spark.read.parquet(f"{sf}/benchmark.parquet").selectExpr("item_id as id", "text")
+    odd = spark.createDataFrame([(-1, ""), (-2, None), (-3, " \n "), (None, "the and of")], "id long, text string")
+    found = context.ask_stored(spark, str(tmp_path), questions.union(odd), grants, 64, chunks=chunks).collect()
+    may = {r["file_uid"] for r in grants.collect()}
+    assert not {-1, -2, -3} & {r["id"] for r in found} and {r["file_uid"] for r in found} <= may
+    assert sorted(r["rank"] for r in found if r["id"] is None) == list(range(1, 9))
+    table = [r for r in chunks.collect() if r["file_uid"] in may and any(r["embedding"])]
+    text = {(r["file_uid"], r["ordinal"]): r["text"] for r in table}
+    assert all(r["text"] == text[r["file_uid"], r["ordinal"]] for r in found)
+    vector = {(r["file_uid"], r["ordinal"]): np.array(r["embedding"], float) for r in table}
+    every = np.stack(list(vector.values()))
+    hits, asked = 0, chunking.hash_embed(questions, ["id"], "text", 64).collect()
+    for q in asked:
+        at = np.array(q["embedding"], float)
+        far = np.sort(1 - every @ at)[:8]
+        mine = sorted((r for r in found if r["id"] == q["id"]), key=lambda r: r["rank"])
+        assert [r["distance"] for r in mine] == pytest.approx([1 - vector[r["file_uid"], r["ordinal"]] @ at for r in mine], abs=1e-5)
+        assert [r["rank"] for r in mine] == list(range(1, 9))
+        hits += sum(r["distance"] <= far[-1] + 1e-6 for r in mine)
+    assert hits >= 0.9 * 8 * len(asked)
+    blank = context.ask_stored(spark, str(tmp_path), odd.filter("id < 0"), grants, 64)
+    assert blank.columns == ["id", "rank", "file_uid", "ordinal", "distance"] and blank.count() == 0
