@@ -281,6 +281,21 @@ def fts_negation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.matching(search.stored_index(spark, path, wanted), wanted).select("file_uid")
 
 
+@query(r"""
+    with w as (select doc_id::varchar as file_uid, regexp_extract_all(lower(source || ' ' || text), '[\p{L}\p{N}_]+') as w from documents),
+    p as (select file_uid, w, list_zip(w[1:-2], w[2:]) as pairs from w)
+    select file_uid from p
+    where (len(list_filter(pairs, lambda x: x[1] in ('license', 'licenses', 'licensed', 'licensing') and x[2] in ('version', 'versions'))) > 0 and not list_contains(w, 'moron'))
+       or (list_contains(w, 'trash') and len(list_filter(pairs, lambda x: x[1] = 'moron' and x[2] = 'trash')) = 0)""")
+def fts_phrase(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A phrase without a word, or a word without a phrase, from the stored index."""
+    path = f"{shared_folder(spark)}/index-{uuid.uuid4().hex}"
+    docs = _documents(spark, sf_dir)
+    wanted = search.Query('"license version" -moron or trash -"moron trash"')
+    search.store_index(search.inverted_index(docs, only=wanted.lexemes), path, docs)
+    return search.matching(search.stored_index(spark, path, wanted), wanted).select("file_uid")
+
+
 _GRAMS = "list_distinct(flatten(list_transform(regexp_extract_all(lower({0}), '[\\p{{L}}\\p{{N}}_]+'), lambda w: list_transform(range(1, length(w) + 2), lambda k: substr('  ' || w || ' ', k, 3)))))"
 
 
