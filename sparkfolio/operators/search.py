@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterator
 from functools import reduce
 from operator import and_, or_
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,22 +18,69 @@ from .access import allowed_top, cap, check_query, readable
 from .trigram import near_texts, similar_names
 
 
-def inverted_index(documents: DataFrame, uid: str = "file_uid", name: str = "name", text: str = "content_md", only: list[str] | None = None) -> DataFrame:
+def inverted_index(documents: DataFrame, uid: str = "file_uid", name: str = "name", text: str = "content_md", only: list[str] | None = None, lengths: bool = False) -> DataFrame:
     """Rows (uid, lexeme, positions): where each stem stands in name and text; stop words count as places only.
 
-    Stems are made of distinct words. Text is left behind at the first step. With ``only``, it has these lexemes alone:
-    a word and its stem begin with the same letter, so other words are left out before anything is grouped.
+    A file is one row of ``documents``, so its words are gathered where it is and nothing is shuffled. With ``only``, it
+    has these lexemes alone; with ``lengths``, a column ``length`` as well: the number of the file's words.
     """
-    both = F.concat_ws(" ", F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(text), F.lit("")))
-    places = documents.select(uid, F.posexplode(T.words(both)).alias("at", "word"))
-    if only is not None:
-        places = places.filter(F.substring("word", 1, 1).isin(sorted({w[:1] for w in only})) if only else F.lit(False))
-    places = places.filter(~F.col("word").isin(T.STOP_WORDS))
-    spots = places.groupBy(uid, "word").agg(F.collect_list(F.col("at") + 1).alias("at"))
-    known = spots.select("word").distinct().withColumn("lexeme", T.stems("word"))
-    if only is not None:
-        known = known.filter(F.col("lexeme").isin(only))
-    return spots.join(known, "word").groupBy(uid, "lexeme").agg(F.array_sort(F.flatten(F.collect_list("at"))).alias("positions"))
+    rows = documents.select(F.col(uid).alias("u"), _words(name, text).alias("w"))
+    stop, wanted = frozenset(T.STOP_WORDS), None if only is None else frozenset(only)
+    heads = frozenset(w[:1] for w in only or ())  # a word and its stem begin with the same letter
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str | None] = {}
+
+        def lexeme(word: str) -> str | None:
+            if word not in known:
+                if len(known) > REMEMBERED:
+                    known.clear()
+                stem = None if word in stop or heads and word[:1] not in heads else T.stem(word)
+                known[word] = stem if wanted is None or stem in wanted else None
+            return known[word]
+
+        for batch in batches:
+            ends = np.append(0, np.cumsum(pc.fill_null(pc.list_value_length(batch.column("w")), 0).to_numpy(zero_copy_only=False)))
+            first = 0
+            while first < batch.num_rows:  # some files at a time, by their words
+                last = max(first + 1, int(np.searchsorted(ends, ends[first] + WORDS, "right")) - 1)
+                yield _postings(batch.slice(first, last - first), lexeme)
+                first = last
+
+    found = rows.mapInArrow(gather, f"u {rows.schema['u'].dataType.simpleString()}, lexeme string, positions array<int>, length int")
+    return found.select(F.col("u").alias(uid), "lexeme", "positions", *(["length"] if lengths else []))
+
+
+def _words(name: str, text: str) -> Column:
+    return T.words(F.concat_ws(" ", F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
+
+
+def lengths(documents: DataFrame, uid: str = "file_uid", name: str = "name", text: str = "content_md") -> DataFrame:
+    """Rows (uid, length): how many words the name and text of each file have."""
+    return documents.select(uid, F.size(_words(name, text)).alias("length"))
+
+
+#: Words of files that a task gathers at a time, and words whose stem it remembers; when there are more, it starts anew.
+WORDS, REMEMBERED = 200_000, 400_000
+
+
+def _postings(files: pa.RecordBatch, lexeme: Callable[[str], str | None]) -> pa.RecordBatch:
+    """Rows (u, lexeme, positions, length) of files (u, w), w being a file's words in order."""
+    words = files.column("w")
+    many = pc.fill_null(pc.list_value_length(words), 0).to_numpy(zero_copy_only=False)
+    coded = pc.dictionary_encode(words.flatten())
+    stems = pa.array([lexeme(w) for w in coded.dictionary.to_pylist()], pa.string()).dictionary_encode()
+    of = pc.fill_null(stems.indices, -1).to_numpy(zero_copy_only=False)[coded.indices.to_numpy(zero_copy_only=False)] if len(coded) else np.zeros(0, np.int64)
+    file = np.repeat(np.arange(len(many)), many)
+    place = np.arange(len(of)) - np.repeat(np.cumsum(many) - many, many) + 1
+    kept = np.flatnonzero(of >= 0)
+    key = file[kept] * max(1, len(stems.dictionary)) + of[kept]
+    order = np.argsort(key, kind="stable")  # places stay in order
+    kept, key = kept[order], key[order]
+    starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    positions = pa.ListArray.from_arrays(pa.array(np.append(starts, len(key)).astype(np.int32)), pa.array(place[kept].astype(np.int32)))
+    at = kept[starts]
+    return pa.RecordBatch.from_arrays([files.column("u").take(pa.array(file[at])), stems.dictionary.take(pa.array(of[at])), positions, pa.array(many[file[at]].astype(np.int32))], ["u", "lexeme", "positions", "length"])
 
 
 #: Parts that a stored index is dealt out to by lexeme, of which a query reads those of its own lexemes; and rows of a
@@ -42,17 +93,24 @@ EVERY = ""
 def store_index(index: DataFrame, path: str, every: DataFrame | None = None) -> None:
     """Write an inverted index dealt out and sorted by lexeme, so that a query reads a few row groups of a few parts.
 
-    A lexeme of many files is spread over tasks. ``every`` has the ids of all files, also of those without a lexeme; if it
-    is not given, the index's own files are all.
+    A part is spread over as many tasks as its most frequent lexeme can need. ``every`` has the ids of all files, also of
+    those without a lexeme; if it is not given, the index's own files are all. The index is shuffled once.
     """
     uid = index.columns[0]
     all_ = (index if every is None else every).select(uid).distinct()
+    index = index.select(uid, "lexeme", "positions")
     whole = index.unionByName(all_.select(uid, F.lit(EVERY).alias("lexeme"), F.array().cast("array<int>").alias("positions")))
-    many = whole.groupBy("lexeme").agg(F.ceil(F.count("*") / INDEX_ROWS).cast("long").alias("files")).filter("files > 1")
-    salted = whole.join(many, "lexeme", "left").withColumn("salt", F.pmod(F.xxhash64(uid), F.coalesce("files", F.lit(1)))).drop("files")
-    part = F.pmod(F.xxhash64("lexeme"), F.lit(INDEX_PARTS)).cast("int")
-    dealt = salted.withColumn("part", part).repartition("part", "salt").drop("salt").sortWithinPartitions("part", "lexeme")
-    dealt.write.mode("overwrite").partitionBy("part").parquet(path)
+    dealt = whole.withColumns({"part": lexeme_part(F.col("lexeme")), "salt": F.pmod(F.xxhash64(uid), F.lit(spread(all_.count())))})
+    dealt.repartition("part", "salt").drop("salt").sortWithinPartitions("part", "lexeme").write.mode("overwrite").partitionBy("part").parquet(path)
+
+
+def spread(files: int) -> int:
+    """Tasks that a part of an index of so many files is spread over: no lexeme has more rows than there are files."""
+    return max(1, -(-files // INDEX_ROWS))
+
+
+def lexeme_part(lexeme: Column) -> Column:
+    return F.pmod(F.xxhash64(lexeme), F.lit(INDEX_PARTS)).cast("int")
 
 
 def stored_index(spark: SparkSession, path: str, query: Query) -> DataFrame:
@@ -61,7 +119,7 @@ def stored_index(spark: SparkSession, path: str, query: Query) -> DataFrame:
     For a query with an alternative of negations only, that is every file's row as well.
     """
     wanted = query.lexemes + [EVERY] * query.negative
-    parts = spark.createDataFrame([(w,) for w in wanted], "w string").select(F.pmod(F.xxhash64("w"), F.lit(INDEX_PARTS)).cast("int").alias("p")).collect()
+    parts = spark.createDataFrame([(w,) for w in wanted], "w string").select(lexeme_part(F.col("w")).alias("p")).collect()
     rows = spark.read.parquet(path)
     return rows.filter(F.col("part").isin([r["p"] for r in parts]) & F.col("lexeme").isin(wanted)).drop("part")
 

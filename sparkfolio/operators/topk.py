@@ -7,37 +7,36 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
+from ..session import stored
 from .access import readable
-from .context import ranked
-from .search import INDEX_PARTS, INDEX_ROWS, Query, matching
+from .search import Query, lexeme_part, matching, spread
 
 #: Files of a block, blocks that are read first, and how many times more each time after.
 BLOCK, FIRST, TIMES = 256, 16, 4
 
 
-def _part(lexeme: Column) -> Column:
-    return F.pmod(F.xxhash64(lexeme), F.lit(INDEX_PARTS)).cast("int")
+def store_blocks(index: DataFrame, path: str, block: int = BLOCK, lengths: DataFrame | None = None) -> None:
+    """Write an inverted index by blocks of about ``block`` files, with the number of places of each posting beside it.
 
-
-def store_blocks(index: DataFrame, path: str, block: int = BLOCK) -> None:
-    """Write an inverted index by blocks of files, and for each stem and block the greatest number of places of a file.
-
-    Files are put in order of their length, so that those in which words stand often are together and the bounds of the
-    blocks differ. Postings lie by stem and block, so that a few blocks of a stem are a few row groups; a stem of very
-    many files is spread over tasks.
+    Files are put in order of their length, those of one length by a hash of their ids, so that those in which words stand
+    often are together and the bounds of the blocks differ. Postings lie by stem and block, so that a few blocks of a stem
+    are a few row groups; a part of the stems is spread over tasks by blocks. The index is shuffled once if it has a column
+    ``length`` (inverted_index(lengths=True)); ``lengths`` (uid, length) of all its files spare a pass over it.
     """
     uid = index.columns[0]
-    lengths = index.groupBy(uid).agg(F.max(F.array_max("positions")).alias("length"))
-    blocks = ranked(lengths, F.desc("length"), F.col(uid)).select(uid, F.floor((F.col("rank") - 1) / block).cast("long").alias("block"))
-    rows = index.join(blocks, uid).withColumn("part", _part(F.col("lexeme")))
-    many = rows.groupBy("lexeme").agg(F.ceil(F.count("*") / INDEX_ROWS).cast("long").alias("files")).filter("files > 1")
-    # a file of a hot stem holds every so many-th block of it
-    salted = rows.join(many, "lexeme", "left").withColumn("salt", F.pmod(F.col("block"), F.coalesce("files", F.lit(1)))).drop("files")
-    salted.repartition("part", "salt").drop("salt").sortWithinPartitions("part", "lexeme", "block").write.mode("overwrite").partitionBy("part").parquet(f"{path}/postings")
-    stored = index.sparkSession.read.parquet(f"{path}/postings")
-    bounds = stored.groupBy("part", "lexeme", "block").agg(F.max(F.size("positions")).alias("most"))
-    bounds.repartition("part").sortWithinPartitions("part", "lexeme", "block").write.mode("overwrite").partitionBy("part").parquet(f"{path}/bounds")
+    if "length" not in index.columns:
+        index = index.join(index.groupBy(uid).agg(F.max(F.array_max("positions")).alias("length")), uid)
+        lengths = None
+    sizes = (index.select(uid, "length").distinct() if lengths is None else lengths).groupBy("length").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.orderBy(F.desc("length")).rowsBetween(Window.unboundedPreceding, -1))  # one row a length
+    sizes = stored(sizes.withColumn("before", F.coalesce(before, F.lit(0))), "lengths")
+    salts = spread(sizes.agg(F.sum("n")).first()[0] or 0)
+    number = F.floor((F.col("before") + F.pmod(F.xxhash64(uid), F.col("n"))) / block).cast("long")
+    rows = index.join(F.broadcast(sizes), "length").select(uid, "lexeme", "positions", F.size("positions").alias("places"), number.alias("block"), lexeme_part(F.col("lexeme")).alias("part"))
+    dealt = rows.withColumn("salt", F.pmod("block", F.lit(salts))).repartition("part", "salt").drop("salt")
+    dealt.sortWithinPartitions("part", "lexeme", "block").write.mode("overwrite").partitionBy("part").parquet(path)
 
 
 def _bound(query: Query, most: Column) -> Column:
@@ -74,9 +73,10 @@ def best(spark: SparkSession, path: str, text: str, k: int = 20, grants: DataFra
         raise ValueError("a query with an alternative of negations only has no bounds")
     if not query.lexemes:
         return Found([], 0, 0)
-    parts = [r["p"] for r in spark.createDataFrame([(w,) for w in query.lexemes], "w string").select(_part(F.col("w")).alias("p")).distinct().collect()]
-    mine = lambda kind: spark.read.parquet(f"{path}/{kind}").filter(F.col("part").isin(parts) & F.col("lexeme").isin(query.lexemes))
-    maps = mine("bounds").filter(F.col("lexeme").isin(query.wanted)).groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "most"))).alias("most"))
+    parts = [r["p"] for r in spark.createDataFrame([(w,) for w in query.lexemes], "w string").select(lexeme_part(F.col("w")).alias("p")).distinct().collect()]
+    mine = spark.read.parquet(path).filter(F.col("part").isin(parts) & F.col("lexeme").isin(query.lexemes))
+    most = mine.filter(F.col("lexeme").isin(query.wanted)).groupBy("lexeme", "block").agg(F.max("places").alias("most"))  # neither ids nor places are read
+    maps = most.groupBy("block").agg(F.map_from_entries(F.collect_list(F.struct("lexeme", "most"))).alias("most"))
     bounds = maps.select("block", (_bound(query, F.col("most")) + 1e-12).alias("bound")).filter("bound is not null").persist()
     try:
         total, read, last, rows = bounds.count(), 0, None, []
@@ -91,7 +91,7 @@ def best(spark: SparkSession, path: str, text: str, k: int = 20, grants: DataFra
             low, high = some[-1], some[0]
             within = left.filter((F.col("bound") <= high["bound"]) & ((F.col("bound") > low["bound"]) | (F.col("bound") == low["bound"]) & (F.col("block") <= low["block"])))
             numbers = [r["block"] for r in some]
-            postings = mine("postings").filter(F.col("block").between(min(numbers), max(numbers)))  # row groups, then the blocks themselves
+            postings = mine.filter(F.col("block").between(min(numbers), max(numbers)))  # row groups, then the blocks themselves
             found = matching(postings.join(within.select("block"), "block", "left_semi"), query, uid)
             if grants is not None:
                 found = readable(found, grants.select(F.col("file_uid").alias(uid)), on=[uid])

@@ -5,6 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from sparkfolio.functions import terms
 from sparkfolio.operators import search, topk
 
 
@@ -38,3 +39,28 @@ def test_rights_count_before_the_cut(spark, stored):
     assert [u for u, _ in topk.best(spark, path, "steel", grants=grants).rows] == [r["file_uid"] for r in wanted]
     with pytest.raises(ValueError, match="negations"):
         topk.best(spark, path, "-steel")
+
+
+def test_an_index_is_gathered_where_the_texts_are(spark):
+    """No posting is shuffled before an index is dealt out, and each is that of a plain pass over the words."""
+    rng = random.Random(5)
+    words = "the running runs run bolt bolts of Übung übung license licensed a42".split()
+    rows = [(k, rng.choice([None, "", "Bolts"]), rng.choice([None, "", " ".join(rng.choice(words) for _ in range(rng.randint(1, 300)))])) for k in range(120)]
+    docs = spark.createDataFrame(rows, "id long, name string, content_md string")
+    index = search.inverted_index(docs, "id", lengths=True)
+    assert "Exchange" not in index._jdf.queryExecution().executedPlan().toString()
+    wanted = {}
+    for k, name, content in rows:
+        for at, word in enumerate(said := f"{name or ''} {content or ''}".lower().split()):
+            if word not in terms.STOP_WORDS:
+                wanted.setdefault((k, terms.stem(word), len(said)), []).append(at + 1)
+    found = {(r["id"], r["lexeme"], r["length"]): r["positions"] for r in index.collect()}
+    assert found == wanted
+    some = {(r["id"], r["lexeme"]): r["positions"] for r in search.inverted_index(docs, "id", only=["run", "bolt"]).collect()}
+    assert some == {(k, w): at for (k, w, _), at in wanted.items() if w in ("run", "bolt")}
+
+
+def test_blocks_by_lengths_that_are_given(spark, stored, tmp_path):
+    docs, index, path = stored
+    topk.store_blocks(search.inverted_index(docs, lengths=True), str(tmp_path), 16, search.lengths(docs))
+    assert [u for u, _ in topk.best(spark, str(tmp_path), "steel or bolt").rows] == [u for u, _ in topk.best(spark, path, "steel or bolt").rows]
