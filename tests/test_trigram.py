@@ -69,3 +69,18 @@ def test_similar_pairs(spark, least):
     found = trigram.similar_pairs(frame(a), frame(b), least).collect()
     assert {(r["left_id"], r["right_id"], r["left_n"], r["right_n"]) for r in found} == wanted and len(found) == len(wanted)
     assert trigram.similar_pairs(frame(a), frame(b).limit(0), least).count() == 0
+
+
+def test_a_stored_index_is_shuffled_once(spark, tmp_path):
+    """Ids of all files are given, so the texts are gone through once, and only ids and postings move."""
+    docs = files(spark)
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("index", "index")
+    try:
+        search.store_index(search.inverted_index(docs), str(tmp_path), docs)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    stages = {s for j in tracker.getJobIdsForGroup("index") for s in tracker.getJobInfo(j).stageIds}
+    assert len(stages) <= 12
+    found = search.stored_index(spark, str(tmp_path), search.Query("-trash"))
+    assert found.filter("lexeme = ''").count() == docs.select("file_uid").distinct().count()
