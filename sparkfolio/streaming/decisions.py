@@ -16,6 +16,29 @@ PARTS = 64
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+class _Touched:
+    """The entries of a map state that one batch touches: each is read once and written once, as every call goes to the JVM."""
+
+    def __init__(self, state, filled: bool) -> None:
+        self.state, self.filled = state, filled  # a part without a turn has no entry yet
+        self.known: dict[tuple, tuple | None] = {}
+        self.changed: set[tuple] = set()
+
+    def get(self, entry: tuple) -> tuple | None:
+        if entry not in self.known:
+            there = self.filled and self.state.containsKey(entry)
+            self.known[entry] = self.state.getValue(entry) if there else None
+        return self.known[entry]
+
+    def put(self, entry: tuple, value: tuple) -> None:
+        self.known[entry] = value
+        self.changed.add(entry)
+
+    def write(self) -> None:
+        for entry in self.changed:
+            self.state.updateValue(entry, self.known[entry])
+
+
 class _Decisions(StatefulProcessor):
     """What is kept of one part of a tenant's users, an entry a user and file; timers drop what is too old.
 
@@ -31,6 +54,7 @@ class _Decisions(StatefulProcessor):
         self.kept = handle.getMapState("kept", "user string, file string", "allowed boolean, at double, turn long")
         self.void = handle.getMapState("void", "user string, file string", "at double, turn long")
         self.turn = handle.getValueState("turn", "turn long")
+        self.swept: dict[tuple, int] = {}
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         # a part's rows of one batch: questions and notes, as many as came in since the last one
@@ -38,21 +62,24 @@ class _Decisions(StatefulProcessor):
         before = self.turn.get() if self.turn.exists() else None
         turn = start = before[0] if before else 0
         out, ends = [], set()
+        kept, void = (_Touched(state, before is not None) for state in (self.kept, self.void))
         for user, kind, file, allowed, at in zip(*(batch[c].tolist() for c in ("user", "kind", "file_uid", "allowed", "at"))):
             if kind == "decision" and self.seconds > 0:
                 turn += 1
-                self.kept.updateValue((user, file), (bool(allowed), float(at), turn))
+                kept.put((user, file), (bool(allowed), float(at), turn))
                 ends.add(self._end(float(at)))
             elif kind == "forget" and self.seconds > 0:
                 turn += 1
-                self.void.updateValue((user, file), (float(at), turn))
+                void.put((user, file), (float(at), turn))
                 ends.add(self._end(float(at)))
             elif kind == "ask":
-                out.append((key[0], user, file, self._known(user, file, float(at))))
+                out.append((key[0], user, file, self._known(kept, void, user, file, float(at))))
+        kept.write()
+        void.write()
         if turn > start:
             self.turn.update((turn,))
-        for end in ends:
-            self.handle.registerTimer(end)
+        if ends:
+            self.handle.registerTimer(min(ends))  # when it is up, the next one is set
         yield pd.DataFrame(out, columns=["tenant", "user", "file_uid", "allowed"]).astype({"allowed": "object"})
 
     def _end(self, at: float) -> int:
@@ -60,24 +87,30 @@ class _Decisions(StatefulProcessor):
         return int(math.floor(at / self.seconds) + 2) * math.ceil(self.seconds * 1000)
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        now = expiredTimerInfo.getExpiryTimeInMs() / 1000
-        left = 0
+        mark = timerValues.getCurrentWatermarkInMs()
+        if self.swept.get(key) == mark:  # one pass for all timers that are up
+            return iter(())
+        self.swept[key] = mark
+        left, ends = 0, set()
         for state, at in ((self.kept, 1), (self.void, 0)):
             for entry, value in list(state.iterator()):
-                if now - value[at] >= self.seconds:
+                if mark / 1000 - value[at] >= self.seconds:  # no question that still counts can ask for it
                     state.removeKey(entry)
                 else:
                     left += 1
+                    ends.add(self._end(value[at]))
+        if ends:
+            self.handle.registerTimer(min(ends))
         if not left:
             self.turn.clear()
         return iter(())
 
-    def _known(self, user: str, file: str, now: float) -> bool | None:
-        found = self.kept.getValue((user, file)) if self.kept.containsKey((user, file)) else None
+    def _known(self, kept: _Touched, void: _Touched, user: str, file: str, now: float) -> bool | None:
+        found = kept.get((user, file))
         if not found or now - found[1] >= self.seconds:
             return None
         for scope in ((user, file), (user, None), (None, file), (None, None)):
-            if self.void.containsKey(scope) and self.void.getValue(scope)[1] > found[2]:
+            if (gone := void.get(scope)) and gone[1] > found[2]:
                 return None
         return found[0]
 

@@ -143,3 +143,34 @@ def test_idle_decisions_go_by_themselves(spark, tmp_path):
         answers.writeStream.format("noop").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start().awaitTermination()
     left = lambda name: [r["key"]["user"] for r in spark.read.format("statestore").option("stateVarName", name).load(str(tmp_path / "state")).select("user_map_key.user").withColumnRenamed("user", "u").selectExpr("struct(u as user) as key").collect()]
     assert left("kept") == ["bob"] and left("void") == []
+
+
+def test_a_batch_reads_and_writes_each_decision_once():
+    """Calls of the state go to the JVM: their number follows the entries of a batch, not its rows."""
+    import pandas as pd
+
+    class State(dict):
+        calls = 0
+
+        def _called(self, result=None):
+            self.calls += 1
+            return result
+
+        containsKey = lambda self, k: self._called(k in self)
+        getValue = lambda self, k: self._called(self[k])
+        updateValue = lambda self, k, v: self._called(self.__setitem__(k, v))
+        exists = lambda self: bool(self)
+        get = lambda self: self[0]
+        update = lambda self, v: self.__setitem__(0, v)
+
+    class Handle:
+        getMapState = getValueState = lambda self, *_: State()
+        registerTimer = lambda self, end: None
+
+    kept = decisions._Decisions(300)
+    kept.init(Handle())
+    rows = [("u", "decision" if k % 2 else "ask", "f", True, float(k)) for k in range(1, 1000)]
+    for _ in range(2):
+        (out,) = kept.handleInputRows(("t", 0), iter([pd.DataFrame(rows, columns=["user", "kind", "file_uid", "allowed", "at"])]), None)
+        assert len(out) == 499
+    assert kept.kept.calls <= 4 and kept.void.calls <= 8
