@@ -11,6 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -73,6 +74,11 @@ class Model:
         """Products of each query with the centroids, and with all entries of each book."""
         return asked @ self.centroids.T, np.einsum("qgp,gep->qge", self._grouped(asked), self.books)
 
+    def off(self, rows: np.ndarray, at: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far each row is from what its list and code say."""
+        near = np.stack([book[codes[:, g]] for g, book in enumerate(self.books)], 1).reshape(len(rows), -1)[:, : rows.shape[1]]
+        return np.linalg.norm(rows - self.centroids[at] - near, axis=1)
+
     def save(self, spark: SparkSession, path: str) -> None:
         row = (self.centroids.tobytes(), self.books.tobytes(), *self.centroids.shape, *self.books.shape)
         spark.createDataFrame([row], "centroids binary, books binary, lists int, width int, groups int, entries int, places int").coalesce(1).write.mode("overwrite").parquet(path)
@@ -110,18 +116,20 @@ def build(chunks: DataFrame, path: str, vector: str = "embedding", lists: int |
         for batch in batches:
             for start in range(0, batch.num_rows, 2000):
                 part = batch.slice(start, 2000)
-                at, codes = sent.value.code(_matrix(part.column("v")))
+                units = _matrix(part.column("v"))
+                at, codes = sent.value.code(units)
+                off = pa.array(sent.value.off(units, at, codes))
                 packed = pa.array([c.tobytes() for c in codes], pa.binary())
-                yield pa.RecordBatch.from_arrays([*part.columns, packed, pa.array(at.astype(np.int32))], [*part.schema.names, "code", "list"])
+                yield pa.RecordBatch.from_arrays([*part.columns, packed, off, pa.array(at.astype(np.int32))], [*part.schema.names, "code", "off", "list"])
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    placed = rows.mapInArrow(place, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", code binary, list int")
+    placed = rows.mapInArrow(place, ", ".join(f"{c} {t}" for c, t in kinds.items()) + ", code binary, off double, list int")
     dealt = placed.repartition("list", F.pmod(F.xxhash64("file_uid", "ordinal"), F.lit(FILES))).sortWithinPartitions("list", "file_uid", "ordinal")
     dealt.write.mode("overwrite").partitionBy("list").parquet(f"{path}/rows")
 
 
 def search(
-    spark: SparkSession, path: str, queries: list[list[float]], k: int = 10, probe: float = 0.6, rerank: int = 100,
+    spark: SparkSession, path: str, queries: list[list[float]], k: int = 10, probe: float = 0.6, rerank: int | None = 100,
     grants: DataFrame | None = None, scope: DataFrame | None = None,
 ) -> DataFrame:
     """Rows (query, rank, file_uid, ordinal, distance): for each of a bounded set of queries the ``k`` nearest found by cosine distance.
@@ -129,6 +137,9 @@ def search(
     Codes are read of the nearest lists that together are the share ``probe`` of all, at least one; of those rows that
     ``grants`` and ``scope`` (column file_uid) allow, the ``rerank`` nearest by code are compared exactly. Ties go to the
     smaller file_uid and ordinal. Queries of another length than the index's vectors are an error.
+
+    Without ``rerank``, every row of those lists is compared exactly whose code, and how far the vector is from it, leave
+    open whether it is among the ``k`` nearest; with a ``probe`` of 1 the result is exact.
     """
     model = Model.load(spark, f"{path}/model")
     asked = _unit(np.array(queries, float).reshape(len(queries), -1))
@@ -158,14 +169,43 @@ def search(
                 some = pa.array(best)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q, np.int32)), *(batch.column(c).take(some) for c in ("file_uid", "ordinal", "list")), pa.array(value[best])], ["query", "file_uid", "ordinal", "list", "near"])
 
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The ``k`` nearest of each batch, by exact products; rows that can't be nearer than a task's k-th so far are left out."""
+        least = np.full(len(asked), -np.inf)
+        for whole in batches:
+            for start in range(0, whole.num_rows, 2000):
+                batch = whole.slice(start, 2000)
+                at = batch.column("list").to_numpy()
+                off = batch.column("off").to_numpy() + 1e-9
+                codes = np.frombuffer(b"".join(batch.column("code").to_pylist()), np.uint8).reshape(len(at), -1)
+                for q in range(len(asked)):
+                    value = np.where(open_[q, at], far[q, at] + near[q][np.arange(codes.shape[1]), codes].sum(1), -np.inf)
+                    some = np.flatnonzero(value + off >= least[q])
+                    if not len(some):
+                        continue
+                    rows = batch.take(pa.array(some))
+                    exact = (_matrix(rows.column("v")) * asked[q]).sum(1)
+                    order = pc.sort_indices(pa.table({"n": -exact, "f": rows.column("file_uid"), "o": rows.column("ordinal")}), [("n", "ascending"), ("f", "ascending"), ("o", "ascending")])[:k]
+                    best = rows.take(order)
+                    if len(order) == k:
+                        least[q] = max(least[q], exact[order.to_numpy()[-1]])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(order), q, np.int32)), *(best.column(c) for c in ("file_uid", "ordinal", "v"))], ["query", "file_uid", "ordinal", "v"])
+
     kinds = {f.name: f.dataType.simpleString() for f in stored.schema}
-    codes = allowed(stored.select("file_uid", "ordinal", "list", "code"))
-    ranked = codes.mapInArrow(rank, f"query int, file_uid {kinds['file_uid']}, ordinal {kinds['ordinal']}, list int, near double")
     turn = lambda *order: F.row_number().over(Window.partitionBy("query").orderBy(*order))
-    few = ranked.withColumn("turn", turn(F.desc("near"), "file_uid", "ordinal")).filter(F.col("turn") <= rerank).select("query", "file_uid", "ordinal", "list")
     asked_rows = spark.createDataFrame([(q, v.tolist()) for q, v in enumerate(asked)], "query int, asked array<double>")
-    exact = stored.select("file_uid", "ordinal", "list", "v").join(F.broadcast(few), ["list", "file_uid", "ordinal"])  # rerank rows a query
     dot = F.aggregate(F.zip_with("v", "asked", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))
-    found = exact.join(F.broadcast(asked_rows), "query").withColumn("distance", 1 - dot / size)
-    return found.withColumn("rank", turn("distance", "file_uid", "ordinal")).filter(F.col("rank") <= k).select("query", "rank", "file_uid", "ordinal", "distance")
+
+    def first(rows: DataFrame) -> DataFrame:
+        found = rows.join(F.broadcast(asked_rows), "query").withColumn("distance", 1 - dot / size)
+        return found.withColumn("rank", turn("distance", "file_uid", "ordinal")).filter(F.col("rank") <= k).select("query", "rank", "file_uid", "ordinal", "distance")
+
+    if rerank is None:
+        rows = allowed(stored.select("file_uid", "ordinal", "list", "code", "off", "v"))
+        return first(rows.mapInArrow(compare, f"query int, file_uid {kinds['file_uid']}, ordinal {kinds['ordinal']}, v {kinds['v']}"))
+    codes = allowed(stored.select("file_uid", "ordinal", "list", "code"))
+    ranked = codes.mapInArrow(rank, f"query int, file_uid {kinds['file_uid']}, ordinal {kinds['ordinal']}, list int, near double")
+    few = ranked.withColumn("turn", turn(F.desc("near"), "file_uid", "ordinal")).filter(F.col("turn") <= rerank).select("query", "file_uid", "ordinal", "list")
+    exact = stored.select("file_uid", "ordinal", "list", "v").join(F.broadcast(few), ["list", "file_uid", "ordinal"])  # rerank rows a query
+    return first(exact)

@@ -86,3 +86,19 @@ def test_questions_from_a_stored_index(spark, tmp_path):
     assert hits >= 0.9 * 8 * len(asked)
     blank = context.ask_stored(spark, str(tmp_path), odd.filter("id < 0"), grants, 64)
     assert blank.columns == ["id", "rank", "file_uid", "ordinal", "distance"] and blank.count() == 0
+
+
+def test_codes_that_cannot_tell_leave_no_neighbour_out(spark, tmp_path):
+    """Vectors closer together than their codes can say, some of them equal: all of the nearest are found, in order."""
+    rng = np.random.default_rng(4)
+    rows = np.repeat(rng.normal(size=(4, 16)), 500, axis=0) + 0.01 * rng.normal(size=(2000, 16))
+    rows[7:40] = rows[6]
+    rows = rows.astype(np.float32).astype(float)
+    df = spark.createDataFrame([(f"f{k:04}", 0, v) for k, v in enumerate(rows.tolist())], "file_uid string, ordinal int, embedding array<double>")
+    ann.build(df, str(tmp_path), lists=4)
+    asked = [6, 100, 777, 1900]
+    found = ann.search(spark, str(tmp_path), rows[asked].tolist(), probe=1.0, rerank=None).collect()
+    for n, q in enumerate(asked):
+        far = np.round(1 - (rows / np.linalg.norm(rows, axis=1, keepdims=True)) @ (rows[q] / np.linalg.norm(rows[q])), 12)
+        mine = [int(r["file_uid"][1:]) for r in sorted((r for r in found if r["query"] == n), key=lambda r: r["rank"])]
+        assert mine == np.argsort(far, kind="stable")[:10].tolist()
