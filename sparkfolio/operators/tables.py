@@ -173,14 +173,17 @@ def status_of(documents: DataFrame, uids: DataFrame) -> DataFrame:
     return uids.select("file_uid").join(documents.select("file_uid", "status"), "file_uid", "left")
 
 
-def unique_slugs(names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """Rows (key, slug): equal slugs are numbered from 2 to 999 in order of the key; the rest end in six signs made of the key.
+def unique_slugs(names: DataFrame, key: str = "id", name: str = "name", most: int | None = 999) -> DataFrame:
+    """Rows (key, slug): equal slugs are numbered from 2 to ``most`` in order of the key; the rest end in six signs made of the key.
 
-    The signs are the same at every run.
+    The signs are the same at every run; of very many equal names two may have the same. Without ``most`` all are numbered.
     """
     base = names.select(key, F.coalesce(F.nullif(slug(F.col(name)), F.lit("")), F.lit("integration")).alias("base"))
     turn = F.row_number().over(Window.partitionBy("base").orderBy(key))
-    return base.withColumn("n", turn).select(key, F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.when(F.col("n") < 1000, F.col("n").cast("string")).otherwise(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 6)))).alias("slug"))
+    number = F.col("n").cast("string")
+    if most is not None:
+        number = F.when(F.col("n") <= most, number).otherwise(F.substring(F.md5(F.col(key).cast("string").cast("binary")), 1, 6))
+    return base.withColumn("n", turn).select(key, F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", number)).alias("slug"))
 
 
 def folder_listing(entries: DataFrame, most_folders: int = 200, most_files: int = 20) -> DataFrame:

@@ -371,6 +371,12 @@ def test_a_thousand_equal_names(spark):
     assert {r["id"]: r["slug"] for r in tables.unique_slugs(names).collect()} == found
 
 
+def test_all_equal_names_are_numbered(spark):
+    names = spark.createDataFrame([(k, "My Tool!") for k in range(1003)], "id int, name string")
+    found = {r["id"]: r["slug"] for r in tables.unique_slugs(names, most=None).collect()}
+    assert found == {0: "my-tool"} | {k: f"my-tool-{k + 1}" for k in range(1, 1003)}
+
+
 def test_fragments_do_not_end_in_short_words(spark):
     from sparkfolio.functions import terms
 
