@@ -15,6 +15,8 @@ from pyspark.sql import types as T
 
 #: Words whose place and sign a Python worker remembers; when there are more, it starts anew.
 REMEMBERED = 400_000
+#: Files whose chunks are held at a time.
+ROWS = 200
 
 
 def fold(text: str | None, target: int = 1200, overlap: int = 150) -> list[str]:
@@ -53,8 +55,19 @@ def chunks_of(text: Column, target: int = 1200, overlap: int = 150) -> Column:
 
 
 def chunk(df: DataFrame, uid: str = "file_uid", text: str = "content_md", target: int = 1200, overlap: int = 150) -> DataFrame:
-    """Rows (uid, ordinal, text), ordinals from 0 on without gaps."""
-    return df.select(uid, F.posexplode(chunks_of(F.col(text), target, overlap)).alias("ordinal", "text"))
+    """Rows (uid, ordinal, text), ordinals from 0 on without gaps. A task holds the chunks of ROWS files at a time."""
+    rows = df.select(F.col(uid).alias("u"), F.col(text).alias("t"))
+    schema = T.StructType([T.StructField("u", rows.schema["u"].dataType), T.StructField("ordinal", T.IntegerType()), T.StructField("text", T.StringType())])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(first, ROWS)
+                found = [(k, n, part) for k, value in enumerate(batch.column("t")) for n, part in enumerate(fold(value.as_py(), target, overlap))]
+                at, ordinals, texts = zip(*found) if found else ((), (), ())
+                yield pa.RecordBatch.from_arrays([batch.column("u").take(pa.array(at, pa.int32())), pa.array(ordinals, pa.int32()), pa.array(texts, pa.string())], ["u", "ordinal", "text"])
+
+    return rows.mapInArrow(cut, schema).toDF(uid, "ordinal", "text")
 
 
 def _spots(words: list[str], dimension: int, known: dict[str, int]) -> np.ndarray:

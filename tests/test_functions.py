@@ -272,3 +272,14 @@ ENDSEC;"""
         "i": "# IFC model (schema IFC4)\n\n## Document\n- View 'x'\n- 2;1\n- house.ifc\n- 2020\n- Ann\n\n## IfcWall\n- guid\n- Äußen;wall\n- /* kept */\n- Two\n\n## IfcDoor\n- Door",
         "s": "# STEP CAD model (schema AP214)\n\n## Product definition\n- part",
     }
+
+
+def test_chunks_are_cut_a_few_files_at_a_time(spark):
+    """More files than a slice has; the chunks go on as they are cut, none of them as an array of a whole batch."""
+    from sparkfolio.operators import chunking
+
+    texts = [None if k % 7 == 0 else "\n\n".join(f"{k} " + "x" * 500 for _ in range(k % 5)) for k in range(450)]
+    cut = chunking.chunk(spark.createDataFrame(list(enumerate(texts)), "file_uid long, content_md string"))
+    assert "MapInArrow" in cut._jdf.queryExecution().executedPlan().toString()
+    wanted = [(k, n, part) for k, t in enumerate(texts) for n, part in enumerate(chunking.fold(t))]
+    assert sorted(tuple(r) for r in cut.collect()) == wanted
