@@ -84,3 +84,22 @@ def test_texts_are_gone_through_once_for_a_stored_index(spark, tmp_path):
     assert seen.value == docs.count()
     found = search.stored_index(spark, str(tmp_path), search.Query("-trash"))
     assert found.filter("lexeme = ''").count() == docs.count()
+
+
+def test_different_texts_of_the_same_trigrams_keep_their_pairs(spark):
+    rows = [(k, f"no {d * n}") for k, (d, n) in enumerate((d, n) for d in "1234" for n in (3, 4, 5, 6))] + [(90, "no 1111"), (91, "1111 no"), (92, None)]
+    names = spark.createDataFrame(rows, "id int, text string")
+    grams = {k: set(terms.trigram_list(t)) for k, t in rows if t and k != 90}
+    wanted = {(k, m) for k, g in grams.items() for m, h in grams.items() if len(g & h) / len(g | h) >= 0.75}
+    found = trigram.similar_pairs(names, names, 0.75, each=True).collect()
+    assert {(r["left_id"], r["right_id"]) for r in found} == wanted and len(found) == len(wanted)
+    assert {(r["left_id"], r["left_n"]) for r in found} == {(k, 2 if k == 1 else 1) for k in grams}
+
+
+def test_names_alike_but_for_a_number_meet_only_where_they_are_similar(spark, monkeypatch):
+    names = spark.range(2000).select("id", F.concat(F.lit("Supplier#"), F.lpad(F.col("id").cast("string"), 9, "0")).alias("text"))
+    frame, compared = type(names), []
+    keep = frame.distinct
+    monkeypatch.setattr(frame, "distinct", lambda df: compared.append(df) or keep(df) if "left_id" in df.columns else keep(df))
+    found = trigram.similar_pairs(names, names, 0.75).count()
+    assert keep(compared[0]).count() < 3 * found  # by one rare trigram at a time, most pairs of names met
