@@ -24,6 +24,8 @@ def inverted_index(documents: DataFrame, uid: str = "file_uid", name: str = "nam
     A file is one row of ``documents``, so its words are gathered where it is and nothing is shuffled. With ``only``, it
     has these lexemes alone; with ``lengths``, a column ``length`` as well: the number of the file's words.
     """
+    if only is not None:  # other files are not cut into words
+        documents = documents.filter(may_have(only, name, text))
     rows = documents.select(F.col(uid).alias("u"), _words(name, text).alias("w"))
     stop, wanted = frozenset(T.STOP_WORDS), None if only is None else frozenset(only)
     heads = frozenset(w[:1] for w in only or ())  # a word and its stem begin with the same letter
@@ -51,8 +53,18 @@ def inverted_index(documents: DataFrame, uid: str = "file_uid", name: str = "nam
     return found.select(F.col("u").alias(uid), "lexeme", "positions", *(["length"] if lengths else []))
 
 
+def _both(name: str, text: str) -> Column:
+    return F.concat_ws(" ", F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(text), F.lit("")))
+
+
 def _words(name: str, text: str) -> Column:
-    return T.words(F.concat_ws(" ", F.coalesce(F.col(name), F.lit("")), F.coalesce(F.col(text), F.lit(""))))
+    return T.words(_both(name, text))
+
+
+def may_have(lexemes: list[str], name: str = "name", text: str = "content_md") -> Column:
+    """Whether name or text hold the letters that the words of a lexeme begin with; true for all files with a lexeme."""
+    heads = sorted({T.stem_head(w) for w in lexemes})
+    return F.exists(F.array(F.lower(_both(name, text))), lambda t: reduce(or_, (F.contains(t, F.lit(h)) for h in heads), F.lit(False)))  # letters are made small once
 
 
 def lengths(documents: DataFrame, uid: str = "file_uid", name: str = "name", text: str = "content_md") -> DataFrame:
@@ -215,24 +227,30 @@ def search(documents: DataFrame, index: DataFrame | None, grants: DataFrame, tex
     """
     wanted = Query(check_query(text))
     live = documents.filter(F.col("status").isin("converted", "indexed"))
-    if index is None:
-        index = inverted_index(live, only=wanted.lexemes)
     grams = len(set(T.trigram_list(text)))
-    matched = matching(index, wanted, every=live)
+    matched = matching(inverted_index(live, only=wanted.lexemes) if index is None else index, wanted, every=live)
+    by_name = T.similarity(F.lit(text), F.coalesce("name", F.lit("")))
+    near = T.shared_trigrams(text, F.col("content_md")) >= text_least * grams - 1e-9
+    if index is None and not wanted.negative:  # texts that cannot count are neither joined nor looked at by word
+        may = may_have(wanted.wanted)
+        if fuzzy and grams:
+            named = (T.may_share(text, F.col("name")) >= name_least * grams - 1e-9) & (by_name >= name_least)
+            may = may | named | (T.may_share(text, F.col("content_md")) >= text_least * grams - 1e-9) & near
+        live = live.filter(may)
     if postings is not None:
         ids = matched.select("file_uid")
         if fuzzy and grams:
             ids = ids.union(similar_names(postings, text, name_least).select("file_uid")).union(near_texts(postings, text, text_least).select("file_uid"))
         live = live.join(ids, "file_uid", "left_semi")
-    rows = live.join(matched, "file_uid", "left").withColumn("by_name", T.similarity(F.lit(text), F.coalesce("name", F.lit(""))))
+    rows = live.join(matched, "file_uid", "left").withColumn("by_name", by_name)
     if fuzzy and grams:
-        near = T.shared_trigrams(text, F.col("content_md")) >= text_least * grams - 1e-9
         rows = rows.filter(F.col("rank").isNotNull() | (F.col("by_name") >= name_least) | near)
     else:
         rows = rows.filter("rank is not null")
     if mode == "exact":  # rights before Python sees a text
         rows = readable(rows, grants)
-    rows = rows.withColumn("by_text", T.word_similarity(F.lit(text), F.col("content_md")))
+    # as if it could differ between calls: else it is called twice, and before the other conditions and the rights
+    rows = rows.withColumn("by_text", T.word_similarity.asNondeterministic()(F.lit(text), F.col("content_md")))
     if fuzzy:
         rows = rows.filter(F.col("rank").isNotNull() | (F.col("by_name") >= name_least) | (F.col("by_text") >= text_least))
     scored = rows.select("file_uid", (F.coalesce("rank", F.lit(0.0)) + F.greatest("by_name", "by_text")).alias("score"))

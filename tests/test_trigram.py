@@ -103,3 +103,24 @@ def test_names_alike_but_for_a_number_meet_only_where_they_are_similar(spark, mo
     monkeypatch.setattr(frame, "distinct", lambda df: compared.append(df) or keep(df) if "left_id" in df.columns else keep(df))
     found = trigram.similar_pairs(names, names, 0.75).count()
     assert keep(compared[0]).count() < 3 * found  # by one rare trigram at a time, most pairs of names met
+
+
+def test_texts_that_cannot_count_are_left_out_before_joins(spark):
+    words = "trash nobility relational dying skies happily licensing ügel no. bolt".split()
+    for w in words:
+        assert w.startswith(terms.stem_head(terms.stem(w)))
+    assert terms.stem_head(terms.stem("licensing")) == "licens" and terms.stem_head("") == ""
+    docs = files(spark).withColumn("status", F.lit("indexed"))
+    may = docs.filter(search.may_have(["apach", "licens"])).select("file_uid")
+    has = search.inverted_index(docs).filter("lexeme in ('apach', 'licens')").select("file_uid")
+    assert has.subtract(may).count() == 0 < may.count() < docs.count()
+    short = docs.filter(terms.may_share("apache license", F.col("content_md")) < terms.shared_trigrams("apache license", F.col("content_md")))
+    assert short.count() == 0
+
+
+def test_python_sees_a_text_once_and_after_the_rights(spark):
+    docs = files(spark)
+    plan = search.search(docs, None, docs.select("file_uid"), "apache license")._jdf.queryExecution().optimizedPlan().toString()
+    at = [k for k, line in enumerate(plan.splitlines()) if "ArrowEvalPython [word_similarity" in line]
+    rights = [k for k, line in enumerate(plan.splitlines()) if "Join LeftSemi" in line]
+    assert len(at) == 1 and rights[0] > at[0]  # below in the plan is before
